@@ -54,3 +54,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
 FROM b"""
 ORACLES["op8_quality_cascade"] = _BASE.replace("\\\\", "\\")
+
+ORACLES["op4_rlz_substrings"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k
+      FROM (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d))),
+gone AS (SELECT DISTINCT doc_id, s + j AS i FROM (SELECT doc_id, s, unnest(range(0, 20)) AS j FROM n WHERE k > 1)),
+w AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d)),
+m AS (SELECT w.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
+             string_agg(word, ' ' ORDER BY w.i) FILTER (gone.i IS NULL) AS kept
+      FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)"""
+
+#: Class links within equal shingle sets are added apart, so that copies make no pairs.
+ORACLES["op1_minhash"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, linededup, quality, sharding, tokencount
+from quern.llm import decontam, langid, linededup, minhash, mixing, quality, rlz, runindex, sharding, tokencount
 
 #: The production vocabulary, a file of the machine; pass another path to use another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +14,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(_docs(spark, sf_dir))
+
+
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.digest(_docs(spark, sf_dir))
+
+
+def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
+def op4_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digest(_docs(spark, sf_dir))
+
+
+def op5_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.cross_checked(_docs(spark, sf_dir))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_docs(spark, sf_dir))
 
@@ -35,4 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return tokencount.count_tokens(_docs(spark, sf_dir), tokencount.Vocabulary.from_sentencepiece(vocabulary))
 
 
-QUERIES = {f.__name__: f for f in (op6_virtual_slots, op7_line_runs, op8_quality_cascade, op9_decontaminate, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_run_index, op3_cube_mix, op4_rlz_substrings, op5_nearest_centroid,
+        op6_virtual_slots, op7_line_runs, op8_quality_cascade, op9_decontaminate, op10_token_counts,
+    )
+}
