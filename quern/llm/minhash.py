@@ -12,11 +12,16 @@ least ``MATCHES`` agree, which a pair at 0.75 misses with a probability below 1e
   never joined. Values of one document alone cannot collide and are not joined either.
 * Skip: the postings left out are merged only for pairs that met, by comparing the two
   signatures.
-* Groups of near copies: first each posting list is joined with one hub of its own
-  (a linear number of pairs, several rounds with other hubs), and links are confirmed
-  on the full sets. Only lists that still hold more than one component are then joined
-  with themselves, for pairs in different components. A pair inside a component can't
-  change the result, so nothing is lost.
+* Groups of near copies: first each posting list is joined with one hub of its own (a
+  linear number of pairs), and links are confirmed on the full sets. Only lists that
+  still hold more than one component are looked at again, for pairs in different
+  components; a pair inside a component can't change the result, so nothing is lost.
+* Dense groups: documents of open lists longer than ``LONG_LIST`` may be thousands of
+  variants of one text that hardly differ in similarity. Their pairs never become rows.
+  They are posted under the first ``DENSE_COORDINATES`` coordinates (a pair at 0.75
+  agrees in none of them with a probability below 1e-8), each list is dealt into
+  sub-blocks of bounded size, and a task takes two sub-blocks, counts all their common
+  shingles as a matrix product, and returns a spanning forest of the links it finds.
 
 Defined cases: words are runs of bytes other than space and \\t-\\r with A-Z
 lower-cased; a text of fewer than five words has its whole sequence as its one shingle;
@@ -30,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +47,11 @@ from quern.llm.words import U64, Words, as_bytes, chunks, mix, ngram_hashes, wor
 WIDTH = 5
 COORDINATES = 48
 MATCHES = 18
-STAR_ROUNDS = 2
+LONG_LIST = 64
+DENSE_COORDINATES = 14
+SUB_BLOCK = 384
+SUB_BLOCK_BYTES = 8 << 20
+_HASH_BYTES = 6
 SIMILAR = (3, 4)
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
@@ -179,32 +189,132 @@ def linked_components(docs: DataFrame, sets: DataFrame, classes: DataFrame, scra
     texts = scratch.table(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
     reps = reps.join(ids, "id", "left_semi")
 
-    lists, tested, links, found = posted.withColumn("comp", F.col("id")), None, None, None
-    for r in range(STAR_ROUNDS + 1):
-        if r:
-            moved = posted.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-            mixed = moved.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            lists = scratch.table(moved.join(mixed, "key"), "open-lists")
-        if r < STAR_ROUNDS:
-            order = F.xxhash64("id", F.lit(r)) if r else F.col("id")
-            hub = lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("hub"))
-            pairs = lists.join(hub, "key").select(F.col("id").alias("a"), "n", "comp", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("comp_b"))
-            pairs = pairs.where((F.col("a") != F.col("b")) & (F.col("comp") != F.col("comp_b")) & _sizes_allow("n", "m"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            other = lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-            pairs = lists.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _sizes_allow("n", "m"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")).select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.table(confirmed(_skip_merged(pairs, reps), texts), "links")
-        if found is not None and new.isEmpty():
+    hub = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
+    pairs = posted.join(hub, "key").select(F.col("hub.id").alias("a"), F.col("hub.n").alias("m"), F.col("id").alias("b"), "n")
+    pairs = scratch.table(_counted(pairs.where((F.col("a") != F.col("b")) & _sizes_allow("n", "m"))), "hub-pairs")
+    links = scratch.table(confirmed(_skip_merged(pairs, reps), texts), "hub-links")
+    found = scratch.table(connected_components(links, scratch), "components")
+
+    moved = posted.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    state = moved.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y")
+    lists = scratch.table(moved.join(state.select("key", "size"), "key"), "open-lists")
+    dense = scratch.table(lists.where(F.col("size") > LONG_LIST).select("id", "comp").distinct(), "dense")
+    tagged = lists.where(F.col("size") <= LONG_LIST).join(dense.select("id", F.lit(True).alias("dense")), "id", "left").drop("size")
+    tagged = tagged.withColumn("dense", F.coalesce("dense", F.lit(False)))
+    other = tagged.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("dense").alias("dense_b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & ~(F.col("dense") & F.col("dense_b")) & _sizes_allow("n", "m")
+    more = _counted(tagged.withColumnRenamed("id", "a").join(other, "key").where(apart)).join(pairs, ["a", "b"], "left_anti")
+    more = scratch.table(_skip_merged(more, reps), "list-pairs")
+    new = scratch.table(confirmed(more, texts).unionByName(_dense_links(dense, reps, texts, scratch)), "list-links")
+    if new.isEmpty():
+        return found
+    return scratch.table(connected_components(links.unionByName(new), scratch), "components")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Each pair that collides, once; collisions are added up before the shuffle."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")).select("a", "b")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """id and the sorted shingle hashes, 48 bits each, of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [_fold(t.as_py()) for t in batch.column("text")]
+            bodies: list[bytes] = []
+            for first, last in chunks(raw, 1 << 19):
+                bodies += [s.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() for s in shingle_sets(raw[first:last])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], ["id", "body"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, body binary")
+
+
+def _unpack(body: bytes) -> np.ndarray:
+    rows = np.zeros((len(body) // _HASH_BYTES, 8), dtype=np.uint8)
+    rows[:, :_HASH_BYTES] = np.frombuffer(body, dtype=np.uint8).reshape(-1, _HASH_BYTES)
+    return rows.view(U64).ravel()
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of each set of one list with each of the other."""
+    sides = [np.concatenate([*x, np.empty(0, dtype=U64)]) for x in (one, two)]
+    shared = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    total = np.zeros((len(one), len(two)), dtype=np.float32)
+    if not len(shared):
+        return total
+    places = []
+    for sets, joined in zip((one, two), sides, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.minimum(np.searchsorted(shared, joined), len(shared) - 1)
+        inside = shared[column] == joined
+        order = np.argsort(column[inside], kind="stable")
+        places.append((row[inside][order], column[inside][order]))
+    for first in range(0, len(shared), width):
+        parts = []
+        for sets, (row, column) in zip((one, two), places, strict=True):
+            a, b = np.searchsorted(column, [first, first + width])
+            part = np.zeros((len(sets), width), dtype=np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A forest that connects what the symmetric matrix connects."""
+    waiting, out = np.ones(len(linked), dtype=bool), []
+    for start in range(len(linked)):
+        if not waiting[start]:
             continue
-        links = new if links is None else links.unionByName(new)
-        found = scratch.table(connected_components(links, scratch), "components")
-    return found
+        waiting[start] = False
+        frontier = np.array([start])
+        while len(frontier):
+            met = linked[frontier] & waiting
+            next_ = np.flatnonzero(met.any(axis=0))
+            out += [(int(frontier[met[:, j].argmax()]), int(j)) for j in next_]
+            waiting[next_] = False
+            frontier = next_
+    return out
+
+
+def _dense_links(dense: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between different components among documents of long open lists."""
+    bodies = scratch.table(_packed(texts.join(dense.select("id"), "id", "left_semi")).dropDuplicates(["id"]), "packed")
+    coordinates = F.slice("sig", 1, DENSE_COORDINATES)
+    posted = reps.join(dense, "id").dropDuplicates(["id"]).select("id", "comp", F.posexplode(coordinates).alias("at", "v"))
+    sized = posted.join(bodies.select("id", F.octet_length("body").alias("bytes")), "id")
+    lists = sized.groupBy("at", "v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes")).where("x <> y")
+    parts = F.greatest(F.ceil(F.col("size") / SUB_BLOCK), F.ceil(F.col("bytes") / SUB_BLOCK_BYTES)).cast("int").alias("parts")
+    dealt = posted.join(lists.select("at", "v", parts), ["at", "v"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("at", "v", F.least("sub", "t").alias("i"), F.greatest("sub", "t").alias("j"), "sub", "id", "comp").join(bodies, "id")
+
+    def evaluate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        rows = rows.sort_values("id", kind="stable")
+        one = rows[rows["sub"] == key[2]]
+        two = rows[rows["sub"] == key[3]]
+        if rows["comp"].nunique() < 2 or not len(one) or not len(two):
+            return empty
+        sets = [[_unpack(b) for b in side["body"]] for side in (one, two)]
+        common = common_counts(*sets)
+        n = [np.array([len(s) for s in side], dtype=np.float32) for side in sets]
+        linked = SIMILAR[1] * common >= SIMILAR[0] * (n[0][:, None] + n[1][None, :] - common)
+        linked &= one["comp"].to_numpy()[:, None] != two["comp"].to_numpy()[None, :]
+        ids = one["id"].to_numpy()
+        if key[2] != key[3]:
+            ids = np.concatenate((ids, two["id"].to_numpy()))
+            whole = np.zeros((len(ids), len(ids)), dtype=bool)
+            whole[: len(one), len(one) :] = linked
+            linked = whole | whole.T
+        found = spanning_links(linked)
+        return pd.DataFrame({"a": ids[[x for x, _ in found]], "b": ids[[y for _, y in found]]}) if found else empty
+
+    kind = dense.schema["id"].dataType.simpleString()
+    found = dealt.groupBy("at", "v", "i", "j").applyInPandas(evaluate, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def digest(docs: DataFrame) -> DataFrame:
