@@ -1 +1 @@
-"""See the modules of this package."""
+"""Scalar functions as Column expressions."""
