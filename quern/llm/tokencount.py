@@ -43,7 +43,9 @@ class Vocabulary:
         names = {p for p, _ in pieces}
         self.all_bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown_score = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        self.separable = not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in names)
+        # Fused unknowns could span a cut, unless each of their bytes counts or the cut is at a known piece.
+        cuts_known = self.all_bytes or {MARK, "\n"} <= names
+        self.separable = cuts_known and not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in names)
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Vocabulary:
