@@ -44,7 +44,7 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(_docs(spark, sf_dir))
+    return quality.measure(_docs(spark, sf_dir)).drop("rejected_by")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
