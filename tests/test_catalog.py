@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import quern.plans.catalog_cards  # noqa: F401  registers its queries
 from quern.plans.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
