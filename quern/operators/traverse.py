@@ -23,8 +23,12 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 
 def within_hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(id, distance) of what ``depth`` hops reach from ``seeds`` (column id), seeds at 0."""
+    """(id, distance) of what ``depth`` hops reach from ``seeds`` (column id), seeds at 0.
+
+    Derived edges are staged once, as every hop reads them.
+    """
     steps = edges.select("src", "dst")
+    steps = stage(steps, "edges") if depth > 1 else steps
     seen = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -41,7 +45,7 @@ def slice_edges(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def reach(seeds: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(id, distance) of everything reachable; rounds end when a frontier is empty."""
-    steps = edges.select("src", "dst")
+    steps = stage(edges.select("src", "dst"), "edges")
     seen = stage(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "seen")
     frontier = seen
     for hop in range(1, most + 1):
@@ -66,7 +70,7 @@ def bounded_walk(seeds: DataFrame, edges: DataFrame, depth: int, fanout: int, bu
 def reach_with_waypoint(seeds: DataFrame, edges: DataFrame, waypoint: DataFrame, depth: int) -> DataFrame:
     """(id, has) states: whether some path to ``id`` has passed a node of ``waypoint``."""
     mark = waypoint.select("id", F.lit(True).alias("w"))
-    tagged = edges.select("src", "dst").join(mark.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", F.coalesce("w", F.lit(False)).alias("w"))
+    tagged = stage(edges.select("src", "dst"), "edges").join(mark.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", F.coalesce("w", F.lit(False)).alias("w"))
     seen = seeds.select("id").distinct().join(mark, "id", "left").select("id", F.coalesce("w", F.lit(False)).alias("has"))
     frontier = seen
     for _ in range(depth):
@@ -78,7 +82,7 @@ def reach_with_waypoint(seeds: DataFrame, edges: DataFrame, waypoint: DataFrame,
 
 def shortest_paths(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(id, distance, path): the first shortest path to each node by the order of its ids."""
-    steps = edges.select("src", "dst").distinct()
+    steps = stage(edges.select("src", "dst").distinct(), "edges")
     seen = seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), F.array("id").alias("path"))
     frontier = seen
     for hop in range(1, depth + 1):
