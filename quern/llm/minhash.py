@@ -49,7 +49,7 @@ COORDINATES = 48
 MATCHES = 18
 LONG_LIST = 64
 DENSE_COORDINATES = 14
-SUB_BLOCK = 384
+SUB_BLOCK = 1024
 SUB_BLOCK_BYTES = 8 << 20
 _HASH_BYTES = 6
 SIMILAR = (3, 4)
