@@ -75,7 +75,10 @@ def contexts(values: np.ndarray, bounds: np.ndarray, kind: Windows) -> tuple[np.
     empty = np.empty(0, dtype=np.int64)
     if len(values) < kind.window:
         return empty, empty, empty, empty, empty
-    grams = ngram_hashes(values, kind.gram)
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    grams = mix((sums[kind.gram :] - sums[: -kind.gram]) * down[: len(values) + 1 - kind.gram])
     place = _least_places(grams, kind.window - kind.gram + 1)
     doc = np.searchsorted(bounds, np.arange(len(place)), side="right") - 1
     valid = np.flatnonzero(np.arange(len(place)) + kind.window <= bounds[doc + 1])
@@ -84,9 +87,6 @@ def contexts(values: np.ndarray, bounds: np.ndarray, kind: Windows) -> tuple[np.
     at = place[valid]
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1))))
     start, n = valid[first], np.diff(np.concatenate((first, [len(valid)])))
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * up[:-1], out=sums[1:])
     end = start + n + kind.window - 1
     whole = mix((sums[end] - sums[start]) * down[start] + n.astype(U64))
     owner = doc[start]

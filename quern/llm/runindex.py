@@ -33,7 +33,8 @@ from quern.llm.scratch import Scratch
 from quern.llm.words import as_bytes
 
 WINDOW = 200
-KIND = Windows(WINDOW, 16, by_word=False)
+#: Anchors of 40 bytes: long enough not to repeat by chance, short enough to be few.
+KIND = Windows(WINDOW, 40, by_word=False)
 BLOCK_BYTES = 2 << 20
 _FIRST = 3
 
