@@ -32,7 +32,7 @@ from quern.llm.scratch import Scratch
 from quern.llm.words import U64, Words, _powers, as_bytes, chunks, mix, ngram_hashes, word_class
 
 NO_ID = -(1 << 63)
-MOST_CONTEXTS = 256
+MOST_CONTEXTS = 4096
 FILTER_BITS = 1 << 23
 _PLACE_BITS = U64(34)
 
