@@ -52,7 +52,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    return tokencount.count_tokens(_docs(spark, sf_dir), tokencount.Vocabulary.from_sentencepiece(vocabulary))
+    return tokencount.count_tokens(_docs(spark, sf_dir), tokencount.load(vocabulary))
 
 
 QUERIES = {

@@ -1,6 +1,14 @@
-"""Token counts with a count-only Viterbi over a unigram vocabulary.
+"""Token counts by the rules of the vocabulary at hand, without building the pieces.
 
-An Aho-Corasick automaton enumerates every vocabulary piece that ends at a position;
+The kind of a model file decides: scores of a BPE model are merge ranks, those of a
+unigram model log-probabilities, and neither means anything under the other's rules.
+
+BPE: of all neighbouring symbols (characters at first) whose join is a piece, the pair
+of the highest score, leftmost if tied, is joined until none is left. A character that
+is no piece counts its bytes with byte fallback; without, neighbouring ones are one
+unknown. These are the rules of the public ``sentencepiece`` library.
+
+Unigram: a count-only Viterbi. An Aho-Corasick automaton enumerates every vocabulary piece that ends at a position;
 dynamic programming keeps the best score and its piece count, never the pieces. The tie
 and unknown rules are those of the public ``tokenizers`` library's Unigram model: a
 later candidate replaces an earlier one only if its score is strictly higher, and
@@ -23,6 +31,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from math import inf
 
 import ahocorasick
@@ -45,7 +54,10 @@ class Vocabulary:
         self.unknown_score = min(s for _, s in pieces) - UNKNOWN_PENALTY
         # Fused unknowns could span a cut, unless each of their bytes counts or the cut is at a known piece.
         cuts_known = self.all_bytes or {MARK, "\n"} <= names
-        self.separable = cuts_known and not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in names)
+        self.separable = cuts_known and _within_words(names)
+
+    def counter(self) -> Counter:
+        return Counter(self)
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Vocabulary:
@@ -78,6 +90,40 @@ class Vocabulary:
         return slim
 
 
+class Merges:
+    """Pieces of a BPE model with their merge ranks; small and of fixed size, so it can be broadcast."""
+
+    def __init__(self, pieces: list[tuple[str, float]], all_bytes: bool):
+        self.ranks, self.all_bytes = dict(pieces), all_bytes
+        self.separable = (all_bytes or {MARK, "\n"} <= self.ranks.keys()) and _within_words(self.ranks.keys())
+
+    def counter(self) -> MergeCounter:
+        return MergeCounter(self)
+
+
+def load(path: str) -> Vocabulary | Merges:
+    """The vocabulary of a model file, of the kind that the file says it is."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    kind, form, piece = model.trainer_spec, model.normalizer_spec, model.SentencePiece
+    if form.precompiled_charsmap or form.remove_extra_whitespaces or not form.add_dummy_prefix or not form.escape_whitespaces or kind.treat_whitespace_as_suffix:
+        raise ValueError(f"{path}: texts are normalised in a way that is not built")
+    if kind.model_type == kind.UNIGRAM:
+        return Vocabulary.from_sentencepiece(path)
+    if kind.model_type != kind.BPE or any(p.type in (piece.USER_DEFINED, piece.UNUSED) for p in model.pieces):
+        raise ValueError(f"{path}: neither a unigram model nor a BPE model of plain pieces")
+    all_bytes = kind.byte_fallback and sum(p.type == piece.BYTE for p in model.pieces) == 256
+    return Merges([(p.piece, p.score) for p in model.pieces if p.type == piece.NORMAL], all_bytes)
+
+
+def _within_words(names) -> bool:
+    """Whether no piece has the mark after another character, or a line end beside one."""
+    return not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in names)
+
+
 def _automaton(pieces: list[tuple[str, float]]):
     automaton = ahocorasick.Automaton()
     for piece, score in pieces:
@@ -92,8 +138,11 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary, entries: int = TABLE_ENTRIES):
         self.automaton = _automaton(vocabulary.pieces)
         self.unknown_score, self.all_bytes = vocabulary.unknown_score, vocabulary.all_bytes
-        self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+") if vocabulary.separable else None
         self.singles = frozenset(p for p, _ in vocabulary.pieces if len(p) == 1)
+        self._words(vocabulary.separable, entries)
+
+    def _words(self, separable: bool, entries: int) -> None:
+        self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+") if separable else None
         self.table: dict[str, int] = {}
         self.entries = entries
 
@@ -161,6 +210,40 @@ class Counter:
         return n
 
 
+class MergeCounter(Counter):
+    """Counts the pieces that merging in order of rank leaves."""
+
+    def __init__(self, merges: Merges, entries: int = TABLE_ENTRIES):
+        self.ranks, self.all_bytes = merges.ranks, merges.all_bytes
+        self._words(merges.separable, entries)
+
+    def run(self, text: str) -> int:
+        """Symbols are named by their first character; ``stop`` and ``before`` link them."""
+        n, rank = len(text), self.ranks.get
+        stop, before = list(range(1, n + 1)), list(range(-1, n))
+        agenda = [(-r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
+        heapify(agenda)
+        while agenda:
+            _, a, b, end = heappop(agenda)
+            if stop[a] != b or stop[b] != end:
+                continue
+            stop[a], stop[b], before[end] = end, 0, a
+            if a and (r := rank(text[before[a] : end])) is not None:
+                heappush(agenda, (-r, before[a], a, end))
+            if end < n and (r := rank(text[a : stop[end]])) is not None:
+                heappush(agenda, (-r, a, end, stop[end]))
+        count, at, unknown = 0, 0, False
+        while at < n:
+            if stop[at] > at + 1 or text[at] in self.ranks:
+                count, unknown = count + 1, False
+            elif self.all_bytes:
+                count += len(text[at].encode("utf-8", "surrogatepass"))
+            else:
+                count, unknown = count + (not unknown), True
+            at = stop[at]
+        return count
+
+
 _COUNTERS: dict[str, Counter] = {}
 
 
@@ -168,13 +251,13 @@ def _counter(key: str, shared) -> Counter:
     """One counter per worker process and vocabulary, kept from task to task."""
     if key not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = Counter(shared.value)
+        _COUNTERS[key] = shared.value.counter()
     return _COUNTERS[key]
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary | Merges) -> DataFrame:
     """doc_id and n_tokens of every whole text, in one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.without_dominated())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.without_dominated() if isinstance(vocabulary, Vocabulary) else vocabulary)
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,24 @@ def test_counts_of_the_production_vocabulary(odd, odd_rows, nothing, clashing):
     assert tokencount.count_tokens(nothing, v).count() == 0 and tokencount.count_tokens(clashing, v).count() == clashing.count()
 
 
+def test_token_counts_equal_the_model_of_the_file(spark, odd_rows, tmp_path):
+    import sentencepiece
+
+    from quern.llm.queries import VOCABULARY, op10_token_counts
+
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts = [*TEXTS, "日本語 \U0001f600 <0x41>", "a\x00\r\n\tb", "ａ ﬁ é", "<s> </s> <unk>", " " * 37 + "x" + " " * 20, "x" * 3000, *(r[1] for r in odd_rows), *(r.text for r in documents)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.n_tokens for r in op10_token_counts(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [len(model.encode(t or "")) for t in texts]
+
+
+def test_merges_without_bytes_fuse_unknowns():
+    counter = tokencount.Merges([("▁", -3.0), ("a", -4.0), ("aa", -1.0)], all_bytes=False).counter()
+    assert [counter.count(t) for t in ("aaa", "日本a", "日 本", "")] == [3, 3, 4, 0]
+
+
 def test_decontamination(spark, nothing):
     item = " ".join(f"q{i}" for i in range(20))
     items = spark.createDataFrame([(1, item), (2, "Short one"), (3, None), (4, ""), (10, item), (None, "q1 q2")], "item_id long, text string")
