@@ -58,7 +58,12 @@ def parse(context: list[int], reference: dict[int, tuple[int, int]], earlier: li
 
 
 def parse_block(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-    """Duplicate word spans of the contexts of several anchors, each in corpus order."""
+    """Duplicate word spans of the contexts of several anchors, each in corpus order.
+
+    A repeated row brings its contexts once more at the same places, next to each other
+    in the order; one of them is parsed, as a place is no copy of itself.
+    """
+    rows = [r for i, r in enumerate(rows) if not i or _place(r) != _place(rows[i - 1])]
     words = Words([r["body"] for r in rows], word_class())
     grams = ngram_hashes(words.hashes, WINDOW).tolist()
     at = 0
@@ -74,6 +79,10 @@ def parse_block(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
             at += 1
 
 
+def _place(row: dict) -> tuple[int, int, int, int]:
+    return row["h"], row["did"], row["sub"], row["at"]
+
+
 def duplicate_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(did, sub, a, b): word ranges of every document that are found earlier."""
     shared = anchors.shared_anchors(rows, KIND, scratch)

@@ -114,6 +114,16 @@ def test_rlz_matches_brute_force(odd, odd_rows):
     assert Counter(tuple(r) for r in rlz.digest(odd).collect()) == expected
 
 
+def test_rlz_keeps_the_first_holder_in_repeated_rows(spark):
+    """A repeated row holds a passage first, in other contexts than the later row."""
+    rng = np.random.default_rng(11)
+    side = lambda k: " ".join(f"{k}{rng.integers(10**6)}" for _ in range(30))
+    passage = " ".join(f"p{i}" for i in range(50))
+    first, later = f"{side('a')} {passage} {side('b')}", f"{side('c')} {passage} {side('d')}"
+    frame = spark.createDataFrame([(1, first), (1, first), (2, later)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in rlz.digest(frame).collect()) == [(1, 0), (1, 0), (2, 50)]
+
+
 @pytest.mark.parametrize("digest", [runindex.digest, rlz.digest])
 def test_substring_dedup_of_odd_tables(digest, nothing, clashing):
     assert digest(nothing).count() == 0
