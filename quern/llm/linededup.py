@@ -11,8 +11,8 @@ every document but the largest ``doc_id`` that holds them. The main path is buil
 DataFrame functions alone.
 
 Defined cases: a null or empty text is one empty line. A null ``doc_id`` counts as
-smaller than any other. Rows with the same ``doc_id`` and text count as one document
-and lose the same lines. Extra columns are ignored. An empty table gives
+smaller than any other. Rows with the same ``doc_id`` count as one document, whatever
+their texts and batches; with the same text they lose the same lines. Extra columns are ignored. An empty table gives
 an empty result.
 """
 
@@ -99,7 +99,7 @@ class LineRuns:
         A document's rows stand together, so its repeats of a line are first merged
         within the task; the second grouping then counts documents.
         """
-        per_doc = postings.groupBy("k1", "k2", "doc", "hash").agg(F.count(F.lit(1)).alias("n"))
+        per_doc = postings.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("n"))
         return per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
 
     def fresh(self, keys: DataFrame) -> DataFrame:
@@ -127,10 +127,21 @@ class LineRuns:
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Lines of at least ``min_docs`` documents, with the largest one."""
+        """Lines of at least ``min_docs`` documents, with the largest one.
+
+        Sums over runs count a document once for each batch that has a row of it, so
+        they only name the candidates; of several batches, the different documents of
+        these are counted in the postings.
+        """
         if not self.paths():
             return self.spark.createDataFrame([], "k1 long, k2 long, max_doc long")
-        return self._merged(self.paths()).where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
+        named = self._merged(self.paths()).where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
+        if self.batches < 2:
+            return named
+        named = self.scratch.table(named, "candidates")
+        held = self.scratch.table(union_all(self.kept).join(named, ["k1", "k2"]).select("k1", "k2", "max_doc", "doc"), "held")
+        counted = held.distinct().groupBy("k1", "k2", "max_doc").agg(F.count(F.lit(1)).alias("n_docs"))
+        return counted.where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
 
 
 def file_batches(docs: DataFrame, at_most: int = 4) -> list[DataFrame]:

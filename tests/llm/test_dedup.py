@@ -155,6 +155,17 @@ def test_line_dedup(spark, nothing, clashing):
     assert linededup.dedup_lines(clashing).count() == clashing.count()
 
 
+@pytest.mark.parametrize("other", ["", "\nand more"])
+def test_line_dedup_counts_a_document_once(spark, other):
+    """Four documents, one of them in two rows, in one batch or in two."""
+    line = "this line stands in four documents and no more of them"
+    one, two = ([(i, t) for i in ids] for ids, t in (((1, 2, 3, 4), line), ((2,), line + other)))
+    whole, *parts = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (one + two, one, two))
+    for batches in (None, parts):
+        assert [r.n_dropped for r in linededup.dedup_lines(whole, batches).collect()] == [0] * 5
+        assert sorted(r.n_dropped for r in linededup.dedup_lines(whole, batches, min_docs=4).collect()) == [0, 1, 1, 1, 1]
+
+
 def test_line_runs_levels_and_fresh_lines(spark):
     runs = linededup.LineRuns(spark, fanout=2, min_chars=1)
     for k in range(4):
