@@ -1,23 +1,28 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-A run is a Parquet table ``(k1, k2, n_docs, max_doc, born)`` sorted by the 128-bit line
-hash. Each batch of documents is reduced to one row per line (before the shuffle, so a
-line that a third of all documents hold is one row per task), merge-joined with the
-runs to tell fresh lines from known ones, and added as a run of its own. When a level
-has ``fanout`` runs they are merged into one run of the next level.
-
-After the last batch, lines found in at least ``min_docs`` documents are dropped from
-every document but the largest ``doc_id`` that holds them. The main path is built from
-DataFrame functions alone.
+A run is a Parquet table ``(k1, k2, doc)``: the 128-bit hashes of the lines that a batch
+of documents brought, each with a document that holds it, bucketed by all three and
+sorted in each bucket. A new batch is reduced to its different triples, merge-anti-joined
+with every run, and what no run holds yet is a run of its own. Runs have one layout, so
+the anti-joins shuffle the batch once and the runs never. When a level has ``fanout``
+runs they are merged into one run of the next level, bucket by bucket.
+
+Runs hold no triple twice, so a line's number of triples in all runs is its number of
+documents, whatever the batches were. Lines found in at least ``min_docs`` documents are
+dropped from every document but the largest ``doc_id`` that holds them. A line that a
+third of all documents hold is that many triples in as many buckets, and its count is
+added up before the shuffle. The main path is built from DataFrame functions alone.
 
 Defined cases: a null or empty text is one empty line. A null ``doc_id`` counts as
-smaller than any other. Rows with the same ``doc_id`` count as one document, whatever
-their texts and batches; with the same text they lose the same lines. Extra columns are ignored. An empty table gives
-an empty result.
+smaller than any other; ids are whole numbers (text that is none is an error). Rows with
+the same ``doc_id`` count as one document, whatever their texts and batches; with the same
+text they lose the same lines. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +32,7 @@ from quern.llm.scratch import Scratch
 
 WHITE = " \t\n\x0b\f\r"
 NO_ID = -(1 << 63)
+N_BATCHES = 5
 
 
 def fold_ascii(x: Column) -> Column:
@@ -60,112 +66,99 @@ def _doc(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+KEYS = ("k1", "k2", "doc")
+
+
 class LineRuns:
     """The levelled store of line hashes."""
 
-    SCHEMA = "k1 long, k2 long, n_docs long, max_doc long, born int"
+    SCHEMA = "k1 long, k2 long, doc long"
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = 40):
+    def __init__(self, spark: SparkSession, fanout: int = 3, min_chars: int = 40, buckets: int | None = None):
         self.scratch = Scratch(spark, "line-runs")
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.batches = 0
-        self.kept: list[DataFrame] = []
 
     def _write(self, rows: DataFrame, level: int) -> None:
+        """Store ``rows``, which come dealt by the keys, as a bucketed, sorted run."""
         while len(self.levels) <= level:
             self.levels.append([])
-        where = self.scratch.path(f"level{level}")
-        rows.sortWithinPartitions("k1", "k2").write.option("compression", "zstd").parquet(where)
-        self.levels[level].append(where)
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = rows.select(*KEYS).write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).format("parquet")
+        writer.option("compression", "zstd").option("path", self.scratch.path(f"level{level}")).saveAsTable(name)
+        self.levels[level].append(name)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.min("born").alias("born"))
+    def _read(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return union_all([self.spark.table(n) for n in names])
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def _drop(self, name: str) -> None:
+        where = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first().data_type
+        self.spark.sql(f"DROP TABLE {name}")
+        self.scratch.delete(where)
 
     def postings(self, docs: DataFrame) -> DataFrame:
-        """One row per long line of a batch; hashed once, stored, and kept for the last step."""
+        """One row per long line of a batch."""
         rows = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("hash"), F.explode(_long_keys(F.col("text"), self.min_chars)).alias("x"))
         return rows.select("doc", "hash", F.col("x.at").alias("at"), F.col("x.h.k1").alias("k1"), F.col("x.h.k2").alias("k2"))
 
-    def keys_of(self, postings: DataFrame) -> DataFrame:
-        """One row per line key of a batch: how many documents hold it, and the largest.
-
-        A document's rows stand together, so its repeats of a line are first merged
-        within the task; the second grouping then counts documents.
-        """
-        per_doc = postings.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("n"))
-        return per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
-
     def fresh(self, keys: DataFrame) -> DataFrame:
-        """The keys that no run holds yet (a merge anti-join on the runs' sort key)."""
-        return keys.join(self._read(self.paths()).select("k1", "k2"), ["k1", "k2"], "left_anti") if self.paths() else keys
-
-    def add(self, docs: DataFrame) -> None:
-        """Add a batch: fresh keys are born now, known ones keep their first batch."""
-        self.batches += 1
-        stored = self.scratch.table(self.postings(docs), "postings")
-        self.kept.append(stored)
-        keys = self.keys_of(stored)
-        if self.paths():
-            known = self._merged(self.paths()).select("k1", "k2", F.col("born").alias("_born"))
-            keys = keys.join(known.hint("merge"), ["k1", "k2"], "left").withColumn("born", F.coalesce("_born", F.lit(self.batches))).drop("_born")
-        else:
-            keys = keys.withColumn("born", F.lit(self.batches))
-        self._write(keys.select("k1", "k2", "n_docs", "max_doc", "born"), 0)
+        """The triples that no run holds yet: a merge anti-join with each run's buckets."""
+        for name in self.runs():
+            keys = keys.join(self.spark.table(name).hint("merge"), list(KEYS), "left_anti")
+        return keys
+
+    def add(self, postings: DataFrame) -> None:
+        """Add a batch of postings: its different triples less the known ones are a new run."""
+        keys = postings.select(*KEYS).repartition(self.buckets, *KEYS).distinct()
+        self._write(self.fresh(keys), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
-            for p in full:
-                self.scratch.delete(p)
+            self._write(self._read(full).repartition(self.buckets, *KEYS), level + 1)
+            for name in full:
+                self._drop(name)
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Lines of at least ``min_docs`` documents, with the largest one.
-
-        Sums over runs count a document once for each batch that has a row of it, so
-        they only name the candidates; of several batches, the different documents of
-        these are counted in the postings.
-        """
-        if not self.paths():
-            return self.spark.createDataFrame([], "k1 long, k2 long, max_doc long")
-        named = self._merged(self.paths()).where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
-        if self.batches < 2:
-            return named
-        named = self.scratch.table(named, "candidates")
-        held = self.scratch.table(union_all(self.kept).join(named, ["k1", "k2"]).select("k1", "k2", "max_doc", "doc"), "held")
-        counted = held.distinct().groupBy("k1", "k2", "max_doc").agg(F.count(F.lit(1)).alias("n_docs"))
+        """Lines of at least ``min_docs`` documents, with the largest one."""
+        counted = self._read(self.runs()).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
         return counted.where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
 
-
-def file_batches(docs: DataFrame, at_most: int = 4) -> list[DataFrame]:
-    """The table in batches of whole input files, each file read once."""
-    files = sorted(docs.inputFiles())
-    n = min(at_most, len(files))
-    if n < 2:
-        return [docs]
-    cut = [files[len(files) * i // n : len(files) * (i + 1) // n] for i in range(n)]
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*part) for part in cut]
+    def close(self) -> None:
+        """Drop the runs; nothing that reads them may be left to run."""
+        for name in self.runs():
+            self._drop(name)
+        self.levels = [[]]
 
 
-def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 5, min_chars: int = 40, n_batches: int = N_BATCHES) -> DataFrame:
     """One row per document with its text less the dropped lines.
 
-    ``batches`` are the parts of ``docs`` as they arrived (the whole table as one if
-    not given). Returns doc_id, text, n_lines and n_dropped.
+    ``batches`` are the parts of ``docs`` as they arrived. If not given, the rows are
+    dealt into ``n_batches`` by a hash of id and text, whatever the table's files; the
+    table is read and its lines are hashed once. Returns doc_id, text, n_lines and
+    n_dropped; the batches change neither.
     """
     runs = LineRuns(docs.sparkSession, min_chars=min_chars)
-    for part in batches or [docs]:
+    if batches is None:
+        batch = F.pmod(F.xxhash64("hash", "doc"), F.lit(n_batches)).cast("int")
+        stored = runs.scratch.table(runs.postings(docs).withColumn("batch", batch), "postings", by="batch")
+        parts = [stored.where(F.col("batch") == k) for k in range(n_batches)]
+    else:
+        parts = [runs.scratch.table(runs.postings(part), "postings") for part in batches]
+        stored = union_all(parts)
+    for part in parts:
         runs.add(part)
     frequent = runs.scratch.table(runs.frequent(min_docs), "frequent")
+    runs.close()
     named = docs.select("doc_id", "text", _doc().alias("_doc"), F.xxhash64("text").alias("_hash"))
-    hits = union_all(runs.kept).join(frequent, ["k1", "k2"]).where(F.col("doc") != F.col("max_doc"))
+    hits = stored.join(frequent, ["k1", "k2"]).where(F.col("doc") != F.col("max_doc"))
     drops = hits.groupBy(F.col("doc").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_set("at").alias("drop"))
     lines = _lines(F.col("text"))
     kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))

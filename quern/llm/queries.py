@@ -39,8 +39,7 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return linededup.digest(linededup.dedup_lines(docs, linededup.file_batches(docs)))
+    return linededup.digest(linededup.dedup_lines(_docs(spark, sf_dir)))
 
 
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

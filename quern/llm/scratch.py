@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests), a temporary folder is
-    made and set as the session's checkpoint folder.
+    Only a single-machine session that names none gets a temporary folder; on a cluster
+    that would not be shared, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     known = getattr(spark.sparkContext, "_quern_scratch", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="quern-")
@@ -38,18 +40,26 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._stored: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, frame: DataFrame, name: str) -> DataFrame:
+    def table(self, frame: DataFrame, name: str, by: str | None = None) -> DataFrame:
         where = self.path(name)
-        frame.write.option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(frame.schema).parquet(where)
+        writer = frame.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(where)
+        back = self.spark.read.schema(frame.schema).parquet(where)
+        self._stored[id(back)] = (back, where)
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove stored tables which no plan that is still to run reads."""
+        for frame in frames:
+            self.delete(self._stored.pop(id(frame))[1])
 
     def delete(self, path: str) -> None:
-        """Remove one table which no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

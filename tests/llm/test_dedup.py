@@ -130,16 +130,34 @@ def test_substring_dedup_of_odd_tables(digest, nothing, clashing):
     assert digest(clashing).count() == clashing.count()
 
 
-def test_hot_anchors_take_the_window_path(spark, monkeypatch):
-    """A passage whose edges have more contexts than a block may hold."""
+def brute_words(rows, window=20):
+    """n_removed per row in order of ids, all different."""
+    seen, out = {}, []
+    for i, text in sorted(rows):
+        w, gone = text.split(), set()
+        for s in range(len(w) - window + 1):
+            if seen.setdefault(tuple(w[s : s + window]), (i, s)) < (i, s):
+                gone.update(range(s, s + window))
+        out.append(len(gone))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 3, None])
+def test_hot_anchors_are_cut_in_halves(spark, monkeypatch, limit):
+    """Passages whose edges have more contexts than a block may hold, at small limits and at the real one."""
     from quern.llm import anchors
 
-    monkeypatch.setattr(anchors, "MOST_CONTEXTS", 3)
+    if limit:
+        monkeypatch.setattr(anchors, "MOST_CONTEXTS", limit)
     rng = np.random.default_rng(7)
-    passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(i, " ".join(f"r{rng.integers(10**6)}" for _ in range(25)) + " " + passage + " " + " ".join(f"r{rng.integers(10**6)}" for _ in range(25))) for i in range(20)]
+    passage = [f"p{i}" for i in range(60)]
+    side = lambda: [f"r{rng.integers(10**6)}" for _ in range(25)]
+    rows = []
+    for i in range(320 if limit is None else 24):
+        cut = int(rng.integers(0, 12))
+        rows.append((i, " ".join(side() + passage[cut : 60 - int(rng.integers(0, 12))] + ["odd", "even"][i % 2 : i % 2 + 1] * (i % 3) + side())))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r.n_removed for r in rlz.digest(frame).orderBy("doc_id").collect()] == [0] + [60] * 19
+    assert [r.n_removed for r in rlz.digest(frame).orderBy("doc_id").collect()] == brute_words(rows)
     expected = brute_bytes([t.encode() for _, t in rows], 200)
     assert [tuple(r)[1:] for r in runindex.digest(frame).orderBy("doc_id").collect()] == expected
 
@@ -168,12 +186,32 @@ def test_line_dedup_counts_a_document_once(spark, other):
 
 def test_line_runs_levels_and_fresh_lines(spark):
     runs = linededup.LineRuns(spark, fanout=2, min_chars=1)
+    batch = lambda rows: runs.postings(spark.createDataFrame(rows, "doc_id long, text string"))
     for k in range(4):
-        runs.add(spark.createDataFrame([(k, f"line {k}\nshared")], "doc_id long, text string"))
+        runs.add(batch([(k, f"line {k}\nshared")]))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    fresh = runs.fresh(runs.keys_of(runs.postings(spark.createDataFrame([(9, "shared\nnew")], "doc_id long, text string"))))
-    assert fresh.count() == 1
+    runs.add(batch([(3, "shared\nline 3"), (3, "shared")]))
+    assert spark.table(runs.runs()[0]).count() == 0
+    fresh = runs.fresh(batch([(9, "shared\nnew"), (3, "shared")]).select(*linededup.KEYS))
+    assert fresh.count() == 2
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
     assert [r.max_doc for r in runs.frequent(4).collect()] == [3]
+    runs.close()
+
+
+@pytest.mark.parametrize("n_batches", [1, 2, 7])
+def test_line_dedup_does_not_depend_on_batches(spark, n_batches):
+    """Against brute force, with ids that have several texts and rows repeated."""
+    rng = np.random.default_rng(5)
+    pool = [f"line number {i} is long enough to count as a long line" for i in range(30)]
+    rows = [(int(rng.integers(25)), "\n".join(pool[k] for k in rng.integers(0, 30, 3))) for _ in range(60)]
+    rows += rows[:15]
+    holders = {x: {d for d, t in rows if x in t.split("\n")} for x in pool}
+    gone = {x: max(h) for x, h in holders.items() if len(h) >= 5}
+    expected = Counter((d, "\n".join(x for x in t.split("\n") if gone.get(x, d) == d)) for d, t in rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in linededup.dedup_lines(frame, n_batches=n_batches).collect()) == expected
 
 
 def test_fold_ascii_folds_only_ascii(spark):
