@@ -10,9 +10,18 @@ end. A repeated window therefore lies in contexts with the same anchor hash, and
   before the shuffle, and a join that can be split where a passage is very frequent),
 * equal contexts are collapsed to the first of them, its owner, with their number,
 * the owners' contexts alone are compared, grouped by anchor hash, by an index that each
-  operator supplies. An anchor with more than ``MOST_CONTEXTS`` different contexts (the
-  edge of a passage that very many documents share) is not gathered: its contexts are
-  broken into single windows, and equal windows are found by grouping their hashes.
+  operator supplies.
+
+An anchor with more than ``MOST_CONTEXTS`` different contexts (the edge of a passage that
+very many documents share) is not gathered. Its windows are told apart by their offset,
+the distance from a window's start to the anchor. All windows whose offset is in the upper
+half of the range hold a longer common stretch around the anchor, and so do those of the
+lower half; each context is cut into these two, with the longer stretch's hash as anchor.
+Equal windows have equal offsets, so they meet again. Halves are collapsed and compared
+like contexts, and cut again where too many are left. At the edge of a passage, one half
+mostly becomes equal in all documents or different in all, and is settled; after
+log2(window) cuts an anchor is a whole window and all its contexts are equal. So the work
+is linear in the number of contexts, and a group of any size is split.
 
 Rows are told apart by ``did`` (the id, null as the smallest) and ``sub``, 0 unless the
 table repeats ids; then it is a hash of the text.
@@ -29,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import Scratch
-from quern.llm.words import U64, Words, _powers, as_bytes, chunks, mix, ngram_hashes, word_class
+from quern.llm.words import U64, Words, _powers, as_bytes, chunks, mix, word_class
 
 NO_ID = -(1 << 63)
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 256
 FILTER_BITS = 1 << 23
 _PLACE_BITS = U64(34)
 
@@ -148,40 +157,29 @@ def owned_contexts(shared: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(per.join(by_anchor, "h"), "compared")
 
 
-def payloads(rows: DataFrame, wanted: DataFrame, kind: Windows, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Texts of the wanted contexts, and single windows of the contexts of very frequent anchors.
+_BODY = "h long, c long, n int, places long, different long, fewest long, did long, sub int, at int, body binary"
+_CUT = f"{_BODY}, anchor int, low int, high int"
+_ARROW = {"h": pa.int64(), "c": pa.int64(), "n": pa.int32(), "places": pa.int64(), "different": pa.int64(), "fewest": pa.int64(), "did": pa.int64(), "sub": pa.int32(), "at": pa.int32(), "body": pa.binary(), "anchor": pa.int32(), "low": pa.int32(), "high": pa.int32()}
 
-    The first frame has h, did, sub, at, n, places, body; the second wh (window hash), h,
-    did, sub, at (the window's start) and places.
-    """
-    hot = F.col("different") > MOST_CONTEXTS
-    listed = wanted.select("did", "sub", F.struct("h", "at", "n", "places", hot.alias("hot")).alias("x")).groupBy("did", "sub").agg(F.collect_list("x").alias("list"))
+
+def bodies(rows: DataFrame, wanted: DataFrame, kind: Windows, scratch: Scratch) -> DataFrame:
+    """The wanted contexts with their texts; those of a repeated row come once for each."""
+    listed = wanted.select("did", "sub", F.struct("h", "c", "n", "places", "different", "fewest", "at").alias("x")).groupBy("did", "sub").agg(F.collect_list("x").alias("list"))
     near = possible(rows.select("did", "sub", "text"), wanted).where("_maybe").drop("_maybe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "wh", "did", "sub", "at", "n", "places", "body")}
+            out: dict[str, list] = {k: [] for k in list(_ARROW)[:10]}
             for did, sub, text, items in zip(*(batch.column(k) for k in ("did", "sub", "text", "list")), strict=True):
                 raw = as_bytes(text.as_py())
-                values, _, words = symbols([raw], kind)
-                grams = None
+                words = Words([raw], word_class()) if kind.by_word else None
                 for x in items.as_py():
-                    a, n = x["at"], x["n"]
-                    same = (did.as_py(), sub.as_py())
-                    if x["hot"]:
-                        grams = ngram_hashes(values, kind.window) if grams is None else grams
-                        for i, wh in enumerate(grams[a : a + n].view(np.int64).tolist()):
-                            _put(out, x["h"], wh, *same, a + i, 1, x["places"], None)
-                    else:
-                        end = a + n + kind.window - 1
-                        body = raw[words.start[a] : words.end[end - 1]] if words else raw[a:end]
-                        _put(out, x["h"], None, *same, a, n, x["places"], body)
-            kinds = {"h": pa.int64(), "wh": pa.int64(), "did": pa.int64(), "sub": pa.int32(), "at": pa.int32(), "n": pa.int32(), "places": pa.int64(), "body": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
-
-    made = near.join(listed, ["did", "sub"]).mapInArrow(run, "h long, wh long, did long, sub int, at int, n int, places long, body binary")
-    made = scratch.table(made, "bodies")
-    return made.where("wh is null").drop("wh"), made.where("wh is not null").drop("body", "n")
+                    a, end = x["at"], x["at"] + x["n"] + kind.window - 1
+                    body = raw[words.start[a] : words.end[end - 1]] if words else raw[a:end]
+                    _put(out, *(x[k] for k in ("h", "c", "n", "places", "different", "fewest")), did.as_py(), sub.as_py(), a, body)
+            yield _batch(out)
+
+    return scratch.table(near.join(listed, ["did", "sub"]).mapInArrow(run, _BODY), "bodies")
 
 
 def _put(out: dict[str, list], *row: object) -> None:
@@ -189,10 +187,72 @@ def _put(out: dict[str, list], *row: object) -> None:
         column.append(value)
 
 
+def _batch(out: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[k]) for k, v in out.items()], list(out))
+
+
+def halves(hot: DataFrame, kind: Windows, first: bool) -> DataFrame:
+    """Each context cut into its windows of the upper and of the lower offsets.
+
+    ``anchor`` is the anchor's place in the body; a context holds windows with offsets
+    from ``low`` to ``high`` - 1 only (the anchor place less the window's start).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in _ARROW}
+            for r in batch.to_pylist():
+                values, _, words = symbols([r["body"]], kind)
+                up, down = _powers(len(values) + 1)
+                sums = np.zeros(len(values) + 1, dtype=U64)
+                np.cumsum(values * up[:-1], out=sums[1:])
+                if first:
+                    grams = mix((sums[kind.gram :] - sums[: -kind.gram]) * down[: len(values) + 1 - kind.gram])
+                    anchor, low, high = int(np.flatnonzero(mix(grams).view(np.int64) == r["h"])[0]), 0, kind.window - kind.gram + 1
+                else:
+                    anchor, low, high = r["anchor"], r["low"], r["high"]
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle, high)):
+                    # Windows start from anchor - hi + 1 to anchor - lo, and the body has those from 0 to n - 1.
+                    a, b = max(0, anchor - hi + 1), min(r["n"], anchor - lo + 1)
+                    if a >= b or lo >= hi:
+                        continue
+                    stretch = (anchor - lo, anchor - hi + 1 + kind.window)
+                    whole = (a, b + kind.window - 1)
+                    h, c = (int(mix((sums[y : y + 1] - sums[x : x + 1]) * down[x : x + 1] + U64(salt)).view(np.int64)[0]) for (x, y), salt in ((stretch, (lo << 32) + hi), (whole, ((anchor - a) << 32) + b - a)))
+                    body = r["body"][words.start[whole[0]] : words.end[whole[1] - 1]] if words else r["body"][whole[0] : whole[1]]
+                    _put(out, h, c, b - a, r["places"], None, None, r["did"], r["sub"], r["at"] + a, body, anchor - a, lo, hi)
+            yield _batch(out)
+
+    return hot.mapInArrow(run, _CUT)
+
+
+def narrowed(found: DataFrame, kind: Windows, scratch: Scratch) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Bodies to compare, level by level, and the rows whose halves may be equal to others.
+
+    Yields first the bodies of anchors with at most ``MOST_CONTEXTS`` contexts and None,
+    then for each cut of the rest the same of the halves, and all these halves.
+    """
+    cool = F.col("different") <= MOST_CONTEXTS
+    yield found.where(cool), None
+    hot, level = found.where(~cool), 0
+    while not hot.isEmpty():
+        cut = scratch.table(halves(hot, kind, level == 0), f"halves{level}")
+        place = F.struct("did", "sub", "at")
+        whole = cut.groupBy("h", "c", "n").agg(
+            F.sum("places").alias("places"), F.min(place).alias("o"), *(F.min_by(x, place).alias(x) for x in ("body", "anchor", "low", "high"))
+        )
+        whole = scratch.table(whole.select("h", "c", "n", "places", "o.did", "o.sub", "o.at", "body", "anchor", "low", "high"), f"contexts{level}")
+        by_anchor = whole.groupBy("h").agg(F.count(F.lit(1)).alias("different"), F.min("places").alias("fewest")).where("different > 1")
+        kept = scratch.table(whole.join(by_anchor, "h"), f"compared{level}")
+        yield kept.where(cool), cut
+        hot, level = kept.where(~cool), level + 1
+
+
 Index = Callable[[list[dict]], Iterator[tuple[int, int, int, int]]]
 
 
-def indexed(bodies: DataFrame, index: Index, block_bytes: int) -> DataFrame:
+def indexed(found: DataFrame, index: Index, block_bytes: int) -> DataFrame:
     """Spans (did, sub, a, b) that ``index`` finds in blocks of whole anchor groups.
 
     Groups are sorted together; a block closes at the first group end beyond
@@ -217,8 +277,8 @@ def indexed(bodies: DataFrame, index: Index, block_bytes: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["did", "sub", "a", "b"])
 
-    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = bodies.repartition(n, "h").sortWithinPartitions("h", "did", "sub", "at")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = found.select("h", "n", "places", "did", "sub", "at", "body").repartition(n, "h").sortWithinPartitions("h", "did", "sub", "at")
     return grouped.mapInArrow(run, "did long, sub int, a int, b int")
 
 

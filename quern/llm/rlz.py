@@ -93,15 +93,14 @@ def duplicate_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
         .where((F.col("did") != F.col("o.did")) | (F.col("sub") != F.col("o.sub")) | (F.col("at") != F.col("o.at")))
         .select("did", "sub", F.col("at").alias("a"), (F.col("at") + F.col("n") + WINDOW - 1).alias("b"))
     )
-    bodies, single = anchors.payloads(rows, compared, KIND, scratch)
-    parsed = anchors.indexed(bodies, parse_block, BLOCK_BYTES)
-    least = single.groupBy("wh", "h").agg(F.min(F.struct("did", "sub", "at")).alias("o"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    later = (
-        single.join(least, ["wh", "h"])
-        .where((F.col("did") != F.col("o.did")) | (F.col("sub") != F.col("o.sub")) | (F.col("at") != F.col("o.at")))
-        .select("did", "sub", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
-    )
-    return scratch.table(again.unionByName(parsed).unionByName(later), "spans")
+    spans = again
+    for bodies, cut in anchors.narrowed(anchors.bodies(rows, compared, KIND, scratch), KIND, scratch):
+        spans = spans.unionByName(anchors.indexed(bodies, parse_block, BLOCK_BYTES))
+        if cut is not None:
+            least = cut.groupBy("h", "c", "n").agg(F.min(F.struct("did", "sub", "at")).alias("o"), F.count(F.lit(1)).alias("k")).where("k > 1")
+            later = cut.join(least.select("h", "c", "n", "o"), ["h", "c", "n"]).where(F.struct("did", "sub", "at") != F.col("o"))
+            spans = spans.unionByName(later.select("did", "sub", F.col("at").alias("a"), (F.col("at") + F.col("n") + WINDOW - 1).alias("b")))
+    return scratch.table(spans, "spans")
 
 
 def _words_left(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:

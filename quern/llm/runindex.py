@@ -125,11 +125,13 @@ def repeated_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     compared = anchors.owned_contexts(shared, scratch).where("fewest = 1")
     several = shared.groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "c")
     whole = shared.join(several, ["h", "c"]).select("did", "sub", F.col("at").alias("a"), (F.col("at") + F.col("n") + WINDOW - 1).alias("b"))
-    bodies, single = anchors.payloads(rows, compared, KIND, scratch)
-    matched = anchors.indexed(bodies, match_block, BLOCK_BYTES)
-    often = single.groupBy("wh", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("wh", "h")
-    windows = single.join(often, ["wh", "h"]).select("did", "sub", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
-    return scratch.table(whole.unionByName(matched).unionByName(windows), "spans")
+    spans = whole
+    for bodies, cut in anchors.narrowed(anchors.bodies(rows, compared, KIND, scratch), KIND, scratch):
+        spans = spans.unionByName(anchors.indexed(bodies, match_block, BLOCK_BYTES))
+        if cut is not None:
+            often = cut.groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "c", "n")
+            spans = spans.unionByName(cut.join(often, ["h", "c", "n"]).select("did", "sub", F.col("at").alias("a"), (F.col("at") + F.col("n") + WINDOW - 1).alias("b")))
+    return scratch.table(spans, "spans")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
