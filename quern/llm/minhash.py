@@ -10,8 +10,10 @@ least ``MATCHES`` agree, which a pair at 0.75 misses with a probability below 1e
   with ``MATCHES`` agreements meets in the first ``COORDINATES - MATCHES + 1`` of them,
   so the commonest values, such as those of a passage that many documents hold, are
   never joined. Values of one document alone cannot collide and are not joined either.
-* Skip: the postings left out are merged only for pairs that met, by comparing the two
-  signatures.
+* Collisions are counted where postings are joined, before any shuffle of pairs. A pair
+  whose joined postings alone reach ``MATCHES`` is retained as it is.
+* Skip: the postings left out are merged only for pairs that met and are still short of
+  ``MATCHES``, by comparing the two signatures.
 * Groups of near copies: first each posting list is joined with one hub of its own (a
   linear number of pairs), and links are confirmed on the full sets. Only lists that
   still hold more than one component are looked at again, for pairs in different
@@ -26,8 +28,11 @@ least ``MATCHES`` agree, which a pair at 0.75 misses with a probability below 1e
 Defined cases: words are runs of bytes other than space and \\t-\\r with A-Z
 lower-cased; a text of fewer than five words has its whole sequence as its one shingle;
 null texts and texts without words have no set, link with nothing, and are their own
-component. Rows that share a ``doc_id`` are one node; a null ``doc_id`` is never linked.
-Extra columns are ignored by ``components`` and kept by ``keep_one``.
+component. Rows are nodes of their own, also those that share a ``doc_id``: each of its
+texts has its own links, and ``component_id`` is the smallest id that its text reaches. A
+null ``doc_id`` is never linked. Extra columns are ignored by ``components`` and kept by
+``keep_one``, of which rows with the same id and text are one document. Ids may be of any
+type that has an order.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.scratch import Scratch
+from quern.llm.scratch import Scratch, free_names
 from quern.llm.words import U64, Words, as_bytes, chunks, mix, ngram_hashes, word_class
 
 WIDTH = 5
@@ -51,7 +56,6 @@ LONG_LIST = 64
 DENSE_COORDINATES = 14
 SUB_BLOCK = 1024
 SUB_BLOCK_BYTES = 8 << 20
-_HASH_BYTES = 6
 SIMILAR = (3, 4)
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
@@ -88,7 +92,7 @@ def _fold(text: str | None) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and the signature."""
+    """doc_id, hash of the text, n_shingles, a 128-bit fingerprint of the set, and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +107,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 signed = iter(sign(full).view(np.int32) if full else ())
                 sig += [next(signed) if len(s) else None for s in sets]
             as_long = lambda x: pa.array(np.array(x, dtype=U64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), as_long(lo), as_long(hi), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "lo", "hi", "sig"])
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), as_long(lo), as_long(hi), pa.array(sig, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "lo", "hi", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, lo long, hi long, sig array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, lo long, hi long, sig array<int>")
 
 
 def similar(common: int, a: int, b: int) -> bool:
@@ -160,33 +165,51 @@ def _sizes_allow(a: str, b: str):
 
 
 def _skip_merged(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in enough coordinates, the skipped ones included."""
+    """Pairs that agree in enough coordinates: by their counted collisions, or with the skipped ones."""
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").where(same >= MATCHES).select("a", "b").distinct()
+    short = pairs.where(F.col("collisions") < MATCHES).join(left, "a").join(right, "b").where(same >= MATCHES)
+    return pairs.where(F.col("collisions") >= MATCHES).select("a", "b").unionByName(short.select("a", "b"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+SET = ["lo", "hi", "n_shingles"]
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, and of the row's component the least (doc_id, th), null without a set."""
+    scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.table(signatures(docs), "signatures")
     sets = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.table(sets.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.table(sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "th")).alias("rep")), "classes")
+    # A class is named by its least id, unless some id has several sets.
+    shared = not classes.groupBy("rep.doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    classes = classes.withColumn("id", F.xxhash64(*SET) if shared else F.col("rep.doc_id"))
     found = linked_components(docs, sets, classes, scratch)
-    member = signed.join(classes, ["lo", "hi", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("rep"))
-    return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", alone, "doc_id")).alias("component_id"))
+    linked = classes.join(found, "id")
+    least = linked.groupBy("component").agg(F.min("rep").alias("root"))
+    roots = scratch.table(linked.join(least, "component").select(*SET, "root"), "roots")
+    of_class = classes.join(roots, SET, "left").select(*SET, F.coalesce("root", "rep").alias("root"))
+    # A row without an id or words meets no class.
+    keys = [F.when(F.col("doc_id").isNotNull(), F.col(k)).alias(k) if k == "lo" else F.col(k) for k in SET]
+    return signed.select("doc_id", "th", F.col("n_shingles").alias("n"), *keys).join(of_class, SET, "left").select("doc_id", "th", F.col("n").alias("n_shingles"), "root")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs``."""
+    return _labelled(docs).select("doc_id", "n_shingles", F.coalesce("root.doc_id", "doc_id").alias("component_id"))
 
 
 def linked_components(docs: DataFrame, sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) for the class representatives that have a link."""
-    named = classes.select(F.col("rep").alias("doc_id"), "lo", "hi", "n_shingles")
-    reps = scratch.table(sets.join(named, ["doc_id", "lo", "hi", "n_shingles"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id", "n"]), "reps")
+    """(id, component) for the classes that have a link; a class has lo, hi, n_shingles, id and rep."""
+    named = classes.select(*SET, "id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+    reps = sets.join(named, ["doc_id", "th", *SET]).select("id", "doc_id", "th", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"])
+    reps = scratch.table(reps, "reps")
     posted = scratch.table(_prefix_postings(reps), "postings")
     ids = posted.select("id").distinct()
-    texts = scratch.table(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    wanted = reps.select("id", "doc_id", "th").join(ids, "id", "left_semi")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(wanted, ["doc_id", "th"]).select("id", "text")
+    texts = scratch.table(texts, "texts")
     reps = reps.join(ids, "id", "left_semi")
 
     hub = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
@@ -212,31 +235,25 @@ def linked_components(docs: DataFrame, sets: DataFrame, classes: DataFrame, scra
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
-    """Each pair that collides, once; collisions are added up before the shuffle."""
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")).select("a", "b")
+    """Each pair that collides, with its collisions, which are added up before the shuffle."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions"))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """id and the sorted shingle hashes, 48 bits each, of whole texts."""
+    """id and the sorted shingle hashes of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [_fold(t.as_py()) for t in batch.column("text")]
             bodies: list[bytes] = []
             for first, last in chunks(raw, 1 << 19):
-                bodies += [s.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() for s in shingle_sets(raw[first:last])]
+                bodies += [s.tobytes() for s in shingle_sets(raw[first:last])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], ["id", "body"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, body binary")
 
 
-def _unpack(body: bytes) -> np.ndarray:
-    rows = np.zeros((len(body) // _HASH_BYTES, 8), dtype=np.uint8)
-    rows[:, :_HASH_BYTES] = np.frombuffer(body, dtype=np.uint8).reshape(-1, _HASH_BYTES)
-    return rows.view(U64).ravel()
-
-
 def common_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of each set of one list with each of the other."""
     sides = [np.concatenate([*x, np.empty(0, dtype=U64)]) for x in (one, two)]
@@ -298,7 +315,7 @@ def _dense_links(dense: DataFrame, reps: DataFrame, texts: DataFrame, scratch: S
         two = rows[rows["sub"] == key[3]]
         if rows["comp"].nunique() < 2 or not len(one) or not len(two):
             return empty
-        sets = [[_unpack(b) for b in side["body"]] for side in (one, two)]
+        sets = [[np.frombuffer(b, dtype=U64) for b in side["body"]] for side in (one, two)]
         common = common_counts(*sets)
         n = [np.array([len(s) for s in side], dtype=np.float32) for side in sets]
         linked = SIMILAR[1] * common >= SIMILAR[0] * (n[0][:, None] + n[1][None, :] - common)
@@ -322,8 +339,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The first row of each component, with its columns as they were; rows without a set stay."""
-    found = components(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    unknown = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unknown)
+    """One row of each component, with its columns as they were; rows without a set stay.
+
+    It is the row with the least (doc_id, hash of the text).
+    """
+    found = _labelled(docs)
+    kept = found.where(F.col("doc_id").isNotNull() & (F.col("root").isNull() | (F.col("root") == F.struct("doc_id", "th"))))
+    key, hash_ = free_names(docs, "key", "hash")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("th").alias(hash_)).distinct()
+    named = docs.withColumn(key, F.col("doc_id")).withColumn(hash_, F.xxhash64("text"))
+    chosen = named.join(kept, [key, hash_], "left_semi").dropDuplicates([key, hash_]).drop(key, hash_)
+    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -29,6 +29,18 @@ def shared_root(spark: SparkSession) -> str:
     return known
 
 
+def free_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """Column names for an operator's own use that ``frame`` does not have, whatever their case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """A fresh subfolder of the shared folder for one operator's run.
 

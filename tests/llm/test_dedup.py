@@ -54,6 +54,27 @@ def test_minhash_dense_group_loses_no_link(spark):
     assert got == expected
 
 
+def test_minhash_dense_group_in_several_sub_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SUB_BLOCK", 40)
+    test_minhash_dense_group_loses_no_link(spark)
+
+
+def test_rows_that_share_an_id_have_their_own_links(spark):
+    rng = np.random.default_rng(9)
+    a, b = (" ".join(f"w{rng.integers(10**6)}" for _ in range(40)) for _ in range(2))
+    rows = [(5, a), (5, b), (3, b + " x"), (7, a), (7, a)]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.digest(frame).collect()) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 5, False)]
+        assert sorted(map(tuple, minhash.keep_one(frame).collect())) == sorted([(3, b + " x"), (5, a)])
+
+
+def test_minhash_takes_ids_of_any_type(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None)]
+    got = minhash.digest(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_keep_one_keeps_columns_and_one_row_each(odd, clashing, nothing):
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
