@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import Scratch
+from quern.llm.scratch import Scratch, free_names
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -46,24 +46,24 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
 
 
-def targets(sizes: list[int], budget: float = BUDGET, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> list[float]:
-    """Targets of sources in order: shares by weight, cut at ``most`` sizes, the excess shared again."""
-    left = budget * sum(sizes)
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out, active = [0.0] * len(sizes), list(range(len(sizes)))
-    while active:
-        unit = left / sum(weight[i] for i in active)
-        above = [i for i in active if unit * weight[i] > most * sizes[i]]
-        if not above:
-            for i in active:
-                out[i] = unit * weight[i]
+def with_targets(sources: DataFrame, budget: float = BUDGET, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """``sources`` (source, source_size) with src, their place by code point, and target.
+
+    Shares by weight are cut at ``most`` sizes and the excess is shared again. Only one
+    number, the target of weight 1, goes from round to round; the sources stay a table.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))
+    weighed = sources.withColumn("src", place).withColumn("_weight", weight)
+    total, unit, cut = weighed.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        above = F.lit(unit) * F.col("_weight") > most * F.col("source_size")
+        r = weighed.agg(F.sum(above.cast("long")).alias("cut"), F.sum(F.when(above, F.col("source_size"))).alias("size"), F.sum(F.when(~above, F.col("_weight"))).alias("weight")).first()
+        if r.cut == cut or not r.weight:
             break
-        for i in above:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        gone = set(above)
-        active = [i for i in active if i not in gone]
-    return out
+        cut, unit = r.cut, (budget * total - most * (r.size or 0)) / r.weight
+    above = (F.lit(unit) * F.col("_weight") > most * F.col("source_size")) | F.lit(not r.weight)
+    return weighed.withColumn("target", F.when(above, most * F.col("source_size")).otherwise(unit * F.col("_weight"))).drop("_weight")
 
 
 def flight(sizes: list[int], chance: list[float], rng: random.Random, reserve: int = 0) -> list[float]:
@@ -131,8 +131,8 @@ def _level(units: DataFrame, level: int, salt: int) -> DataFrame:
     return units.withColumn("block", block).groupBy("src", "block").applyInPandas(fly, f"doc_id {kinds['doc_id']}, unit long, src int, size long, x double")
 
 
-def _with(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    return rows.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, "src")
+def _with(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(table) if few else table, "src")
 
 
 def _mix(docs: DataFrame, salt: int, name: str) -> tuple[DataFrame, Scratch]:
@@ -140,42 +140,34 @@ def _mix(docs: DataFrame, salt: int, name: str) -> tuple[DataFrame, Scratch]:
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     sized = scratch.table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), unit_key(docs).alias("unit")), "sizes")
-    totals = [(r.source, r.size or 0, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toLocalIterator()]
-    totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    goal = targets([r[1] for r in totals])
-    rows = []
-    for i, ((source, size, n), target) in enumerate(zip(totals, goal, strict=True)):
-        ratio = min(target / size, MOST) if size else 0.0
-        base = int(ratio + EPS)
-        rows.append((i, source, size, target, base, max(0.0, ratio - base), n, -(-n // BLOCK)))
-    by_source = spark.createDataFrame(rows, "src int, source string, source_size long, target double, base int, x double, n long, n_blocks long")
-    by_source = scratch.table(by_source.coalesce(1), "targets")
-    n_sources = len(rows)
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(0.0)
+    by_source = with_targets(scratch.table(by_source, "sources")).withColumn("ratio", ratio).withColumn("base", F.floor(F.col("ratio") + EPS).cast("int"))
+    n_blocks = F.ceil(F.col("n") / BLOCK).alias("n_blocks")
+    by_source = scratch.table(by_source.select("src", "source", "source_size", "target", "base", F.greatest(F.col("ratio") - F.col("base"), F.lit(0.0)).alias("x"), n_blocks), "targets")
+    few = by_source.count() <= BROADCAST_SOURCES
     named = by_source.withColumnRenamed("source", "_source")
-    hint = F.broadcast(named) if n_sources <= BROADCAST_SOURCES else named
-    units = sized.join(hint, sized["source"].eqNullSafe(named["_source"])).select("doc_id", "unit", "src", "size", "x", "n_blocks")
+    units = sized.join(F.broadcast(named) if few else named, sized["source"].eqNullSafe(named["_source"])).select("doc_id", "unit", "src", "size", "x", "n_blocks")
 
     settled: list[DataFrame] = []
-    blocks = {r[0]: r[7] for r in rows}
-    level = 0
+    blocks, level = by_source, 0
     while True:
+        most_blocks = blocks.agg(F.max("n_blocks")).first()[0] or 0
+        if level and not most_blocks:
+            break
         done = scratch.table(_level(units, level, salt), f"level{level}")
         fraction = (F.col("x") > EPS) & (F.col("x") < 1 - EPS)
         settled.append(done.where(~fraction))
-        if all(n <= 1 for n in blocks.values()):
-            break
-        counts = {r.src: r.n for r in done.where(fraction).groupBy("src").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        blocks = {src: -(-n // BLOCK) for src, n in counts.items()}
-        if not blocks:
+        if most_blocks <= 1:
             break
-        sizes = spark.createDataFrame(list(blocks.items()), "src int, n_blocks long")
-        units = _with(done.where(fraction), sizes, len(blocks)).select("doc_id", "unit", "src", "size", "x", "n_blocks")
+        blocks = scratch.table(done.where(fraction).groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", n_blocks), f"blocks{level}")
+        units = _with(done.where(fraction), blocks, few).select("doc_id", "unit", "src", "size", "x", "n_blocks")
         level += 1
 
     picked = settled[0]
     for more in settled[1:]:
         picked = picked.unionByName(more)
-    out = _with(picked, by_source.select("src", "source_size", "target", "base"), n_sources)
+    out = _with(picked, by_source.select("src", "source_size", "target", "base"), few)
     return out.select("doc_id", "unit", "size", "source_size", "target", (F.col("base") + F.round("x").cast("int")).alias("copies")), scratch
 
 
@@ -193,11 +185,12 @@ def mix(docs: DataFrame, salt: int = 0) -> DataFrame:
 def mixed(docs: DataFrame, salt: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with its columns as they were."""
     copies, _ = _mix(docs, salt, "mixing")
-    rank = lambda *order: F.row_number().over(Window.partitionBy("_unit", "_size").orderBy(*order))
-    counted = copies.where("copies > 0").select(F.col("unit").alias("_unit"), F.col("size").alias("_size"), "copies")
-    counted = counted.withColumn("_rank", rank(F.desc("copies"))).withColumnRenamed("copies", "_copies")
-    keyed = docs.withColumn("_unit", unit_key(docs)).withColumn("_size", n_words(F.col("text")))
-    keyed = keyed.withColumn("_rank", rank(F.lit(1)))
-    taken = keyed.join(counted, ["_unit", "_size", "_rank"])
-    again = taken.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return again.select(*(f"`{n}`" for n in docs.columns))
+    unit, size, low, more, rank, again = free_names(docs, "unit", "size", "low", "more", "rank", "again")
+    per = copies.groupBy(F.col("unit").alias(unit), F.col("size").alias(size))
+    # Of equal rows some may be taken once more than others: the first ones.
+    per = per.agg(F.min("copies").alias(low), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias(more)).where((F.col(low) > 0) | (F.col(more) > 0))
+    keyed = docs.withColumn(unit, unit_key(docs)).withColumn(size, n_words(F.col("text"))).join(per, [unit, size])
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(unit, size).orderBy(F.lit(1))))
+    n = F.col(low) + (F.col(rank) <= F.col(more)).cast("int")
+    taken = ranked.withColumn(again, F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
+    return taken.select(*(f"`{c}`" for c in docs.columns))
