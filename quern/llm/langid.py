@@ -4,13 +4,16 @@ A text's vector holds its byte trigrams, hashed into ``DIM`` places, as log(1 +
 times the inverse document frequency, scaled to length 1. Each language has several
 centroids, found by spherical k-means over a sample of its training texts (at most
 ``SAMPLE`` a language, those with the smallest hash of their id; document frequencies
-come from all training texts). A text gets the language of the centroid with the
+come from all training texts). At most ``LANGS`` languages are learned, those with the
+most training texts, so the model has a fixed bound. A text gets the language of the centroid with the
 highest cosine. A text farther from it than all but a hundredth of that language's
 sample is marked as rejected.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything if nothing was learned. Null languages are not learned from. Repeated rows
-are treated alike; extra columns are ignored; texts of any length are read whole.
+are treated alike; of rows that share an id and a language, the one whose text has the
+least hash is learned from. Extra columns are ignored; texts of any length are read
+whole; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from quern.llm.words import as_bytes, chunks
 
 DIM = 1 << 13
 SAMPLE = 500
+LANGS = 512
 CENTROIDS = 4
 ROUNDS = 12
 REJECT_SHARE = 0.01
@@ -120,42 +125,43 @@ def _frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
     return found[1:], int(found[0])
 
 
-def fit(training: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Learn from the columns text and lang of ``training``."""
-    training = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+def _sampled(training: DataFrame, sample: int, langs: int) -> DataFrame:
+    """(lang, h, text): ``sample`` texts of each language, those with the least hash of the id.
+
+    A language of any size is thinned before it is ranked: three times as many ids as wanted
+    are expected under its threshold, so no task ranks more than that many rows.
+    """
+    hashed = training.withColumn("h", F.xxhash64("doc_id"))
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("n")).orderBy(F.desc("rows"), "lang").limit(langs)
+    under = F.shiftrightunsigned("h", 1) / float(1 << 63) < F.lit(3.0 * sample) / F.col("n")
+    keys = hashed.select("lang", "h").join(F.broadcast(sizes), "lang").where((F.col("n") <= 3 * sample) | under).select("lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = keys.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    # At most langs * sample rows of 20 bytes or so.
+    picked = hashed.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"])
+    return picked.groupBy("lang", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def fit(training: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, langs: int = LANGS) -> Model:
+    """Learn from the columns doc_id, text and lang of ``training``."""
+    training = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     df, n = _frequencies(training)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = training.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
-    picked = training.select("doc_id", "lang", "text").join(F.broadcast(chosen.drop("_rank")), ["doc_id", "lang"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, place, value = [], [], []
-            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                row = counts([as_bytes(text.as_py())])[0]
-                at = np.flatnonzero(row)
-                lang.append(name)
-                place.append(at.astype(np.int16).tobytes())
-                value.append(row[at].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(place, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "lang", "place", "value"])
-
-    kind = training.schema["doc_id"].dataType.simpleString()
-    by_lang: dict[str, list] = {}
-    for r in picked.mapInArrow(run, f"doc_id {kind}, lang string, place binary, value binary").toLocalIterator():
-        by_lang.setdefault(r.lang, []).append((r.doc_id is None, r.doc_id, bytes(r.place), bytes(r.value)))
-    langs, centres, owner, least = sorted(by_lang), [], [], []
-    for i, lang in enumerate(langs):
-        rows = sorted(by_lang[lang], key=lambda x: (x[0], x[1] if x[1] is not None else 0, x[2], x[3]))
-        dense = np.zeros((len(rows), DIM), dtype=np.int32)
-        for j, (_, _, place, value) in enumerate(rows):
-            dense[j, np.frombuffer(place, np.int16)] = np.frombuffer(value, np.int32)
-        v = vectors(dense, idf)
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")
+        raw = [as_bytes(t) for t in rows["text"]]
+        v = np.vstack([vectors(counts([t]), idf) for t in raw])
         own = spherical_kmeans(v, k)
-        least.append(np.quantile((v @ own.T).max(axis=1), REJECT_SHARE))
-        centres.append(own)
-        owner += [i] * len(own)
-    return Model(idf, langs, np.vstack(centres) if centres else np.zeros((0, DIM), np.float32), np.array(owner, dtype=int), np.array(least))
+        least = float(np.quantile((v @ own.T).max(axis=1), REJECT_SHARE))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "centres": [own.tobytes()], "least": [least]})
+
+    learned = _sampled(training, sample, langs).groupBy("lang").applyInPandas(learn, "lang string, centres binary, least double")
+    found = sorted(learned.collect(), key=lambda r: r.lang)  # at most ``langs`` rows
+    centres = [np.frombuffer(bytes(r.centres), np.float32).reshape(-1, DIM) for r in found]
+    owner = [i for i, own in enumerate(centres) for _ in own]
+    whole = np.vstack(centres) if centres else np.zeros((0, DIM), np.float32)
+    return Model(idf, [r.lang for r in found], whole, np.array(owner, dtype=int), np.array([r.least for r in found]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
