@@ -3,29 +3,35 @@
 Every record hashes to one of ``n_slots`` slots, for good. Bytes are added up per slot
 (one row per slot, whatever the table's size), and a small versioned map says which
 shard holds each slot. Rebalancing edits that map: it moves whole slots from the
-heaviest to the lightest shard until no single move or swap brings the shards closer.
+heaviest to the lightest shard until no single move or swap brings the shards closer. A
+map kept in a folder is read there by the next run, which edits it for what it measures
+and stores the result as the next version, so only the slots that must move do.
 
 Defined cases: a null text counts no bytes (size 1) and has the CRC of no bytes, 0. A
-null ``doc_id`` hashes to one fixed slot. Repeated rows are sharded alike. An empty
-table gives an empty result. Columns of the input other than the ones named here are
-ignored by ``place``; ``assign`` keeps them all and adds its own under the names given.
+null ``doc_id`` is hashed by its text. Rows that share an id share a slot; equal texts
+under different ids are records of their own and are not kept together, as one group of
+them may be larger than a shard. Within a slot, rows are numbered by id, CRC and size;
+rows equal in all three are alike. An empty table gives an empty result. Columns of the
+input other than the ones named here are ignored by ``place``; ``assign`` keeps them all
+and adds its own under the names given, with underscores added if the input has them.
+Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.scratch import Scratch
+from quern.llm.scratch import Scratch, free_names
 
 N_SLOTS = 4096
 
 
-def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
-    """The virtual slot of a key; it depends on nothing else."""
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def slot_of(key: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
+    """The virtual slot of a key, or of the text where the key is null; it depends on nothing else."""
+    return F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n_slots)).cast("int")
 
 
 def record_size(text: Column) -> Column:
@@ -79,12 +85,27 @@ def rebalance(shard_of: list[int], weight: list[int], n_shards: int) -> list[int
 
 
 class SlotMap:
-    """A versioned slot-to-shard map, one small Parquet table per version."""
-
-    def __init__(self, scratch: Scratch, n_shards: int, n_slots: int = N_SLOTS):
-        self.scratch, self.n_shards, self.n_slots = scratch, n_shards, n_slots
-        self.version, self.shard_of = 0, []
-        self.commit(even_map(n_slots, n_shards), [0] * n_slots)
+    """A versioned slot-to-shard map: a Parquet table with a partition of ``n_slots`` rows per version."""
+
+    def __init__(self, spark: SparkSession, folder: str, n_shards: int, n_slots: int = N_SLOTS):
+        self.spark, self.folder, self.n_shards, self.n_slots = spark, folder, n_shards, n_slots
+        self.version, self.shard_of = 0, even_map(n_slots, n_shards)
+        self._load()
+
+    def _exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _load(self) -> None:
+        """Take the last stored version, if there is one, as the map to edit."""
+        if not self._exists():
+            return
+        stored = self.spark.read.parquet(self.folder)
+        last = stored.agg(F.max("version")).first()[0]
+        rows = stored.where(F.col("version") == last).select("vslot", "shard").collect()
+        if len(rows) != self.n_slots or any(r.shard >= self.n_shards for r in rows):
+            raise ValueError(f"{self.folder}: version {last} is no map of {self.n_slots} slots to {self.n_shards} shards")
+        self.version, self.shard_of = last, [r.shard for r in sorted(rows)]
 
     def commit(self, shard_of: list[int], rows: list[int]) -> DataFrame:
         """Store the next version; ``first_slot_row`` numbers the rows of a shard slot by slot."""
@@ -93,9 +114,9 @@ class SlotMap:
         for vslot, shard in enumerate(shard_of):
             table.append((vslot, shard, seen[shard], self.version))
             seen[shard] += rows[vslot]
-        frame = self.scratch.spark.createDataFrame(table, "vslot int, shard int, first_slot_row long, version int")
-        self.frame = self.scratch.table(frame.coalesce(1), f"slot-map-v{self.version}")
-        return self.frame
+        frame = self.spark.createDataFrame(table, "vslot int, shard int, first_slot_row long, version int")
+        frame.coalesce(1).write.partitionBy("version").mode("append").parquet(self.folder)
+        return self.spark.read.schema(frame.schema).parquet(self.folder).where(F.col("version") == self.version)
 
     def rebalanced(self, per_slot: DataFrame) -> DataFrame:
         """Edit the map for measured slots; at most ``n_slots`` rows come to the driver."""
@@ -110,9 +131,11 @@ def measured(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("vslot").agg(F.sum("size").alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def place(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+def place(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, maps: str | None = None) -> DataFrame:
     """One row per document with its shard and its place in that shard.
 
+    ``maps`` is the folder of the slot map's versions, a fresh one if not given.
+
     The text is read once, for its size and CRC; only those and the key are stored and
     shuffled. Row numbers come from a window within a virtual slot plus the slot's
     first row in its shard, so no task holds a whole shard.
@@ -120,10 +143,10 @@ def place(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFra
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = scratch.table(
-        docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(F.col("doc_id"), n_slots).alias("vslot")),
+        docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(F.col("doc_id"), F.col("text"), n_slots).alias("vslot")),
         "sized",
     )
-    slot_map = SlotMap(scratch, n_shards, n_slots).rebalanced(measured(keyed))
+    slot_map = SlotMap(docs.sparkSession, maps or scratch.path("slot-maps"), n_shards, n_slots).rebalanced(measured(keyed))
     within = F.row_number().over(_in_slot())
     return (
         keyed.withColumn("row", within)
@@ -142,12 +165,12 @@ def _in_slot():
     return Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
 
 
-def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, shard: str = "shard", vslot: str = "vslot") -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, shard: str = "shard", vslot: str = "vslot", maps: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus shard and virtual slot, without shuffling texts."""
     scratch = Scratch(docs.sparkSession, "sharding")
-    keyed = docs.select(record_size(F.col("text")).alias("size"), slot_of(F.col("doc_id"), n_slots).alias("vslot"))
-    slot_map = SlotMap(scratch, n_shards, n_slots).rebalanced(measured(keyed))
-    names = slot_map.select(F.col("vslot").alias("_slot_key"), F.col("shard").alias("_slot_shard"))
-    slot = slot_of(F.col("doc_id"), n_slots)
-    kept = docs.drop(shard, vslot)
-    return kept.join(F.broadcast(names), slot == names["_slot_key"]).withColumnsRenamed({"_slot_key": vslot, "_slot_shard": shard})
+    slot = slot_of(F.col("doc_id"), F.col("text"), n_slots)
+    keyed = docs.select(record_size(F.col("text")).alias("size"), slot.alias("vslot"))
+    slot_map = SlotMap(docs.sparkSession, maps or scratch.path("slot-maps"), n_shards, n_slots).rebalanced(measured(keyed))
+    shard, vslot = (n[1:] for n in free_names(docs.select(*(F.lit(None).alias(f"_{c}") for c in docs.columns)), shard, vslot))
+    names = slot_map.select(F.col("vslot").alias(vslot), F.col("shard").alias(shard))
+    return docs.withColumn(vslot, slot).join(F.broadcast(names), vslot).select(*(f"`{c}`" for c in docs.columns), vslot, shard)
