@@ -6,27 +6,33 @@ is one pattern); patterns are sequences of word numbers in one automaton, and a
 document is scanned once as its own sequence of word numbers, where words that no item
 has are number 0. Word numbers map to character offsets of the original text.
 
-The automaton is broadcast. Its size is checked: items are packed into blocks of at
-most ``block_bytes`` of text, and each block is scanned against all documents, so that
-a benchmark of any size is handled in bounded memory. Item texts are read block by
-block through a driver iterator that holds one partition at a time.
+The automaton's items are broadcast, and it is built once per worker. Its size is
+checked: items are packed into blocks of at most ``block_bytes`` of text. A benchmark of
+one block is scanned for in one pass. A larger one takes a pass per block over what the
+last pass stored, so there is one block in memory at a time, on the driver too, which
+reads item texts through an iterator that holds one partition.
 
 Defined cases: null and empty texts have no words and are clean; null and empty items
 match nothing; repeated items count as one id each; a null item id is ignored.
-Documents keep their rows, repeated ones too. Very long texts are scanned whole.
+Documents keep their rows, repeated ones too, and all their columns, whatever their
+names. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from quern.llm.scratch import Scratch, free_names
 from quern.llm.words import as_bytes
 
 WIDTH = 13
@@ -108,32 +114,58 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
     yield block
 
 
-def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document and block of items: n_words, merged spans of hit words, ids of items found.
+def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Found]:
+    """Per document: n_words, merged spans of hit words, ids of items found.
 
-    Returns the columns of ``docs`` followed by ``_n_words``, ``_spans`` and ``_items``.
-    More than one block of items adds further scans; their spans and ids are joined in
-    ``merge``, within the same pass over the row.
+    Returns the columns of ``docs`` followed by three, and the names of those.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_bytes)]
-    out = docs
-    for k, block in enumerate(blocks):
-        out = _scan_block(out, block, width, first=k == 0)
-    return out
+    spark, scratch = docs.sparkSession, None
+    found = Found(*free_names(docs, "n_words", "spans", "items"))
+    out, last, shared = docs, None, None
+    for block in item_blocks(items, block_bytes):
+        if shared is not None:
+            scratch = scratch or Scratch(spark, "decontam")
+            stored = scratch.table(out, "scanned")
+            if last is not None:
+                scratch.drop(last)
+            shared.unpersist()
+            out = last = stored
+        first, shared = shared is None, spark.sparkContext.broadcast(block)
+        out = _scan_block(out, shared, width, found, first)
+    return out, found
+
+
+class Found(NamedTuple):
+    """Names of the columns that a scan adds."""
+
+    n_words: str
+    spans: str
+    items: str
+
+    def n_hit(self) -> Column:
+        return F.aggregate(F.col(self.spans), F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
 
 
-_NEW = "_n_words long, _spans array<struct<a:int,b:int>>, _items array<string>"
+_SCANNERS: dict[str, Scanner] = {}
 
 
-def _scan_block(docs: DataFrame, block, width: int, first: bool) -> DataFrame:
-    names = docs.columns
+def _scanner(key: str, block, width: int) -> Scanner:
+    """One automaton per worker process, kept from task to task."""
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(block.value, width)
+    return _SCANNERS[key]
+
+
+def _scan_block(docs: DataFrame, block, width: int, found: Found, first: bool) -> DataFrame:
+    names = [n for n in docs.columns if n not in found]
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(block.value, width)
+        scanner = _scanner(key, block, width)
         for batch in batches:
-            old = None if first else (batch.column("_spans"), batch.column("_items"))
+            old = None if first else (batch.column(found.spans), batch.column(found.items))
             n_words, spans, ids = [], [], []
             for i, text in enumerate(batch.column("text")):
                 words = item_words(text.as_py())
@@ -145,12 +177,11 @@ def _scan_block(docs: DataFrame, block, width: int, first: bool) -> DataFrame:
                 n_words.append(len(words))
                 spans.append([{"a": a, "b": b} for a, b in hit])
                 ids.append(sorted(seen))
-            kept = [n for n in names if n not in ("_n_words", "_spans", "_items")]
-            cols = [batch.column(n) for n in kept] + [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, "_n_words", "_spans", "_items"])
+            cols = [batch.column(n) for n in names] + [pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, [*names, *found])
 
-    base = docs.drop("_n_words", "_spans", "_items").schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base) + ", " + _NEW
+    schema = StructType([docs.schema[n] for n in names]).add(found.n_words, LongType())
+    schema = schema.add(found.spans, ArrayType(StructType().add("a", IntegerType()).add("b", IntegerType()))).add(found.items, ArrayType(StringType()))
     return docs.mapInArrow(run, schema)
 
 
@@ -164,44 +195,40 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _n_hit():
-    return F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-
-
-def contaminated(n_hit, n_words):
+def contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least one word in twenty is part of a test window."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text"), items).drop("text")
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), _n_hit().alias("n_hit"), "_items").select(
+    out, found = scan(docs.select("doc_id", "text"), items)
+    return out.select("doc_id", F.col(found.n_words).alias("n_words"), found.n_hit().alias("n_hit"), F.col(found.items).alias("items")).select(
         "doc_id", "n_words", "n_hit",
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with their columns as they were."""
-    names = docs.columns
-    found = scan(docs, items).withColumn("_hit", _n_hit())
-    return found.where(~contaminated(F.col("_hit"), F.col("_n_words"))).select(*(f"`{n}`" for n in names))
+    out, found = scan(docs, items)
+    return out.where(~contaminated(found.n_hit(), F.col(found.n_words))).select(*(f"`{n}`" for n in docs.columns))
 
 
 def located(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item ids and the character spans of hits in the original text."""
+    out, found = scan(docs.select("doc_id", "text"), items)
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            spans = [[{"start": a, "end": b} for a, b in word_offsets(r["text"], [(x["a"], x["b"]) for x in r["_spans"]])] for r in rows]
+            spans = [[{"start": a, "end": b} for a, b in word_offsets(r["text"], [(x["a"], x["b"]) for x in r[found.spans]])] for r in rows]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_items"), pa.array(spans, kind)], ["doc_id", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(found.items), pa.array(spans, kind)], ["doc_id", "items", "spans"])
 
-    found = scan(docs.select("doc_id", "text"), items).where(F.size("_spans") > 0)
-    return found.mapInArrow(offsets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, items array<string>, spans array<struct<start:int,end:int>>")
+    hit = out.where(F.size(found.spans) > 0)
+    return hit.mapInArrow(offsets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 def items_digest(ids: list[object]) -> str:

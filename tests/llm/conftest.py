@@ -39,5 +39,7 @@ def nothing(spark):
 def clashing(spark, odd_rows):
     """Extra columns under names that operators use for their own."""
     extra = "h long, c long, id long, comp long, spans string, size long, shard int, slot long, sub int, at int, n int, key string, kept boolean, unit long, x double, src int"
-    rows = [(*r, *([None] * 16)) for r in odd_rows if r[0] is not None]
+    own = ("n_words", "spans", "items", "hit", "unit", "size", "rank", "low", "more", "again", "key", "hash", "slot_key", "slot_shard", "doc", "copies")
+    extra += "".join(f", _{n} string" for n in own)
+    rows = [(*r, *([None] * 16), *("own" for _ in own)) for r in odd_rows if r[0] is not None]
     return spark.createDataFrame(rows, f"{COLUMNS}, {extra}")

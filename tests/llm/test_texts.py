@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from quern.llm import decontam, langid, mixing, quality, sharding, tokencount
@@ -67,8 +68,8 @@ def test_decontamination(spark, nothing):
     assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].items_sha256) == (16, 14, 2, decontam.items_digest([1, 10]))
     assert (got[2].n_hit, got[2].contaminated, got[3].n_words, got[5].n_hit) == (2, True, 0, 0)
     assert (got[6].n_hit, got[6].contaminated) == (2, False)
-    small = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), items, block_bytes=1)
-    assert {r.doc_id: len(r._items) for r in small.collect()} == {k: r.n_items for k, r in got.items()}
+    small, found = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), items, block_bytes=1)
+    assert {r.doc_id: (r.n, len(r.ids)) for r in small.select("doc_id", found.n_hit().alias("n"), F.col(found.items).alias("ids")).collect()} == {k: (r.n_hit, r.n_items) for k, r in got.items()}
     spans = {r.doc_id: r.spans for r in decontam.located(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert docs[1][1][spans[2][0].start : spans[2][0].end] == "SHORT.one"
     assert decontam.digest(nothing, items).count() == 0
@@ -81,9 +82,41 @@ def test_clean_keeps_columns(odd, clashing, spark):
     assert {7, 8} & {r.doc_id for r in decontam.clean(odd, items).collect()} == set()
 
 
-def test_targets_share_and_stop():
-    assert mixing.targets([100, 100, 100]) == [200.0, 450 * 1 / 6 + 25 / 3, 450 * 2 / 6 + 50 / 3]
-    assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0.0, 15.0]
+def brute_targets(sizes, weights=(3, 1, 2)):
+    left, out = 1.5 * sum(sizes), [0.0] * len(sizes)
+    active = list(range(len(sizes)))
+    while active:
+        unit = left / sum(weights[i % 3] for i in active)
+        above = [i for i in active if unit * weights[i % 3] > 2 * sizes[i]]
+        for i in above or active:
+            out[i] = 2.0 * sizes[i] if above else unit * weights[i % 3]
+            left -= out[i]
+        active = [i for i in active if i not in above] if above else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [], [0, 10], [0, 0], [5], [1, 2, 3, 4, 5000], [900, 1, 1, 1, 70, 3, 800], list(range(40))])
+def test_targets_share_and_stop(spark, sizes):
+    names = [f"{'é' if i % 2 else 's'}{i:03d}" for i in range(len(sizes))]
+    names = sorted(names)[:-1] + [None] if len(names) > 2 else sorted(names)
+    table = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)
+    got = [r.target for r in mixing.with_targets(table).orderBy("src").collect()]
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_every_source_is_near_its_target(spark, monkeypatch, few):
+    """The real table, with its sources broadcast or joined: a source misses by less than one middling document."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size and r.taken in (0, r.size, 2 * r.size)
+        by[r.source_size][0] += r.taken
+        by[r.source_size][1] = r.target
+    assert all(abs(taken - target) <= 10 for taken, target in by.values())
+    assert sum(target for _, target in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
 
 
 def test_flight_keeps_totals():
@@ -119,6 +152,26 @@ def test_mix_over_several_levels(spark, monkeypatch):
         assert abs(sum(r.taken for r in rows if r.target == target) - target) < 30
 
 
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    right = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    judged = [r for r in langid.cross_checked(docs).collect() if r.held_out and right[r.doc_id] is not None and r.lang_pred != "und"]
+    assert len(judged) > 100 and sum(r.lang_pred == right[r.doc_id] for r in judged) >= 0.98 * len(judged)
+
+
+def test_language_samples_are_bounded_and_whole(spark):
+    rows = [(i % 700, f"text {i} " * 3, f"l{i % 7}" if i % 50 else "only") for i in range(1400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = langid._sampled(frame, 60, 5).collect()
+    by = defaultdict(int)
+    for r in picked:
+        by[r.lang] += 1
+    assert len(by) == 5 and set(by.values()) == {60}
+    assert sorted(map(str, picked)) == sorted(map(str, langid._sampled(frame.repartition(7), 60, 5).collect()))
+    one = langid.cross_checked(frame.where("lang = 'l1'")).collect()
+    assert {r.lang_pred for r in one} == {"l1"}
+
+
 def test_language(odd, nothing, clashing, spark):
     rng = random.Random(4)
     say = lambda parts: " ".join(rng.choice(parts) + rng.choice(parts) for _ in range(40))
@@ -142,10 +195,27 @@ def test_sharding(odd, odd_rows, nothing, clashing):
     empty = next(r for r in rows if r.doc_id == 4)
     assert (empty.size, empty.text_crc32) == (1, 0)
     assert sharding.place(nothing).count() == 0
-    assert sharding.assign(odd).columns == [*odd.columns, "vslot", "shard"] or set(sharding.assign(odd).columns) == {*odd.columns, "vslot", "shard"}
+    assert sharding.assign(odd).columns == [*odd.columns, "vslot", "shard"]
+    assert sharding.assign(clashing).columns == [*clashing.columns, "vslot", "shard_"]
     assert sharding.assign(clashing).count() == clashing.count()
 
 
+def test_shards_are_near_equal_and_maps_are_edited(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.place(docs, maps=f"{tmp_path}/maps").collect()
+    size = defaultdict(int)
+    for r in rows:
+        size[r.shard] += r.size
+    assert len(rows) == docs.count() and max(size.values()) - min(size.values()) <= 100
+    grown = docs.unionByName(docs.where("doc_id % 40 = 0").withColumn("doc_id", F.col("doc_id") + 10**6))
+    before = {r.vslot: r.shard for r in rows}
+    again = sharding.place(grown, maps=f"{tmp_path}/maps").collect()
+    moved = sum(before.get(r.vslot, r.shard) != r.shard for r in again)
+    assert {r.map_version for r in rows} == {1} and {r.map_version for r in again} == {2} and moved < 0.2 * len(again)
+    with pytest.raises(ValueError):
+        sharding.place(docs, n_shards=3, maps=f"{tmp_path}/maps")
+
+
 def test_rebalance_comes_close_and_moves_little():
     rng = random.Random(3)
     weight = [rng.randrange(1000, 3000) for _ in range(512)]
