@@ -7,10 +7,11 @@ Candidates come from ``anchors``. The contexts that share an anchor are indexed
 a Burrows-Wheeler transform of the contexts, each closed by a symbol of its own, is
 compressed to runs, and suffix-array samples are kept at the run ends. The longest
 match of a position is one less than that of the position before it unless the two
-suffixes' transform symbols differ, that is, unless it stands at a run's end. So the
-matching statistics follow from the samples: each run end's pair of neighbours with a
-common prefix of at least ``WINDOW`` bytes marks both matches whole, and between samples
-a match only gets shorter, which its mark already covers.
+suffixes' transform symbols differ, that is, unless it stands at a run's end. So only
+run ends are compared with their neighbours across the end, and the matching statistics
+of all other positions stream from these samples, one pass from left to right. Positions
+whose statistic is at least ``WINDOW`` mark their match. In a repetitive block the runs
+are long and the comparisons few.
 
 Defined cases: null and empty texts have no bytes; a text shorter than a window loses
 nothing; repeated rows are places of their own, so a repeated long text is removed
@@ -53,9 +54,11 @@ class RunIndex:
         self._sort(text, m + 256)
         before = text[self.order - 1]
         ends = np.flatnonzero(before[1:] != before[:-1])
-        #: Transform symbols of the runs, and suffix positions at the end of each and the start of the next.
+        #: The transform's runs: symbols and lengths, and the suffixes at the end of each and the start of the next.
         self.run_symbols = before[np.concatenate(([0], ends + 1))]
+        self.run_lengths = np.diff(np.concatenate(([0], ends + 1, [self.n])))
         self.run_last, self.run_next = self.order[ends], self.order[ends + 1]
+        del self.order
 
     def _sort(self, text: np.ndarray, letters: int) -> None:
         """Suffix order by prefix doubling; keeps the ranks of each length for common prefixes."""
@@ -92,14 +95,22 @@ class RunIndex:
             size += inside & (self.text[np.minimum(x, self.n - 1)] == self.text[np.minimum(y, self.n - 1)])
         return size
 
+    def matching_statistics(self) -> np.ndarray:
+        """Of each position, the length of its longest match that starts at any other."""
+        size = self.common_prefix(self.run_last, self.run_next)
+        reach = np.arange(self.n)
+        for side in (self.run_last, self.run_next):
+            np.maximum.at(reach, side, side + size)
+        # From one position to the next a match loses its first byte; closing symbols end it with its string.
+        return np.maximum.accumulate(reach) - np.arange(self.n)
+
     def long_matches(self, least: int) -> list[list[tuple[int, int]]]:
         """For each string, the ranges covered by matches of at least ``least`` bytes."""
-        size = self.common_prefix(self.run_last, self.run_next)
-        long = size >= least
+        size = self.matching_statistics()
+        long = np.flatnonzero(size >= least)
         depth = np.zeros(self.n + 1, dtype=np.int64)
-        for side in (self.run_last, self.run_next):
-            np.add.at(depth, side[long], 1)
-            np.add.at(depth, side[long] + size[long], -1)
+        np.add.at(depth, long, 1)
+        np.add.at(depth, long + size[long], -1)
         inside = np.cumsum(depth[:-1]) > 0
         edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
         out: list[list[tuple[int, int]]] = [[] for _ in self.starts]

@@ -112,7 +112,11 @@ def test_run_index_matches_brute_force(odd, odd_rows):
 @given(st.lists(st.text("ab", max_size=30).map(str.encode), min_size=1, max_size=6), st.integers(1, 6))
 def test_run_index_marks_every_long_match(strings, least):
     strings = [s for s in strings if s] or [b"a"]
-    found = runindex.RunIndex(strings).long_matches(least)
+    index = runindex.RunIndex(strings)
+    found = index.long_matches(least)
+    joined = [x for i, s in enumerate(strings) for x in [*(b + len(strings) for b in s), i]]
+    order = sorted(range(len(joined)), key=lambda i: joined[i:])
+    assert np.repeat(index.run_symbols, index.run_lengths).tolist() == [joined[i - 1] for i in order]
     seen = Counter(s[i : i + least] for s in strings for i in range(len(s) - least + 1))
     for s, spans in zip(strings, found, strict=True):
         marked = {i for a, b in spans for i in range(a, b)}
