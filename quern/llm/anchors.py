@@ -109,7 +109,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), sub.alias("sub"), "doc_id", "text")
 
 
-def anchor_rows(rows: DataFrame, kind: Windows, only_hash: bool = False) -> DataFrame:
+def anchor_rows(rows: DataFrame, kind: Windows) -> DataFrame:
     """(h, c, did, sub, at, n) of every context of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +119,10 @@ def anchor_rows(rows: DataFrame, kind: Windows, only_hash: bool = False) -> Data
             for a, b in chunks(texts):
                 values, bounds, _ = symbols(texts[a:b], kind)
                 owner, at, n, h, c = contexts(values, bounds, kind)
-                if only_hash:
-                    yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
-                else:
-                    cols = [h, c, did[a:b][owner], sub[a:b][owner].astype(np.int32), at.astype(np.int32), n.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "did", "sub", "at", "n"])
+                cols = [h, c, did[a:b][owner], sub[a:b][owner].astype(np.int32), at.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "did", "sub", "at", "n"])
 
-    return rows.select("did", "sub", "text").mapInArrow(run, "h long" if only_hash else "h long, c long, did long, sub int, at int, n int")
+    return rows.select("did", "sub", "text").mapInArrow(run, "h long, c long, did long, sub int, at int, n int")
 
 
 def possible(rows: DataFrame, ids: DataFrame) -> Column | tuple[DataFrame, str]:
@@ -144,8 +141,11 @@ def possible(rows: DataFrame, ids: DataFrame) -> Column | tuple[DataFrame, str]:
 
 def shared_anchors(rows: DataFrame, kind: Windows, scratch: Scratch) -> DataFrame:
     """The contexts whose anchor hash is found at least twice."""
-    often = anchor_rows(rows, kind, only_hash=True).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    return scratch.table(anchor_rows(rows, kind).join(often, "h"), "shared-anchors")
+    found = scratch.table(anchor_rows(rows, kind), "anchors")
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    shared = scratch.table(found.join(often, "h"), "shared-anchors")
+    scratch.drop(found)
+    return shared
 
 
 def owned_contexts(shared: DataFrame, scratch: Scratch) -> DataFrame:
