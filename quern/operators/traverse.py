@@ -1,8 +1,9 @@
 """Graph walks as joins: neighbourhoods, slices, distances, fixpoints, levels.
 
-Edges are frames with ``src`` and ``dst``. A walk of a few hops is one plan, each hop a
-join and an anti-join; open-ended walks loop on the driver over staged frontiers, so a
-plan never grows with the number of rounds and a lost executor costs one round.
+Edges are frames with ``src`` and ``dst``. Every hop's frontier is staged: a hop joins a
+stored frontier with the stored edges, and no plan holds an earlier hop. Open-ended walks
+end at their fixpoint; a lost executor costs a round. What has been seen is folded into
+one table whenever it is in more than ``FOLD`` parts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quern.sources.staging import stage
 
+FOLD = 16
+
 
 def without_advisory(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("trust").eqNullSafe("advisory"))
@@ -22,72 +25,81 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 
 
-def within_hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(id, distance) of what ``depth`` hops reach from ``seeds`` (column id), seeds at 0.
-
-    Derived edges are staged once, as every hop reads them.
-    """
+def _hops(seeds: DataFrame, edges: DataFrame, depth: int | None) -> DataFrame:
     steps = edges.select("src", "dst")
-    steps = stage(steps, "edges") if depth > 1 else steps
-    seen = seeds.select("id").distinct().withColumn("distance", F.lit(0))
-    frontier = seen
-    for hop in range(1, depth + 1):
+    seen = frontier = stage(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "seeds")
+    parts, hop = 1, 0
+    while depth is None or hop < depth:
+        hop += 1
         near = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = near.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop))
-        seen = seen.unionByName(frontier)
+        frontier = stage(near.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts > FOLD:
+            seen, parts = stage(seen, "seen"), 1
     return seen
 
 
+def within_hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(id, distance) of what ``depth`` hops reach from ``seeds`` (column id), seeds at 0."""
+    return _hops(seeds, edges, depth)
+
+
 def slice_edges(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Edges leaving nodes nearer than ``depth``."""
     return edges.join(nodes.where(F.col("distance") < depth), edges["src"] == nodes["id"], "left_semi")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, distance) of everything reachable; rounds end when a frontier is empty."""
-    steps = stage(edges.select("src", "dst"), "edges")
-    seen = stage(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "seen")
-    frontier = seen
-    for hop in range(1, most + 1):
-        near = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = stage(near.join(seen, "id", "left_anti").withColumn("distance", F.lit(hop)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    return _hops(seeds, stage(edges.select("src", "dst"), "edges"), None)
 
 
 def bounded_walk(seeds: DataFrame, edges: DataFrame, depth: int, fanout: int, budget: int) -> DataFrame:
-    """A walk with at most ``fanout`` edges a node and ``budget`` nodes, nearest first.
+    """(id, distance, path) of a walk with at most ``fanout`` edges a node and ``budget`` nodes.
 
-    Edges are admitted in the order (kind, dst); nodes in the order (distance, id).
+    Edges are taken in the order (kind, dst), nodes admitted in the order (distance, id)
+    until the budget is spent, and a node is walked on only if it was admitted. Of the
+    shortest ways to a node, the path is the least by its ids.
     """
     first = Window.partitionBy("src").orderBy("kind", "dst")
-    kept = edges.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= fanout).drop("_n")
-    return within_hops(seeds, kept, depth).orderBy("distance", "id").limit(budget)
+    seen = frontier = stage(seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), F.array("id").alias("path")), "seeds")
+    left = budget - seen.count()
+    for hop in range(1, depth + 1):
+        if left <= 0:
+            break
+        out = edges.join(frontier.select(F.col("id").alias("src"), "path"), "src").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= fanout)
+        near = out.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        frontier = stage(near.orderBy("id").limit(left).select("id", F.lit(hop).alias("distance"), "path"), "frontier")
+        found = frontier.count()
+        if not found:
+            break
+        left -= found
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def reach_with_waypoint(seeds: DataFrame, edges: DataFrame, waypoint: DataFrame, depth: int) -> DataFrame:
     """(id, has) states: whether some path to ``id`` has passed a node of ``waypoint``."""
     mark = waypoint.select("id", F.lit(True).alias("w"))
-    tagged = stage(edges.select("src", "dst"), "edges").join(mark.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", F.coalesce("w", F.lit(False)).alias("w"))
-    seen = seeds.select("id").distinct().join(mark, "id", "left").select("id", F.coalesce("w", F.lit(False)).alias("has"))
-    frontier = seen
+    tagged = edges.select("src", "dst").join(mark.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", F.coalesce("w", F.lit(False)).alias("w"))
+    seen = frontier = stage(seeds.select("id").distinct().join(mark, "id", "left").select("id", F.coalesce("w", F.lit(False)).alias("has")), "seeds")
     for _ in range(depth):
         near = frontier.join(tagged, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("has") | F.col("w")).alias("has")).distinct()
-        frontier = near.join(seen, ["id", "has"], "left_anti")
+        frontier = stage(near.join(seen, ["id", "has"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
 def shortest_paths(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(id, distance, path): the first shortest path to each node by the order of its ids."""
-    steps = stage(edges.select("src", "dst").distinct(), "edges")
-    seen = seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), F.array("id").alias("path"))
-    frontier = seen
+    steps = edges.select("src", "dst").distinct()
+    seen = frontier = stage(seeds.select("id").distinct().select("id", F.lit(0).alias("distance"), F.array("id").alias("path")), "seeds")
     for hop in range(1, depth + 1):
         near = frontier.join(steps, F.col("id") == F.col("src")).join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        frontier = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select("id", F.lit(hop).alias("distance"), "path")
+        near = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        frontier = stage(near.select("id", F.lit(hop).alias("distance"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -98,19 +110,26 @@ def propagate_flag(flagged: DataFrame, edges: DataFrame) -> DataFrame:
     return reach(flagged, back).select("id")
 
 
-def topo_levels(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, level): longest distance from a node without inputs; nodes on cycles have none."""
+def topo_levels(edges: DataFrame) -> DataFrame:
+    """(id, level): longest distance from a node without inputs.
+
+    Nodes that never get free, those on cycles and behind them, all have the level after
+    the last one.
+    """
     left = stage(edges.select("src", "dst").distinct(), "edges")
-    nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
-    done, waiting = None, stage(nodes, "nodes")
-    for level in range(most):
+    waiting = stage(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct(), "nodes")
+    done, parts, level = None, 0, 0
+    while True:
         free = stage(waiting.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "free")
         if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
+            rest = waiting.withColumn("level", F.lit(level))
+            return rest if done is None else done.unionByName(rest)
+        done, parts = (free, 1) if done is None else (done.unionByName(free), parts + 1)
+        if parts > FOLD:
+            done, parts = stage(done, "done"), 1
         waiting = stage(waiting.join(free, "id", "left_anti"), "waiting")
         left = stage(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "left")
-    return done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)
+        level += 1
 
 
 def overlapping(entities: DataFrame, file: str, lo: int, hi: int) -> DataFrame:

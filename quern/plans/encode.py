@@ -2,7 +2,7 @@
 
 Entities are rows of the dimension tables; relations are topology-unique, and each line
 item is one observation (site) of an edge. The same rules stand in ``GRAPH_SQL`` for
-the oracles.
+the oracles. The tables are stored at their first use in a session, sorted for lookups.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.snapshot import lookup_table
+
 #: Evidence ranks, weakest first.
 TRUST_RANK = {"advisory": 0, "legacy_unknown": 1, "derived": 2, "authoritative": 3}
 #: Relation families of the encoded kinds.
@@ -27,6 +29,10 @@ def node(kind: str, key: str) -> Column:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_table(spark, sf_dir, "entities", lambda: _entities(spark, sf_dir), "id")
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(kind: str, source: str, key: str, name: Column, width: int) -> DataFrame:
         return table(spark, sf_dir, source).select(
             node(kind, key).alias("id"), F.lit(kind).alias("kind"), name.alias("name"), F.lit("extracted").alias("status"),
@@ -64,6 +70,10 @@ def trust_name(rank: Column) -> Column:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_table(spark, sf_dir, "relations", lambda: _relations(spark, sf_dir), "src")
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, src, dst, status, trust): one row per edge, whatever its number of sites."""
     fixed = lambda df, src, dst: df.select(F.lit("CONTAINS").alias("kind"), src.alias("src"), dst.alias("dst"), F.lit("confirmed").alias("status"), F.lit("authoritative").alias("trust"))
     nation = table(spark, sf_dir, "nation")
@@ -81,6 +91,10 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_table(spark, sf_dir, "source_lines", lambda: _source_lines(spark, sf_dir), "path")
+
+
+def _source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, line, text): non-blank lines, numbered from 1."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
@@ -88,6 +102,10 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_table(spark, sf_dir, "spans", lambda: _spans(spark, sf_dir), "path")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested units per path: blocks of 4 lines inside blocks of 12 lines inside the file."""
     last = source_lines(spark, sf_dir).groupBy("path").agg(F.max("line").alias("n"))
 
@@ -103,6 +121,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_table(spark, sf_dir, "key_dims", lambda: _key_dims(spark, sf_dir), "key_id")
+
+
+def _key_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key_id, dim, value): parts unpivoted to postings."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), (F.col("p_size") % 8).cast("string").alias("size"))
     return part.unpivot("key_id", ["brand", "type", "size"], "dim", "value")

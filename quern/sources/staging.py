@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; a temporary one on a single machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    root = getattr(spark.sparkContext, "_quern_staging", None) or tempfile.mkdtemp(prefix="quern-")
+    spark.sparkContext._quern_staging = root
+    return root
 
 
 def stage(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back."""
-    spark = frame.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_quern_staging", None) or tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext._quern_staging = root
-    where = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}/{name}"
+    where = f"{shared_root(frame.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
     frame.write.parquet(where)
-    return spark.read.schema(frame.schema).parquet(where)
+    return frame.sparkSession.read.schema(frame.schema).parquet(where)

@@ -29,7 +29,10 @@ def test_walks(spark):
     assert {tuple(r) for r in traverse.reach(start, edges).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert {r.id: r.path for r in traverse.shortest_paths(start, edges, 3).collect()}["d"] == ["a", "b", "c", "d"]
     assert {r.id for r in traverse.propagate_flag(spark.createDataFrame([("d",)], "id string"), edges).collect()} == {"a", "b", "c", "d"}
-    assert {tuple(r) for r in traverse.topo_levels(edges).collect()} == {("x", 0), ("y", 1)}
+    assert {tuple(r) for r in traverse.topo_levels(edges).collect()} == {("x", 0), ("y", 1), ("a", 2), ("b", 2), ("c", 2), ("d", 2)}
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)], "src string, dst string")
+    assert {(r.id, r.distance) for r in traverse.reach(spark.createDataFrame([("n00",)], "id string"), chain).collect()} == {(f"n{i:02d}", i) for i in range(21)}
+    assert traverse.topo_levels(chain).where("level = 20").first().id == "n20"
 
 
 def test_merge_trust_and_spans(spark):
