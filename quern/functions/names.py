@@ -89,3 +89,9 @@ def name_like(name: Column, pattern: str) -> Column:
         return name.contains(pattern)
     escaped = re.sub(r"([\\%_])", r"\\\1", pattern)
     return name.like(escaped.replace("*", "%").replace("?", "_"))
+
+
+def same_path(left: Column, right: Column) -> Column:
+    """Equal after normalisation, or one the tail of the other at a folder."""
+    a, b = normal_path(left), normal_path(right)
+    return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))

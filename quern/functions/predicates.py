@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.vectors import vector
+
 #: Binary operators from loosest to tightest.
 LEVELS = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", "<=", ">", ">="], ["<<", ">>"], ["+", "-"], ["*", "/", "%"]]
 #: Operator names.
 NAMES = {
-    "||": "OR", "&&": "AND", "|": "BITOR", "^": "XOR", "&": "BITAND", "==": "EQ", "!=": "NE", "<": "LT", "<=": "LE", ">": "GT", ">=": "GE",
+    "||": "OR", "&&": "AND", "|": "BITOR", "^": "BITXOR", "&": "BITAND", "==": "EQ", "!=": "NE", "<": "LT", "<=": "LE", ">": "GT", ">=": "GE",
     "<<": "SHL", ">>": "SHR", "+": "ADD", "-": "SUB", "*": "MUL", "/": "DIV", "%": "MOD",
 }
 _TOKEN = re.compile(r'\s*(?:(?P<num>0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)[uUlL]*|(?P<str>"[^"]*")|(?P<ref>[A-Za-z_]\w*(?:(?:::|\.|->)[A-Za-z_]\w*)*)|(?P<op>\|\||&&|==|!=|<=|>=|<<|>>|[-+*/%<>|^&!~(),]))')
@@ -144,11 +146,39 @@ def evaluate(tree: dict, values: dict) -> float | int | bool | str | None:
     return {
         "EQ": lambda a, b: a == b, "NE": lambda a, b: a != b, "LT": lambda a, b: a < b, "LE": lambda a, b: a <= b, "GT": lambda a, b: a > b, "GE": lambda a, b: a >= b,
         "ADD": lambda a, b: a + b, "SUB": lambda a, b: a - b, "MUL": lambda a, b: a * b, "DIV": lambda a, b: a / b, "MOD": lambda a, b: a % b,
-        "SHL": lambda a, b: a << b, "SHR": lambda a, b: a >> b, "BITAND": lambda a, b: a & b, "BITOR": lambda a, b: a | b, "XOR": lambda a, b: a ^ b,
+        "SHL": lambda a, b: a << b, "SHR": lambda a, b: a >> b, "BITAND": lambda a, b: a & b, "BITOR": lambda a, b: a | b, "BITXOR": lambda a, b: a ^ b,
         "NOT": lambda a: not a, "NEG": lambda a: -a, "BITNOT": lambda a: ~a,
     }[op](*args)
 
 
+@vector("double")
+def evaluate_text(texts: pd.Series) -> pd.Series:
+    """The value of constant expressions, null where one is unknown; true is 1."""
+    return texts.map(lambda t: None if (v := evaluate(parse(t or ""), {})) is None or isinstance(v, str) else float(v))
+
+
+def axes(tree: dict) -> list[dict]:
+    """Fields and shifts of a packing: an OR or sum of references, shifted or weighted by powers of two."""
+    joins = {"BITOR", "ADD"}
+    if tree["op"] in joins:
+        found = [axes(a) for a in tree["args"]]
+        return [x for part in found for x in part] if all(found) else []
+    if tree["op"] == "REF":
+        return [{"field": tree["value"], "shift": 0}]
+    if tree["op"] not in ("SHL", "MUL") or tree["args"][1]["op"] != "INT":
+        return []
+    by, inner = int(tree["args"][1]["value"]), axes(tree["args"][0])
+    if tree["op"] == "MUL" and (by <= 0 or by & (by - 1)):
+        return []
+    shift = by if tree["op"] == "SHL" else by.bit_length() - 1
+    return [{"field": x["field"], "shift": x["shift"] + shift} for x in inner]
+
+
+@vector("array<struct<field:string,shift:int>>")
+def packed_axes(texts: pd.Series) -> pd.Series:
+    return pd.Series([axes(parse(t or "")) for t in texts], dtype=object)
+
+
 def register(spark) -> None:
     """Install the scalar functions under SQL names."""
     spark.udf.register("parse_predicate", parse_predicate)

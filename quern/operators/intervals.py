@@ -60,3 +60,33 @@ def preceding(frame: DataFrame, keys: list[str], order: list[str], mark, value,
     """The last ``value`` of an earlier row for which ``mark`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return frame.withColumn(name, F.last(F.when(mark, value), ignorenulls=True).over(w))
+
+
+def match_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(wanted, path, stage): equal paths, or else the paths that end in the wanted name.
+
+    Both stages are equi-joins: a path is listed under each of its tails.
+    """
+    exact = wanted.join(files, F.col("wanted") == F.col("path")).select("wanted", "path", F.lit("exact").alias("stage"))
+    rest = wanted.join(exact.select("wanted"), "wanted", "left_anti")
+    parts = F.split("path", "/")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    listed = files.where(F.col("path").contains("/")).select("path", F.explode(tails).alias("wanted"))
+    return exact.unionByName(rest.join(listed, "wanted").select("wanted", "path", F.lit("suffix").alias("stage")))
+
+
+def header_before(spans: DataFrame, lines: DataFrame, start: str, most: int) -> DataFrame:
+    """Adds ``header``: the nearest of the ``most`` lines before a span that begins with ``start``."""
+    reach = F.explode(F.sequence(F.greatest(F.col("line_start") - most, F.lit(1)), F.col("line_start") - 1))
+    asked = spans.where("line_start > 1").select("path", "function", "line_start", reach.alias("line"))
+    hit = lines.where(F.col("text").startswith(start)).select("path", "line", F.lit(True).alias("hit"))
+    return asked.join(hit, ["path", "line"], "left").groupBy("path", "function", "line_start").agg(F.max(F.when(F.col("hit"), F.col("line"))).alias("header"))
+
+
+def clamp_starts(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``body_start``: after the last line of spans that begin earlier, reach in, and end before this one does."""
+    mine = spans.withColumn("entity_id", F.concat_ws("#", *keys))
+    other = mine.select("path", F.col("line_start").alias("w_start"), F.col("line_end").alias("w_end"), F.col("entity_id").alias("window_id"))
+    hit = overlaps(other, mine).where((F.col("w_start") < F.col("line_start")) & (F.col("w_end") < F.col("line_end")))
+    floor = hit.groupBy("entity_id").agg((F.max("w_end") + 1).alias("_floor"))
+    return mine.join(floor, "entity_id", "left").select(*keys, "line_start", "line_end", F.greatest("line_start", F.coalesce("_floor", F.lit(0))).alias("body_start"))

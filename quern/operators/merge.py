@@ -55,3 +55,19 @@ def unique_or_nothing(names: DataFrame, key: str, value: str) -> DataFrame:
 def first_wins(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return frame.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+#: Provenance labels and markers by evidence source, in the order they are tested.
+LABELS = [("ast", "authoritative", ["ast_walk"]), ("dsl", "derived", ["dsl_parse"])]
+MARKERS = [("heuristic", "advisory", "heuristic"), ("lexical", "advisory", "lexical"), ("ast", "authoritative", "ast"), ("dsl", "derived", "dsl")]
+
+
+def inferred(provenance: F.Column) -> F.Column:
+    """(source, trust) of a provenance label: exact labels first, then markers inside it."""
+    pair = lambda source, trust: F.struct(F.lit(source).alias("source"), F.lit(trust).alias("trust"))
+    out, low = F.when(F.coalesce(provenance, F.lit("")) == "", pair("unspecified", "legacy_unknown")), F.lower(provenance)
+    for source, trust, labels in LABELS:
+        out = out.when(provenance.isin(labels), pair(source, trust))
+    for source, trust, mark in MARKERS:
+        out = out.when(low.contains(mark), pair(source, trust))
+    return out.otherwise(pair("unspecified", "legacy_unknown"))

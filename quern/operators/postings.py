@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.source_text import worth_sharing
+
 #: Spellings of a flag.
 BOOLEAN = {"true": ["true", "1"], "1": ["1", "true"], "false": ["false", "0"], "0": ["0", "false"]}
 
@@ -82,3 +84,18 @@ def legal_instances(groups: DataFrame, dims: list[str]) -> DataFrame:
     for d in dims:
         out = out.withColumn(d, F.explode(d))
     return out
+
+
+def sharing(rows: DataFrame, key: str, ints: str, expr: str) -> DataFrame:
+    """(a, b, common): pairs of expressions whose common integers are worth sharing.
+
+    Pairs meet under a telling integer, or as lists under any; 0 and 1 alone join no
+    scalars, so the commonest values make no pairs of them.
+    """
+    listed = F.col(expr).contains("{")
+    posted = rows.select(F.col(key).alias("k"), F.col(expr).alias("e"), F.col(ints).alias("v"), listed.alias("list"), F.explode(ints).alias("x"))
+    posted = posted.where(F.col("list") | ~F.col("x").isin(0, 1))
+    one, two = (posted.select(*(F.col(c).alias(f"{c}_{s}") for c in ("k", "e", "v")), "x") for s in ("a", "b"))
+    pairs = one.join(two, "x").where("k_a < k_b").dropDuplicates(["k_a", "k_b"])
+    common = F.sort_array(F.array_intersect("v_a", "v_b"))
+    return pairs.where(worth_sharing(common, F.col("e_a"), F.col("e_b"))).select(F.col("e_a").alias("a"), F.col("e_b").alias("b"), common.alias("common"))

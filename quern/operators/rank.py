@@ -79,3 +79,72 @@ def page(frame: DataFrame, order: list, size: int, offset: int = 0) -> DataFrame
     if not 1 <= size <= 32:
         raise ValueError("page size is 1 to 32")
     return frame.orderBy(*order).offset(offset).limit(size)
+
+
+def interleaved(hits: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """The first ``size`` of the hits taken from their groups by turns, with their positions."""
+    turns = round_robin(hits, group, order).orderBy("turn", "first_rank", group).limit(size)
+    return turns.withColumn("position", F.row_number().over(Window.orderBy("turn", "first_rank", group))).drop("turn", "first_rank")
+
+
+def owner_rank(name: Column, owner: str) -> Column:
+    """0 for members of the owner that the caller named, 1 for others."""
+    return F.when(name.startswith(f"{owner}::"), 0).otherwise(1)
+
+
+#: Order of kinds among equal matches, and what a kind adds to a score.
+KIND_ORDER = ["FUNCTION", "FIELD"]
+SALIENCE = {"FIELD": 8, "FUNCTION": 2}
+
+
+def arch_rank(file: Column, arch: str) -> Column:
+    """0 the own architecture's files, 1 the operator's, 2 others, 3 common ones."""
+    return F.when(file.contains("/common/"), 3).when(file.contains(f"/{arch}/"), 0).when(file.rlike("^op_(host|kernel)/"), 1).otherwise(2)
+
+
+def agent_ranked(symbols: DataFrame, needle: str, arch: str) -> DataFrame:
+    """Hits of a name, which may be qualified, with their sort keys and position.
+
+    The position numbers a request's hits, which are few next to the symbols.
+    """
+    owner, _, wanted = needle.rpartition("::")
+    low, leaf_, q = F.lower("name"), F.lower(leaf(F.col("name"))), wanted.lower()
+    tier = F.when((low == q) | (leaf_ == q), 0).when(low.startswith(q) | leaf_.startswith(q), 3).when(low.contains(q), 4)
+    kind = F.lit(len(KIND_ORDER))
+    for i, k in enumerate(KIND_ORDER):
+        kind = F.when(F.col("kind") == k, i).otherwise(kind)
+    keys = {
+        "owner": owner_rank(F.col("name"), owner) if owner else F.lit(0), "tier": tier,
+        "occupancy": F.when(F.col("kind") == "FIELD", 0).when(F.col("file") != "", 1).otherwise(2), "priority": kind, "arch": arch_rank(F.col("file"), arch),
+    }
+    hits = symbols.withColumns(keys).where("tier IS NOT NULL")
+    return hits.withColumn("position", F.row_number().over(Window.orderBy(*keys, "line_start", "id")))
+
+
+def locality(file: Column) -> Column:
+    return F.when(file == "", -20).when(file.contains("/common/"), -10).when(file.rlike("^op_(host|kernel)/"), 20).otherwise(0)
+
+
+def discovered(symbols: DataFrame, needles: list[str]) -> DataFrame:
+    """(id, score) of names that hold a needle; only the exact ones if there are any.
+
+    Of a hit the first needle counts for quality. Document frequencies are those of all
+    leaves, summed before the shuffle and joined to the hits.
+    """
+    low, leaf_ = F.lower("name"), F.lower(leaf(F.col("name")))
+    named = symbols.withColumn("leaf", leaf_)
+    df = named.groupBy("leaf").agg(F.count(F.lit(1)).alias("df"))
+    total = symbols.agg(F.count(F.lit(1)).alias("total"))
+    held = F.lit(False)
+    for q in needles:
+        held = held | low.contains(q.lower())
+    q = needles[0].lower()
+    quality = F.when(F.col("leaf") == q, 100).when(F.array_contains(F.regexp_extract_all("leaf", F.lit("[a-z]+|\\d+"), F.lit(0)), q), 75).otherwise(50)
+    salience = F.lit(0)
+    for kind, points in SALIENCE.items():
+        salience = F.when(F.col("kind") == kind, points).otherwise(salience)
+    generic = F.when((F.col("df") > F.greatest(F.lit(3), F.col("total") * 0.02)) & (F.length("leaf") <= 8), -15).otherwise(0)
+    located = F.when((F.col("file") != "") & (F.col("line_start") > 0), 4).otherwise(0)
+    hits = named.where(held).join(df, "leaf").join(F.broadcast(total))
+    scored = hits.select("id", "leaf", F.round(quality + locality(F.col("file")) + salience + 4 * idf(F.col("df"), F.col("total")) + generic + located, 4).alias("score"))
+    return exact_page(scored, F.col("leaf") == q).select("id", "score")

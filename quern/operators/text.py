@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.names import path_layer
+from quern.functions.names import path_layer, path_matches
+from quern.functions.source_text import squashed
 
 _META = set(r"\.^$*+?{}[]|()")
 
@@ -69,3 +70,87 @@ def suggestions(lines: DataFrame, tokens: list[str]) -> DataFrame:
     counted = lines.agg(*found)
     pairs = F.array(*(F.struct(F.lit(t).alias("token"), F.col(f"`{t}`").alias("n")) for t in tokens))
     return counted.select(F.explode(pairs).alias("x")).select("x.token", "x.n")
+
+
+def indexed_search(lines: DataFrame, needle: str, keys: tuple[str, ...] = ("path", "line")) -> DataFrame:
+    """Lines that hold ``needle`` whatever the case: postings of its trigrams are joined, then the text is tested.
+
+    A line's postings are its distinct trigrams; a needle of fewer than three characters
+    has none and is tested directly.
+    """
+    low = F.lower("text")
+    wanted = sorted({needle.lower()[i : i + 3] for i in range(len(needle) - 2)})
+    if not wanted:
+        return lines.where(low.contains(needle.lower())).select(*keys)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    posted = lines.where(F.length(low) >= 3).select(*keys, F.explode(grams).alias("gram"))
+    asked = lines.sparkSession.createDataFrame([(g,) for g in wanted], "gram string")
+    met = posted.join(F.broadcast(asked), "gram").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    return lines.join(met, list(keys), "left_semi").where(low.contains(needle.lower())).select(*keys)
+
+
+def tagged(lines: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
+    """Lines with each phrase whose token they hold; the lexicon is a constant list."""
+    tags = F.filter(F.array(*(F.when(F.col("text").contains(token), F.lit(phrase)) for phrase, token in lexicon)), lambda x: x.isNotNull())
+    return lines.withColumn("phrase", F.explode(tags))
+
+
+def expand(lines: DataFrame, keys: list[str], macros: DataFrame, rounds: int = 8) -> DataFrame:
+    """Replaces names by their definitions (name, value), also inside definitions, ``rounds`` deep at most.
+
+    Definitions are expanded among themselves first, so each line is cut and joined once.
+    """
+    word, other = "[A-Za-z_][A-Za-z0-9_]*", "[^A-Za-z_]+"
+
+    def replaced(frame: DataFrame, ids: list[str], column: str, table: DataFrame) -> DataFrame:
+        pieces = frame.select(*ids, F.posexplode(F.regexp_extract_all(column, F.lit(f"{word}|{other}"), F.lit(0))).alias("_at", "_piece"))
+        swapped = pieces.join(table.select(F.col("name").alias("_piece"), F.col("value").alias("_value")), "_piece", "left")
+        whole = swapped.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_value", "_piece").alias("p")))).alias("_x"))
+        return whole.select(*ids, F.array_join("_x.p", "").alias(column))
+
+    table, names = macros.select("name", "value"), macros.select(F.col("name").alias("_n"))
+    for _ in range(rounds):
+        used = table.select("name", F.explode(F.regexp_extract_all("value", F.lit(word), F.lit(0))).alias("_n")).join(names, "_n")
+        if used.isEmpty():
+            break
+        table = replaced(table, ["name"], "value", macros)
+    return replaced(lines, keys, "text", table)
+
+
+def nearest_paths(files: DataFrame, glob: str, most: int = 6) -> DataFrame:
+    """(pattern, nearest): none if the glob selects a file, else paths that hold its longest literal of four characters or more."""
+    literals = [x for x in re.split(r"[*?/]+", glob) if len(x) >= 4]
+    core = re.sub("[^a-z0-9]", "", max(literals, key=len).lower()) if literals else ""
+    if not core or not files.where(path_matches(F.col("path"), glob)).isEmpty():
+        return files.sparkSession.createDataFrame([], "pattern string, nearest array<string>")
+    hit = files.where(squashed(F.col("path")).contains(core)).orderBy("path").limit(most)
+    return hit.groupBy(F.lit(glob).alias("pattern")).agg(F.sort_array(F.collect_list("path")).alias("nearest"))
+
+
+def source_role(text: Column) -> Column:
+    """0 definition or member write, 1 assignment, 2 control, 3 other, 4 comment."""
+    bare = F.btrim(text)
+    return (
+        F.when(bare.rlike("^(//|/\\*|\\*)"), 4).when(bare.rlike("^(if|for|while|switch)\\b"), 2).when(text.rlike("this->\\w|\\bset_\\w+\\("), 0)
+        .when(bare.rlike("^(void|template|class|struct|enum|using|typedef)\\b"), 0).when(text.rlike("\\w\\s*\\+?=[^=]"), 1).otherwise(3)
+    )
+
+
+def ranked_source(hits: DataFrame, pattern: str) -> DataFrame:
+    """Hits with role, tightness (0 where a name of the pattern is a whole word) and layer."""
+    idents = re.findall("[A-Za-z_][A-Za-z0-9_]*", pattern)
+    whole = F.lit(False)
+    for name in idents:
+        whole = whole | F.col("text").rlike(f"\\b{re.escape(name)}\\b")
+    return hits.select("path", "line", source_role(F.col("text")).alias("role"), F.when(whole, 0).otherwise(1).alias("tightness"), path_layer(F.col("path")).alias("layer"))
+
+
+def search(lines: DataFrame, pattern: str, file: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page of ranked hits with their positions and the exact total."""
+    scope = lines.where(path_matches(F.col("path"), file)) if file else lines
+    literal = pattern if is_literal(pattern) else ""
+    hits = ranked_source(matching(scope, pattern), literal)
+    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    order = ["role", "tightness", "layer", "path", "line"]
+    page = hits.orderBy(*order).limit(offset + limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return page.where(F.col("position") > offset).join(F.broadcast(total))

@@ -145,3 +145,21 @@ def top_per(frame: DataFrame, by: list[str], order: list[Column | str], n: int)
     """The first ``n`` rows of each group; Spark limits groups before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return frame.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def family_paths(seeds: DataFrame, wanted: DataFrame, edges: DataFrame, families: list[tuple[str, list[str], int, int]], fanout: int) -> DataFrame:
+    """(id, status, family, hops, path, families) for every wanted id.
+
+    ``families`` lists (name, kinds, depth, node budget) in order of preference. A seed
+    does not count as reached. Without a path the status is SEARCH_BUDGET if some walk
+    spent its nodes, else NO_PATH.
+    """
+    found, spent = None, False
+    for order, (family, kinds, depth, budget) in enumerate(families):
+        walk = bounded_walk(seeds, edges.where(F.col("kind").isin(kinds)).select("kind", "src", "dst"), depth, fanout, budget)
+        spent = spent or walk.count() >= budget
+        rows = walk.where("distance > 0").select("id", F.lit(order).alias("ord"), F.lit(family).alias("family"), F.col("distance").alias("hops"), "path")
+        found = rows if found is None else found.unionByName(rows)
+    best = found.groupBy("id").agg(F.min(F.struct("ord", "family", "hops", "path")).alias("b"), F.count(F.lit(1)).alias("families"))
+    status = F.when(F.col("b").isNotNull(), "COMPLETE").otherwise("SEARCH_BUDGET" if spent else "NO_PATH")
+    return wanted.join(best, "id", "left").select("id", status.alias("status"), "b.family", "b.hops", "b.path", F.coalesce("families", F.lit(0)).cast("long").alias("families"))

@@ -17,13 +17,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str = "", graph: bool = True, recursive: bool = False):
-    """Register a function under its name with an oracle over the encoded graph."""
+def query(sql: str = "", graph: bool = True, recursive: bool = False, base: str = GRAPH_SQL):
+    """Register a function under its name with an oracle over the encoded graph (or another ``base``)."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{GRAPH_SQL}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}") if graph else sql
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{base}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}") if graph else sql
         return f
 
     return add
