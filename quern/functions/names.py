@@ -31,7 +31,8 @@ def normal_path(path: Column) -> Column:
 
 def path_layer(path: Column) -> Column:
     """0 host, 1 kernel, 2 common, 3 other; common is tested first."""
-    return F.when(path.contains("/common/"), 2).when(path.contains("host"), 0).when(path.contains("kernel"), 1).otherwise(3)
+    part = lambda name: path.rlike(f"(^|/){name}(/|$)")
+    return F.when(part("common"), 2).when(part("op_host"), 0).when(part("op_kernel"), 1).otherwise(3)
 
 
 def identifiers(text: Column) -> Column:
@@ -95,3 +96,21 @@ def same_path(left: Column, right: Column) -> Column:
     """Equal after normalisation, or one the tail of the other at a folder."""
     a, b = normal_path(left), normal_path(right)
     return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
+
+
+def rel_path(path: Column, root: str) -> Column:
+    """A path below ``root`` with forward slashes; others stay whole."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), f"^{re.escape(root.rstrip('/'))}/", "")
+
+
+def identifier_parts(name: Column) -> Column:
+    """Lower-cased words of an identifier, cut at case changes, digits and underscores."""
+    return F.transform(F.regexp_extract_all(name, F.lit("[A-Z]+|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), F.lower)
+
+
+#: Names that say nothing of the subject.
+NOISE = r"^(std::.*|operator\W.*|if|for|while|switch|return|do|else|case|OP_CHECK\w*|OP_LOG\w*)$"
+
+
+def is_noise(name: Column) -> Column:
+    return name.rlike(NOISE)

@@ -15,12 +15,16 @@ def vector(kind: str) -> Callable:
     def declare(f: Callable) -> Callable[..., Column]:
         made: list = []
 
-        @wraps(f)
-        def call(*columns: Column | str) -> Column:
+        def declared():
             if not made:
                 made.append(F.pandas_udf(f, kind))
-            return made[0](*columns)
+            return made[0]
+
+        @wraps(f)
+        def call(*columns: Column | str) -> Column:
+            return declared()(*columns)
 
+        call.declared = declared
         return call
 
     return declare

@@ -54,3 +54,58 @@ def freshness(state: DataFrame) -> DataFrame:
         .when(F.col("revision").isNull(), "unknown").when(F.col("revision") != F.col("head"), "stale").when(F.col("dirty"), "dirty").otherwise("fresh")
     )
     return state.withColumn("freshness", label)
+
+
+#: Words that can name no callable.
+KEYWORDS = ["if", "for", "while", "switch", "return", "sizeof", "do", "else"]
+
+
+def touching(edges: DataFrame, bad: DataFrame) -> DataFrame:
+    """Edges with an end in ``bad`` (column id), and which end."""
+    ends = edges.select("kind", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
+    return ends.join(bad.distinct(), "id", "left_semi").select("kind", "src", "dst", F.col("id").alias("entity"))
+
+
+def keyword_callables(entities: DataFrame) -> DataFrame:
+    return entities.where(F.element_at(F.split("name", "::|\\."), -1).isin(KEYWORDS))
+
+
+def leaf_only_types(types: DataFrame) -> DataFrame:
+    """Types whose id and name hold no scope."""
+    return types.where(F.col("id").rlike(r"^TYPE_\w+$") & ~F.col("name").contains("::"))
+
+
+def required_kinds(entities: DataFrame, kinds: list[str], few: int) -> DataFrame:
+    """(kind, n, level) of every required kind: block without entities, warn with fewer than ``few``."""
+    wanted = entities.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    n = entities.where(F.col("kind").isin(kinds)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    got = wanted.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return got.withColumn("level", F.when(F.col("n") == 0, "block").when(F.col("n") < few, "warn").otherwise("ok"))
+
+
+def without_unproven(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges without those of the selecting ``kinds`` that have no evidence."""
+    return edges.where(~(F.col("kind").isin(kinds) & F.col("evidence").isNull()))
+
+
+def grounded(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges both of whose ends are entities."""
+    ids = entities.select("id").distinct()
+    both = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return both.select(*edges.columns)
+
+
+#: The layers that a changed file of each role needs built again.
+ROLE_LAYERS = {"host": ["host", "compile", "commit"], "kernel": ["kernel", "compile", "commit"], "common": ["host", "kernel", "template", "compile", "commit"]}
+ALL_LAYERS = 5
+
+
+def planned_layers(changes: DataFrame) -> DataFrame:
+    """(layer, because, mode) of a change set with roles; a layer count near all makes it a full extraction."""
+    layers = F.array().cast("array<string>")
+    for role, needed in ROLE_LAYERS.items():
+        layers = F.when(F.col("role") == role, F.array(*map(F.lit, needed))).otherwise(layers)
+    rows = changes.select("role", F.explode(layers).alias("layer")).distinct()
+    per = rows.groupBy("layer").agg(F.sort_array(F.collect_set("role")).alias("because"))
+    n = per.agg(F.count(F.lit(1)).alias("n"))
+    return per.join(F.broadcast(n)).select("layer", "because", F.when(F.col("n") >= ALL_LAYERS - 1, "full_extract").otherwise("selective").alias("mode"))

@@ -90,3 +90,29 @@ def clamp_starts(spans: DataFrame, keys: list[str]) -> DataFrame:
     hit = overlaps(other, mine).where((F.col("w_start") < F.col("line_start")) & (F.col("w_end") < F.col("line_end")))
     floor = hit.groupBy("entity_id").agg((F.max("w_end") + 1).alias("_floor"))
     return mine.join(floor, "entity_id", "left").select(*keys, "line_start", "line_end", F.greatest("line_start", F.coalesce("_floor", F.lit(0))).alias("body_start"))
+
+
+def restored(lines: DataFrame) -> DataFrame:
+    """Lines 1 to the last stored one of each path, the missing ones empty."""
+    every = lines.groupBy("path").agg(F.max("line").alias("n")).select("path", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
+    return every.join(lines, ["path", "line"], "left").select("path", "line", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def window_identity(windows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The span that names each window (path, w_start, w_end).
+
+    It is the smallest one around the window's first line if that covers half of the
+    window, or else the one with the largest overlap, the shorter of equals.
+    """
+    keys = ["path", "w_start"]
+    named = windows.withColumn("window_id", F.concat_ws("#", "path", "w_start"))
+    hit = overlaps(named, spans)
+    width = F.col("line_end") - F.col("line_start")
+    holds = F.col("w_start").between(F.col("line_start"), F.col("line_end")) & (width > 0)
+    of = lambda order: F.min(F.struct(*order, "entity_id", "overlap"))
+    best = hit.groupBy(*keys, "w_end").agg(
+        F.min(F.when(holds, F.struct(width.alias("w"), "entity_id", "overlap"))).alias("start"), of([(-F.col("overlap")).alias("o"), width.alias("w")]).alias("most"),
+    )
+    half = (2 * F.col("start.overlap") >= F.col("w_end") - F.col("w_start") + 1) | (F.col("w_end") <= F.col("w_start"))
+    chosen = best.select(*keys, F.when(F.col("start").isNotNull() & half, F.col("start.entity_id")).otherwise(F.col("most.entity_id")).alias("entity_id"))
+    return windows.join(chosen, keys, "left")

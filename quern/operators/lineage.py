@@ -51,3 +51,51 @@ def override_families(members: DataFrame, leaf: str, owner: str, base) -> DataFr
     over = flagged.where("NOT is_base").select(leaf, owner).distinct()
     pairs = bases.join(over, leaf).where(F.col("base_owner") != F.col(owner))
     return pairs.groupBy(leaf).agg(F.count_distinct("base_owner").alias("bases"), F.count_distinct(owner).alias("overrides"))
+
+
+def def_use(writes: DataFrame) -> DataFrame:
+    """(path, line, name, def_line): each name used in a value with its nearest definition before, in its function.
+
+    Definitions and uses are one sequence per (path, function, name), so the nearest is a
+    window's last one and no pair of them is made.
+    """
+    keys = ["path", "function", "name"]
+    defs = writes.select("path", "function", F.col("lhs").alias("name"), "line", F.col("line").alias("def"), F.lit(False).alias("use"))
+    names = F.array_distinct(F.regexp_extract_all("rhs", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    uses = writes.select("path", "function", F.explode(names).alias("name"), "line", F.lit(None).cast("int").alias("def"), F.lit(True).alias("use"))
+    before = Window.partitionBy(*keys).orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    seen = defs.unionByName(uses).withColumn("def_line", F.max("def").over(before))
+    return seen.where("use AND def_line IS NOT NULL").select("path", "line", "name", "def_line").distinct()
+
+
+def primary_definitions(writes: DataFrame) -> DataFrame:
+    """(path, function, name, value): the definition a reader may take, null if none can be chosen.
+
+    Definitions that mention their own name are left out unless there are no others, then
+    literals unless there are no others. Literals alone count only if they agree and
+    nothing was left out. Of several, the first by line is taken.
+    """
+    keys = ["path", "function", "name"]
+    own = F.array_contains(F.regexp_extract_all("rhs", F.lit(r"[A-Za-z_][\w.]*"), F.lit(0)), F.col("name"))
+    literal = F.col("rhs").rlike(r"^(\d+|true|false)$")
+    flagged = writes.withColumns({"own": own, "lit": literal})
+    pool = F.col("all_own") | ~F.col("own")
+    g = flagged.groupBy(*keys).agg(F.bool_and("own").alias("all_own"), F.bool_or("own").alias("any_own"))
+    kept = flagged.join(g, keys).where(pool)
+    best = kept.groupBy(*keys, "any_own").agg(F.min(F.when(~F.col("lit"), F.struct("line", "rhs"))).alias("value"), F.min(F.struct("line", "rhs")).alias("first"), F.count_distinct("rhs").alias("different"))
+    choice = F.when(F.col("value").isNotNull(), F.col("value.rhs")).when((F.col("different") == 1) & ~F.col("any_own"), F.col("first.rhs"))
+    return best.select(*keys, choice.alias("value"))
+
+
+def declaration_flags(text) -> list:
+    """Columns virtual, override, empty and has_body of a declaration's text."""
+    empty = text.rlike(r"\{\s*\}|=\s*0\s*;")
+    return [text.rlike(r"\bvirtual\b").alias("virtual"), text.rlike(r"\boverride\b").alias("override"), empty.alias("empty"), (text.contains("{") & ~empty).alias("has_body")]
+
+
+def dispatch_families(members: DataFrame, leaf: str, owner: str, base) -> DataFrame:
+    """(leaf, bases, overrides) of leaves with a base and an override whose owners differ."""
+    is_base = base
+    owners = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col(owner))))
+    g = members.groupBy(leaf).agg(owners(is_base).alias("bases"), owners(~is_base).alias("overrides"))
+    return g.where((F.size("bases") > 0) & (F.size("overrides") > 0) & (F.size(F.array_union("bases", "overrides")) > 1))

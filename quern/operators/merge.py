@@ -71,3 +71,9 @@ def inferred(provenance: F.Column) -> F.Column:
     for source, trust, mark in MARKERS:
         out = out.when(low.contains(mark), pair(source, trust))
     return out.otherwise(pair("unspecified", "legacy_unknown"))
+
+
+def with_candidates(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidate edges with the trust of the edge that is there, or advisory if there is none."""
+    keys = ["kind", "src", "dst"]
+    return candidates.distinct().join(edges, keys, "left").select(*keys, F.coalesce("trust", F.lit("advisory")).alias("trust"))

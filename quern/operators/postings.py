@@ -99,3 +99,19 @@ def sharing(rows: DataFrame, key: str, ints: str, expr: str) -> DataFrame:
     pairs = one.join(two, "x").where("k_a < k_b").dropDuplicates(["k_a", "k_b"])
     common = F.sort_array(F.array_intersect("v_a", "v_b"))
     return pairs.where(worth_sharing(common, F.col("e_a"), F.col("e_b"))).select(F.col("e_a").alias("a"), F.col("e_b").alias("b"), common.alias("common"))
+
+
+def covered(rows: DataFrame, mask: str, dims: dict[str, int]) -> DataFrame:
+    """Rows with each dim whose bits their mask holds whole; the dims are a constant list."""
+    held = F.filter(F.array(*(F.when(F.col(mask).bitwiseAND(F.lit(bits)) == bits, F.lit(name)) for name, bits in dims.items())), lambda x: x.isNotNull())
+    return rows.withColumn("dim", F.explode(held))
+
+
+def support(dims: DataFrame, dim: str, value: str) -> DataFrame:
+    """(fact, dim, value, n): counts of the dim's values, of other values beside this one with zeros, and without it."""
+    keys = dims.where((F.col("dim") == dim) & (F.col("value") == value)).select("key_id").distinct()
+    own = dims.where(F.col("dim") == dim).groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    rest = dims.where(F.col("dim") != dim).join(keys, "key_id", "left_anti").groupBy("dim", "value").agg(F.count_distinct("key_id").alias("n"))
+    facts = {"value": own, "cross": cross_counts(dims, dim, value), "without": rest}
+    parts = [frame.select(F.lit(name).alias("fact"), "dim", "value", "n") for name, frame in facts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

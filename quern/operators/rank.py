@@ -148,3 +148,15 @@ def discovered(symbols: DataFrame, needles: list[str]) -> DataFrame:
     hits = named.where(held).join(df, "leaf").join(F.broadcast(total))
     scored = hits.select("id", "leaf", F.round(quality + locality(F.col("file")) + salience + 4 * idf(F.col("df"), F.col("total")) + generic + located, 4).alias("score"))
     return exact_page(scored, F.col("leaf") == q).select("id", "score")
+
+
+def meant(known: DataFrame, asked: list[str], edits: int, most: int) -> DataFrame:
+    """(asked, meant, rank): up to ``most`` known names within ``edits`` of each asked one.
+
+    The asked names are a request's few; each known name is compared with them in one
+    pass, and only those near enough go on.
+    """
+    tries = F.array(*(F.struct(F.lit(a).alias("asked"), F.levenshtein(F.lit(a), F.col("name")).alias("away")) for a in asked))
+    near = known.select("name", F.explode(F.filter(tries, lambda x: x["away"] <= edits)).alias("x")).select("x.asked", "x.away", F.col("name").alias("meant"))
+    w = Window.partitionBy("asked").orderBy("away", "meant")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("away")

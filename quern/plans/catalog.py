@@ -61,9 +61,9 @@ def snk2_postings(spark, d):
     return encode.key_dims(spark, d)
 
 
-@query("SELECT id, name FROM ent WHERE kind = 'NATION' AND name = 'FRANCE'")
+@query("SELECT id, name FROM ent WHERE kind = 'NATION' AND name = 'NATION_6'")
 def flt1_by_kind_and_name(spark, d):
-    return encode.entities(spark, d).where((F.col("kind") == "NATION") & (F.col("name") == "FRANCE")).select("id", "name")
+    return encode.entities(spark, d).where((F.col("kind") == "NATION") & (F.col("name") == "NATION_6")).select("id", "name")
 
 
 @query("SELECT id, name FROM ent WHERE lower(regexp_extract(name, '[^#.:]*$')) = '17'")
@@ -77,11 +77,11 @@ def flt4_tiered_entity_search(spark, d):
     return encode.entities(spark, d).select("id", rank.name_tier(F.col("name"), "order#1").alias("tier")).where("tier is not null")
 
 
-@query("""+tok AS (SELECT * FROM (VALUES ('FRANCE', 0), ('GERMANY', 1), ('france', 2)) t(t, o)),
+@query("""+tok AS (SELECT * FROM (VALUES ('NATION_6', 0), ('NATION_7', 1), ('nation_6', 2)) t(t, o)),
 m AS (SELECT id, o, row_number() OVER (PARTITION BY id ORDER BY o) AS r FROM ent JOIN tok ON lower(name) = lower(t))
 SELECT id, o AS needle FROM m WHERE r = 1""")
 def flt5_multi_needle(spark, d):
-    needles = spark.createDataFrame([("FRANCE", 0), ("GERMANY", 1), ("france", 2)], "t string, needle int")
+    needles = spark.createDataFrame([("NATION_6", 0), ("NATION_7", 1), ("nation_6", 2)], "t string, needle int")
     hits = encode.entities(spark, d).join(needles, F.lower("name") == F.lower("t"))
     return merge.first_wins(hits.select("id", "needle"), ["id"], ["needle"])
 
@@ -92,12 +92,6 @@ def flt7_json_literal_filter(spark, d):
     return table(spark, d, "events").where(k.isin("7", "11")).select("event_id", k.cast("int").alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('0x1F', '31'), ('0b101', '5'), ('42u', '42'), ('7', '7')) t(literal, value)", graph=False)
-def flt8_integer_literals(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("0x1F", "0b101", "42u", "7")], "literal string")
-    return rows.select("literal", names.integer_text(F.col("literal")).alias("value"))
-
-
 @query("SELECT id FROM ent WHERE name LIKE 'Customer#%7'")
 def flt9_name_glob(spark, d):
     return encode.entities(spark, d).where(names.name_like(F.col("name"), "Customer#*7")).select("id")
@@ -157,13 +151,6 @@ def jn8_window_overlap(spark, d):
     return intervals.overlaps(w, s.drop("kind")).select("window_id", "entity_id", F.col("overlap").cast("int").alias("overlap"))
 
 
-@query("SELECT kind, src, dst, dst AS missing FROM rel WHERE kind = 'READS' AND dst IN (SELECT 'PART:' || p_partkey FROM part WHERE p_size > 40)")
-def jn10_dangling_edges(spark, d):
-    small = table(spark, d, "part").where("p_size <= 40").select(encode.node("PART", "p_partkey").alias("id"))
-    known = encode.entities(spark, d).where("kind <> 'PART'").select("id").unionByName(small)
-    return audit.dangling(encode.relations(spark, d).where("kind = 'READS'"), known)
-
-
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_signup FROM events""", graph=False)
 def jn12_asof_preceding(spark, d):
     e = table(spark, d, "events")
@@ -224,7 +211,8 @@ def gr6_shortest_distance(spark, d):
     return near.where(F.col("id").startswith("SUPPLIER:"))
 
 
-@query()
+@query("""+e AS (SELECT src, dst FROM rel WHERE kind IN ('CONTAINS', 'CALLS')), w AS (SELECT 'NATION:6' AS id, 0 AS distance, ['NATION:6'] AS path UNION SELECT e.dst, w.distance + 1, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.id WHERE w.distance < 2),
+m AS (SELECT id, min(distance) AS distance FROM w GROUP BY id) SELECT w.id, w.distance::INT AS distance, min(w.path) AS path FROM w JOIN m ON m.id = w.id AND m.distance = w.distance GROUP BY w.id, w.distance""", recursive=True)
 def gr7_shortest_paths(spark, d):
     return traverse.shortest_paths(seed(spark, "NATION:6"), encode.relations(spark, d).where("kind IN ('CONTAINS', 'CALLS')"), 2)
 
@@ -257,24 +245,6 @@ def gr11_impact_closure(spark, d):
     return traverse.within_hops(seed(spark, "ORDER:1"), edges, 3).withColumn("sink", F.col("id").startswith("SUPPLIER:"))
 
 
-@query()
-def gr13_bounded_walk(spark, d):
-    return traverse.bounded_walk(seed(spark, "CUSTOMER:1"), encode.relations(spark, d), 5, 12, 80)
-
-
-@query("""+fam AS (SELECT * FROM (VALUES ('call', 'CALLS'), ('data', 'READS'), ('control', 'BINDS'), ('compile', 'CONTAINS')) t(family, kind)),
-w AS (SELECT family, 'CUSTOMER:1' AS id, 0 AS distance FROM fam UNION SELECT w.family, rel.dst, w.distance + 1 FROM w JOIN fam USING (family) JOIN rel ON rel.src = w.id AND rel.kind = fam.kind WHERE w.distance < 5)
-SELECT family, count(DISTINCT id)::BIGINT AS reached, max(distance)::INT AS depth FROM w GROUP BY family""", recursive=True)
-def gr14_family_path_menu(spark, d):
-    r, out = encode.relations(spark, d), []
-    for family, kinds in encode.FAMILIES.items():
-        out.append(traverse.within_hops(seed(spark, "CUSTOMER:1"), r.where(F.col("kind").isin(kinds)), 2).withColumn("family", F.lit(family)))
-    menu = out[0]
-    for x in out[1:]:
-        menu = menu.unionByName(x)
-    return menu.groupBy("family").agg(F.count_distinct("id").alias("reached"), F.max("distance").alias("depth"))
-
-
 @query("""SELECT dst AS id, count(*) FILTER (status IN ('confirmed', 'extracted', 'verified'))::BIGINT AS called_by, count(*) FILTER (status NOT IN ('confirmed', 'extracted', 'verified'))::BIGINT AS possible_callers
 FROM rel WHERE kind = 'CALLS' GROUP BY dst""")
 def gr18_calls_in_out(spark, d):
@@ -486,7 +456,10 @@ def wn4_innermost_guards(spark, d):
     return intervals.innermost(lines, encode.spans(spark, d).drop("kind"), ["path", "line"]).select("path", "line", "entity_id", "depth")
 
 
-@query()
+@query("""WITH m AS (SELECT user_id, ts, event_id, event_type, json_extract_string(props, '$.k') AS name FROM events WHERE event_type IN ('error', 'view')),
+p AS (SELECT *, count(*) FILTER (event_type = 'error') OVER w AS turn, arg_max(name, (ts, event_id)) FILTER (event_type = 'error') OVER w AS pending FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, turn ORDER BY ts, event_id) AS r FROM p WHERE event_type = 'view' AND turn > 0 AND pending <> name)
+SELECT DISTINCT user_id, pending AS destroyed, name AS constructed FROM b WHERE r = 1""", graph=False)
 def wn7_lifetime_edges(spark, d):
     e = table(spark, d, "events").withColumn("name", F.get_json_object("props", "$.k"))
     return lineage.lifetimes(e, "user_id", ["ts", "event_id"], "event_type", "name", "error", "view")
@@ -498,25 +471,10 @@ def wn9_occurrence_ordinals(spark, d):
     return table(spark, d, "events").select("event_id", (F.row_number().over(w) - 1).alias("ordinal"))
 
 
-@query("""+t AS (SELECT id, kind, CASE WHEN lower(name) = 'order#1' THEN 100 WHEN lower(name) LIKE 'order#1%' THEN 60 ELSE 50 END AS q, line_start FROM ent WHERE lower(name) LIKE '%order#1%')
-SELECT id, (q + CASE kind WHEN 'ORDER' THEN 8 ELSE 3 END + CASE WHEN line_start > 0 THEN 4 ELSE 0 END)::INT AS score FROM t""")
-def tk3_find_score(spark, d):
-    n = F.lower("name")
-    hits = encode.entities(spark, d).where(n.contains("order#1"))
-    quality = F.when(n == "order#1", 100).when(n.startswith("order#1"), 60).otherwise(50)
-    score = quality + F.when(F.col("kind") == "ORDER", 8).otherwise(3) + F.when(F.col("line_start") > 0, 4).otherwise(0)
-    return hits.select("id", score.cast("int").alias("score"))
-
-
-@query(r"""SELECT path, line, (CASE WHEN regexp_matches(text, '[A-Za-z_]\s*=[^=]') THEN 0 WHEN regexp_matches(text, '[A-Za-z_]\(') THEN 1 WHEN regexp_matches(text, '^\s*[-*|#]') THEN 2 WHEN regexp_matches(text, '\.\s*$') THEN 3 ELSE 4 END)::INT AS role FROM line""")
-def tk4_line_rank(spark, d):
-    return encode.source_lines(spark, d).select("path", "line", text.line_role(F.col("text")).alias("role"))
-
-
-@query("SELECT id FROM ent WHERE name = 'FRANCE'")
+@query("SELECT id FROM ent WHERE name = 'NATION_6'")
 def tk5_exactness_page(spark, d):
-    hits = encode.entities(spark, d).where(F.lower("name").contains("fran"))
-    return rank.exact_page(hits, F.lower("name") == "france").select("id")
+    hits = encode.entities(spark, d).where(F.lower("name").contains("nation_6"))
+    return rank.exact_page(hits, F.lower("name") == "nation_6").select("id")
 
 
 @query("""+h AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line)::INT AS turn, min(line) OVER (PARTITION BY path)::INT AS first_rank FROM line WHERE contains(lower(text), 'tion')) SELECT path, line, turn, first_rank FROM h""")
@@ -565,21 +523,6 @@ def set1_intersection(spark, d):
     return r.where("kind = 'READS'").select(F.col("dst").alias("id")).intersect(r.where("kind = 'BINDS'").select("src"))
 
 
-@query("SELECT name, regexp_extract(name, '[^#.:]*$') AS leaf FROM ent WHERE kind IN ('ORDER', 'NATION')")
-def sf1_leaf(spark, d):
-    return encode.entities(spark, d).where("kind IN ('ORDER', 'NATION')").select("name", names.leaf(F.col("name")).alias("leaf"))
-
-
-@query("SELECT 'R_' || kind || '_' || substr(sha1(kind || '|' || src || '|' || dst), 1, 12) AS id FROM rel WHERE kind = 'CALLS'")
-def sf4_edge_ids(spark, d):
-    return encode.relations(spark, d).where("kind = 'CALLS'").select(names.edge_id(F.col("kind"), F.col("src"), F.col("dst")).alias("id"))
-
-
-@query("SELECT path, g, min(line)::INT AS first, max(line)::INT AS last, count(*)::BIGINT AS n FROM (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS g FROM line WHERE line % 5 <> 0) GROUP BY path, g".replace("SELECT path, g, ", "SELECT path, "))
-def sf12_line_runs(spark, d):
-    return intervals.line_runs(encode.source_lines(spark, d).where("line % 5 <> 0").select("path", "line"), ["path"])
-
-
 @query("SELECT p_partkey, ((p_size % 64) | ((p_partkey % 1024) << 6))::BIGINT AS packed, (p_size % 64)::BIGINT AS size FROM part", graph=False)
 def nf1_pack_unpack_key(spark, d):
     p = table(spark, d, "part").withColumn("packed", postings.pack([(F.col("p_size") % 64, 6), (F.col("p_partkey") % 1024, 10)]))
@@ -592,12 +535,6 @@ def exp1_legal_instances(spark, d):
     return postings.legal_instances(domains, ["brand", "size"])
 
 
-@query("SELECT kind, src, dst, line::INT AS line, receiver FROM site WHERE kind = 'BINDS'")
-def exp2_sites_explode(spark, d):
-    nested = encode.sites(spark, d).where("kind = 'BINDS'").groupBy("kind", "src", "dst").agg(F.collect_list(F.struct("line", "receiver")).alias("sites"))
-    return nested.select("kind", "src", "dst", F.explode("sites").alias("s")).select("kind", "src", "dst", "s.line", "s.receiver")
-
-
 @query(r"SELECT path, line FROM line WHERE regexp_matches(text, 'ness\.|tion\.')")
 def tx2_regex_search(spark, d):
     return text.matching(encode.source_lines(spark, d), r"ness\.|tion\.").select("path", "line")

@@ -14,40 +14,17 @@ from quern.plans.encode import table
 LEAF = "lower(regexp_extract(name, '[^#.:]*$'))"
 
 
-@query("SELECT (SELECT count(*) FROM ent)::BIGINT AS entities, (SELECT count(*) FROM rel)::BIGINT AS relations, 'quern/1' AS schema")
-def src3_meta(spark, d):
-    n = lambda f: f.agg(F.count(F.lit(1)).alias("n"))
-    both = n(encode.entities(spark, d)).withColumnRenamed("n", "entities").join(n(encode.relations(spark, d)).withColumnRenamed("n", "relations"))
-    return both.withColumn("schema", F.lit("quern/1"))
-
-
 @query("SELECT DISTINCT leaf, id FROM (SELECT lower(name) AS leaf, id FROM ent UNION ALL SELECT " + LEAF + ", id FROM ent)")
 def snk3_name_leaves(spark, d):
     return encode.entities(spark, d).select(F.explode(names.leaf_variants(F.col("name"))).alias("leaf"), "id").distinct()
 
 
-@query("SELECT id FROM (SELECT DISTINCT lower(name) AS leaf, id FROM ent UNION SELECT " + LEAF + ", id FROM ent) WHERE leaf IN ('france', '17')")
+@query("SELECT id FROM (SELECT DISTINCT lower(name) AS leaf, id FROM ent UNION SELECT " + LEAF + ", id FROM ent) WHERE leaf IN ('nation_6', '17')")
 def flt3_leaf_index(spark, d):
-    wanted = spark.createDataFrame([("france",), ("17",)], "leaf string")
+    wanted = spark.createDataFrame([("nation_6",), ("17",)], "leaf string")
     return snk3_name_leaves(spark, d).join(F.broadcast(wanted), "leaf", "left_semi").select("id").distinct()
 
 
-@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '5' AND lower(event_type) = 'view'", graph=False)
-def flt6_attribute_predicates(spark, d):
-    return table(spark, d, "events").where((F.get_json_object("props", "$.k") == "5") & (F.lower("event_type") == "view")).select("event_id")
-
-
-@query("SELECT id FROM ent WHERE NOT regexp_matches(name, '^(std::|operator|Supplier)')")
-def flt13_noise_names(spark, d):
-    return encode.entities(spark, d).where(~F.col("name").rlike("^(std::|operator|Supplier)")).select("id")
-
-
-@query("SELECT id, name, CASE kind WHEN 'REGION' THEN 'template' WHEN 'NATION' THEN 'template' WHEN 'CUSTOMER' THEN 'host' WHEN 'ORDER' THEN 'host' ELSE 'kernel' END AS layer FROM ent")
-def prj5_layer(spark, d):
-    layers = spark.createDataFrame([("REGION", "template"), ("NATION", "template"), ("CUSTOMER", "host"), ("ORDER", "host"), ("SUPPLIER", "kernel"), ("PART", "kernel")], "kind string, layer string")
-    return encode.entities(spark, d).join(F.broadcast(layers), "kind").select("id", "name", "layer")
-
-
 @query("SELECT e.id, r.n FROM ent e LEFT JOIN (SELECT src, count(*)::BIGINT AS n FROM rel GROUP BY src) r ON r.src = e.id")
 def jn2_left_outer(spark, d):
     n = encode.relations(spark, d).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -91,38 +68,11 @@ def gr33_path_exists(spark, d):
     return near.agg((F.count_if(F.col("id").startswith("SUPPLIER:")) > 0).alias("found"))
 
 
-@query("SELECT id, count(*) FILTER (side = 'in')::BIGINT AS callers, count(*) FILTER (side = 'out')::BIGINT AS callees FROM (SELECT dst AS id, 'in' AS side FROM rel UNION ALL SELECT src, 'out' FROM rel) GROUP BY id")
-def gr17_in_out_degree(spark, d):
-    r = encode.relations(spark, d)
-    ends = r.select(F.col("dst").alias("id"), F.lit("in").alias("side")).unionByName(r.select(F.col("src").alias("id"), F.lit("out").alias("side")))
-    return ends.groupBy("id").agg(F.count_if(F.col("side") == "in").alias("callers"), F.count_if(F.col("side") == "out").alias("callees"))
-
-
-@query("""SELECT entity_id, role, count(*)::BIGINT AS n FROM (SELECT s.entity_id, CASE WHEN contains(l.text, '|') THEN 'table' WHEN contains(l.text, '#') THEN 'mark' ELSE 'prose' END AS role
-FROM line l JOIN span s ON l.path = s.path AND l.line BETWEEN s.line_start AND s.line_end WHERE s.kind = 'UNIT' AND s.line_end > s.line_start) GROUP BY ALL""")
-def ag16_operations_per_span(spark, d):
-    role = F.when(F.col("text").contains("|"), "table").when(F.col("text").contains("#"), "mark").otherwise("prose")
-    units = encode.spans(spark, d).where("kind = 'UNIT'").drop("kind")
-    return intervals.containing(encode.source_lines(spark, d).withColumn("role", role), units).groupBy("entity_id", "role").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT file, count(*)::BIGINT AS n, min(line_start)::INT AS first FROM ent GROUP BY file")
 def ag18_by_file(spark, d):
     return encode.entities(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first"))
 
 
-@query("SELECT CASE WHEN status = 'partial' THEN 'unresolved' WHEN trust = 'advisory' THEN 'weak' ELSE 'settled' END AS bucket, count(*)::BIGINT AS n FROM rel GROUP BY 1")
-def ag26_gap_buckets(spark, d):
-    bucket = F.when(F.col("status") == "partial", "unresolved").when(F.col("trust") == "advisory", "weak").otherwise("settled")
-    return encode.relations(spark, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT e.id, count(DISTINCT r.src) FILTER (r.kind = 'BINDS')::BIGINT AS writers, max(r.src) FILTER (r.kind = 'BINDS') AS best_writer FROM ent e LEFT JOIN rel r ON r.dst = e.id WHERE e.kind = 'SUPPLIER' GROUP BY e.id")
-def ag28_field_impact(spark, d):
-    b = encode.relations(spark, d).where("kind = 'BINDS'").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("writers"), F.max("src").alias("best_writer"))
-    return encode.entities(spark, d).where("kind = 'SUPPLIER'").select("id").join(b, "id", "left").select("id", F.coalesce("writers", F.lit(0)).cast("long").alias("writers"), "best_writer")
-
-
 @query("SELECT dim, list_sort(list(DISTINCT value)) AS values FROM dim WHERE key_id IN (SELECT key_id FROM dim WHERE dim = 'type' AND value LIKE 'S%') GROUP BY dim")
 def ag8_block_match(spark, d):
     dims = encode.key_dims(spark, d)
@@ -135,26 +85,6 @@ def ext_dim_cube(spark, d):
     return table(spark, d, "part").cube("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT kind, name, n, rank FROM (SELECT r.kind, e.name, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY r.kind ORDER BY count(*) DESC, e.name)::INT AS rank FROM rel r JOIN ent e ON e.id = r.dst GROUP BY r.kind, e.name) WHERE rank <= 3""")
-def wn2_second_stage_topk(spark, d):
-    e = encode.entities(spark, d).select(F.col("id").alias("dst"), "name")
-    n = encode.relations(spark, d).join(e, "dst").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    return traverse.top_per(n, ["kind"], [F.desc("n"), "name"], 3).select("kind", "name", "n", "rank")
-
-
-@query("SELECT user_id, string_agg('(' || event_type || ')', ' && ' ORDER BY ts, event_id) AS guard FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 3 GROUP BY user_id", graph=False)
-def wn5_guard_conjunction(spark, d):
-    e = traverse.top_per(table(spark, d, "events").where("event_type <> 'error'"), ["user_id"], ["ts", "event_id"], 3)
-    listed = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "event_type"))).alias("x"))
-    return listed.select("user_id", F.array_join(F.transform("x", lambda s: F.concat(F.lit("("), s["event_type"], F.lit(")"))), " && ").alias("guard"))
-
-
-@query("SELECT user_id, event_id, r::INT AS rank, n > 8 AS clipped FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= 8", graph=False)
-def wn6_write_timeline(spark, d):
-    e = table(spark, d, "events").withColumn("clipped", F.count(F.lit(1)).over(Window.partitionBy("user_id")) > 8)
-    return traverse.top_per(e, ["user_id"], ["ts", "event_id"], 8).select("user_id", "event_id", "rank", "clipped")
-
-
 @query("SELECT id, kind, (CASE kind WHEN 'PART' THEN 0 WHEN 'SUPPLIER' THEN 1 WHEN 'ORDER' THEN 2 ELSE 9 END)::INT AS priority FROM ent")
 def tk11_priority_order(spark, d):
     return encode.entities(spark, d).select("id", "kind", F.when(F.col("kind") == "PART", 0).when(F.col("kind") == "SUPPLIER", 1).when(F.col("kind") == "ORDER", 2).otherwise(9).alias("priority"))
@@ -167,20 +97,6 @@ def set2_union_first_wins(spark, d):
     return merge.first_wins(both, ["id"], ["o", "kind"]).select("id", "kind")
 
 
-@query("""WITH b AS (SELECT p_type, list_sort(list(DISTINCT p_size % 6)) AS v FROM part GROUP BY p_type)
-SELECT x.p_type AS a, y.p_type AS b, list_sort(list_intersect(x.v, y.v)) AS common FROM b x JOIN b y ON x.p_type < y.p_type WHERE len(list_filter(list_intersect(x.v, y.v), lambda q: q > 1)) > 0""", graph=False)
-def set7_occupancy_overlap(spark, d):
-    b = table(spark, d, "part").groupBy("p_type").agg(F.collect_set(F.col("p_size") % 6).alias("v"))
-    rows = b.select("p_type", F.explode("v").alias("q"), "v")
-    pairs = rows.where("q > 1").alias("x").join(rows.where("q > 1").alias("y"), F.col("x.q") == F.col("y.q")).where("x.p_type < y.p_type")
-    return pairs.select(F.col("x.p_type").alias("a"), F.col("y.p_type").alias("b"), F.sort_array(F.array_intersect("x.v", "y.v")).alias("common")).distinct()
-
-
-@query("SELECT id, upper(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')) AS slug FROM ent WHERE kind <> 'ORDER'")
-def sf3_slug(spark, d):
-    return encode.entities(spark, d).where("kind <> 'ORDER'").select("id", names.slug(F.col("name")).alias("slug"))
-
-
 @query("SELECT kind || '_' || substr(upper(sha256(kind || chr(31) || name || chr(31) || file)), 1, 12) AS minted, id FROM ent")
 def sf4_minted_ids(spark, d):
     e = encode.entities(spark, d)
@@ -188,22 +104,6 @@ def sf4_minted_ids(spark, d):
     return e.select(minted.alias("minted"), "id")
 
 
-@query("SELECT DISTINCT path, (CASE WHEN contains(path, 'src1') THEN 1 ELSE 3 END)::INT AS layer FROM line")
-def sf7_path_layer(spark, d):
-    shown = F.regexp_replace("path", "src1", "kernel")
-    return encode.source_lines(spark, d).select("path", names.path_layer(shown).alias("layer")).distinct()
-
-
-@query("SELECT path, line, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS tokens FROM line WHERE line = 1")
-def sf8_identifier_tokens(spark, d):
-    return encode.source_lines(spark, d).where("line = 1").select("path", "line", names.identifiers(F.col("text")).alias("tokens"))
-
-
-@query("SELECT p_partkey, list_sort(list_distinct([p_size, p_size % 7, 3])) AS sites FROM part", graph=False)
-def af1_site_accumulate(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.sort_array(F.array_distinct(F.array("p_size", F.col("p_size") % 7, F.lit(3)))).alias("sites"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events", graph=False)
 def af5_json_parse(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -216,71 +116,22 @@ def tx6_recall_with_total(spark, d):
     return hits.orderBy("path", "line").limit(10).join(F.broadcast(total)).select("total", "path", "line")
 
 
-@query("""+tok AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS leaf FROM line), l AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS leaf, p_partkey FROM part)
-SELECT leaf, count(DISTINCT p_partkey)::BIGINT AS parts FROM tok JOIN l USING (leaf) GROUP BY leaf""")
-def tx9_resolvable_symbols(spark, d):
-    tokens = encode.source_lines(spark, d).select(F.explode(names.identifiers(F.lower("text"))).alias("leaf")).distinct()
-    leaves = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("leaf"), "p_partkey").distinct()
-    return tokens.join(leaves, "leaf").groupBy("leaf").agg(F.count_distinct("p_partkey").alias("parts"))
-
-
-@query("SELECT path, line, starts_with(trim(text), '|') OR contains(text, ' | ') AS template FROM line")
-def tx11_template_lines(spark, d):
-    return encode.source_lines(spark, d).select("path", "line", (F.trim("text").startswith("|") | F.col("text").contains(" | ")).alias("template"))
-
-
 @query("SELECT path, line, text FROM line WHERE line BETWEEN 3 AND 7")
 def lc4_source_window(spark, d):
     return encode.source_lines(spark, d).where(F.col("line").between(3, 7))
 
 
-@query("SELECT path, g AS line, coalesce(text, '') AS text FROM (SELECT path, unnest(range(1, n + 1))::INT AS g FROM last) LEFT JOIN line l USING (path) WHERE l.line = g OR l.line IS NULL")
-def lc5_restore_blank_lines(spark, d):
-    lines = encode.source_lines(spark, d)
-    every = lines.groupBy("path").agg(F.max("line").alias("n")).select("path", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
-    return every.join(lines, ["path", "line"], "left").select("path", "line", F.coalesce("text", F.lit("")).alias("text"))
-
-
-@query("""SELECT window_id, entity_id FROM (SELECT w.path || '#' || a AS window_id, s.entity_id, row_number() OVER (PARTITION BY w.path, a ORDER BY least(a + 6, s.line_end) - greatest(a, s.line_start) DESC, s.line_end - s.line_start, s.entity_id) AS r
-FROM (SELECT path, unnest(range(1, n + 1, 7)) AS a FROM last) w JOIN span s ON s.path = w.path AND s.kind = 'UNIT' AND a <= s.line_end AND s.line_start <= a + 6) WHERE r = 1""")
-def lc2_window_identity(spark, d):
-    s = encode.spans(spark, d)
-    last = s.where("kind = 'FILE'").select("path", F.col("line_end").alias("n"))
-    w = last.select("path", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(7))).alias("a")).select(F.concat("path", F.lit("#"), F.col("a").cast("string")).alias("window_id"), "path", F.col("a").alias("w_start"), (F.col("a") + 6).alias("w_end"))
-    hit = intervals.overlaps(w, s.where("kind = 'UNIT'").drop("kind"))
-    return traverse.top_per(hit, ["window_id"], [F.desc("overlap"), F.col("line_end") - F.col("line_start"), "entity_id"], 1).select("window_id", "entity_id")
-
-
 @query("SELECT 'span:' || entity_id AS handle, path, line_start, line_end FROM span WHERE kind = 'UNIT'")
 def lc12_evidence_spans(spark, d):
     return encode.spans(spark, d).where("kind = 'UNIT'").select(F.concat(F.lit("span:"), "entity_id").alias("handle"), "path", "line_start", "line_end")
 
 
-@query("SELECT o_custkey, bit_or(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END)::INT AS mask, bit_or(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END) & 3 = 3 AS covers FROM orders GROUP BY o_custkey", graph=False)
-def ps9_mask_covers(spark, d):
-    bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
-    m = table(spark, d, "orders").groupBy("o_custkey").agg(F.bit_or(bit).alias("mask"))
-    return m.withColumn("covers", F.col("mask").bitwiseAND(F.lit(3)) == 3)
-
-
-@query("SELECT l_orderkey, pos::INT AS pos, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS pos FROM lineitem)", graph=False)
-def ps11_positional_binding(spark, d):
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    args = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(order)).alias("args"))
-    return args.select("l_orderkey", F.posexplode("args").alias("pos", "x")).select("l_orderkey", "pos", "x.l_partkey")
-
-
 @query("SELECT kind, src, dst, dst AS missing FROM rel WHERE kind = 'BINDS' AND status = 'confirmed' AND dst IN (SELECT 'SUPPLIER:' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)")
 def au1_confirmed_dangling(spark, d):
     known = encode.entities(spark, d).where("NOT (kind = 'SUPPLIER' AND line_start % 10 = 0)")
     return audit.dangling(traverse.confirmed(encode.relations(spark, d)).where("kind = 'BINDS'"), known)
 
 
-@query("SELECT id, name FROM ent WHERE lower(name) IN ('france', 'if', 'while', 'return')")
-def au3_keyword_names(spark, d):
-    return encode.entities(spark, d).where(F.lower("name").isin("france", "if", "while", "return")).select("id", "name")
-
-
 @query("SELECT kind, file, line_start, count(*)::BIGINT AS n FROM ent GROUP BY ALL HAVING count(*) > 1")
 def au7_duplicate_local_objects(spark, d):
     return audit.duplicates(encode.entities(spark, d), ["kind", "file", "line_start"])
@@ -289,43 +140,3 @@ def au7_duplicate_local_objects(spark, d):
 @query("SELECT doc_id::VARCHAR AS path, sha256(text) AS sha FROM documents", graph=False)
 def upd1_source_stamps(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha"))
-
-
-@query(_AB + ", c AS (SELECT count(*) AS n FROM a FULL JOIN b USING (path) WHERE a.sha IS DISTINCT FROM b.sha) SELECT CASE WHEN n = 0 THEN 'noop' WHEN n >= (SELECT count(*) FROM documents) - 1 THEN 'full_extract' ELSE 'selective' END AS mode FROM c", graph=False)
-def upd5_update_plan(spark, d):
-    changed, all_ = audit.changed(*_snapshots(spark, d)).agg(F.count(F.lit(1)).alias("n")), table(spark, d, "documents").agg(F.count(F.lit(1)).alias("m"))
-    mode = F.when(F.col("n") == 0, "noop").when(F.col("n") >= F.col("m") - 1, "full_extract").otherwise("selective")
-    return changed.join(F.broadcast(all_)).select(mode.alias("mode"))
-
-
-@query("SELECT CASE WHEN kind IN ('REGION', 'NATION') THEN 'place' WHEN kind IN ('CUSTOMER', 'SUPPLIER') THEN 'party' ELSE 'thing' END AS bucket, count(*)::BIGINT AS n FROM ent GROUP BY 1")
-def rm1_semantic_buckets(spark, d):
-    bucket = F.when(F.col("kind").isin("REGION", "NATION"), "place").when(F.col("kind").isin("CUSTOMER", "SUPPLIER"), "party").otherwise("thing")
-    return encode.entities(spark, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT id, kind, abs(line_start - 50)::INT AS away FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY abs(line_start - 50), name, id) AS r FROM ent) WHERE r <= 2")
-def rm9_nearest_seeds(spark, d):
-    away = F.abs(F.col("line_start") - 50)
-    return traverse.top_per(encode.entities(spark, d).withColumn("away", away), ["kind"], ["away", "name", "id"], 2).select("id", "kind", "away")
-
-
-@query("SELECT user_id, event_type, max(value) AS best FROM events GROUP BY ALL", graph=False)
-def rm27_focus_write(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("best"))
-
-
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1", graph=False)
-def rm36_agreeing_callers(spark, d):
-    return merge.unique_or_nothing(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
-
-
-@query("SELECT dropped, total FROM (SELECT 'brand' AS dropped, (SELECT count(*) FROM dim WHERE dim = 'size' AND value = '2') AS total UNION ALL SELECT 'size', (SELECT count(*) FROM dim WHERE dim = 'brand' AND value = 'Brand#12'))")
-def ag10_counterfactuals(spark, d):
-    return postings.nearby(encode.key_dims(spark, d), {"brand": "Brand#12", "size": "2"}).select("dropped", "total")
-
-
-@query("SELECT user_id, count(*)::BIGINT AS n, max(event_id) AS last_id FROM events WHERE event_type = 'view' GROUP BY user_id", graph=False)
-def rm38_derivation_chain(spark, d):
-    v = lineage.versions(table(spark, d, "events").where("event_type = 'view'"), "user_id", ["event_id"]).where("latest")
-    return v.select("user_id", F.col("version").cast("long").alias("n"), F.col("event_id").alias("last_id"))

@@ -14,13 +14,22 @@ def test_predicates():
     flat = predicates.flatten(predicates.parse('strcmp(x, "TND") == 0'))
     assert flat["literals"] == ["TND", "0"] and flat["operators"] == ["EQ", "STRCMP"]
     assert predicates.parse("a ? b")["op"] == "RAW"
+    assert predicates.parse("if (x == 1) {") == predicates.parse("x == 1") == predicates.parse("for (int i = 0; x == 1; i++)")
+    flat = predicates.flatten(predicates.parse("fmt == ns::LAYOUT_TND && static_cast<int32_t>(n->size) >= 1.5f || !done(true)[k] ^ 0x1F"))
+    assert flat["enum_values"] == ["LAYOUT_TND", "LAYOUT", "TND"] and flat["literals"] == ["1.5", "true", "31"] and flat["references"] == ["fmt", "size", "k"]
+    assert flat["operators"] == ["OR", "AND", "EQ", "GE", "BITXOR", "NOT", "CALL"]
+    assert predicates.evaluate(predicates.parse("a > 1 ? b : 2.5"), {"a": 0, "b": 1}) == 2.5
     assert predicates.evaluate(predicates.parse("a / 0 == 0 || b"), {"a": 4}) is True
     assert predicates.evaluate(predicates.parse("a && b"), {"a": 1}) is None
 
 
 def test_predicate_udf(spark):
     frame = spark.createDataFrame([("a == 1",), (None,), ("x <",)], "p string").select(predicates.parse_predicate("p").alias("r"))
-    assert [r.r.operators for r in frame.collect()] == [["EQ"], ["RAW"], ["RAW"]]
+    assert [r.r.operators for r in frame.collect()] == [["EQ"], [], []]
+    held = frame.select(predicates.holds(F.col("r"), operator="eq", literal="1", symbol="A").alias("h"))
+    assert [r.h for r in held.collect()] == [True, False, False]
+    predicates.register(spark)
+    assert spark.sql("SELECT parse_predicate('x < LAYOUT_A').enum_values AS e").first().e == ["LAYOUT_A", "LAYOUT"]
 
 
 def test_walks(spark):
