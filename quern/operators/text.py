@@ -72,21 +72,27 @@ def suggestions(lines: DataFrame, tokens: list[str]) -> DataFrame:
     return counted.select(F.explode(pairs).alias("x")).select("x.token", "x.n")
 
 
-def indexed_search(lines: DataFrame, needle: str, keys: tuple[str, ...] = ("path", "line")) -> DataFrame:
-    """Lines that hold ``needle`` whatever the case: postings of its trigrams are joined, then the text is tested.
+def trigrams(text: Column) -> Column:
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
 
-    A line's postings are its distinct trigrams; a needle of fewer than three characters
-    has none and is tested directly.
+
+def trigram_index(lines: DataFrame) -> DataFrame:
+    """(gram, path, line): the distinct trigrams of every line, whatever their case; to be stored sorted by gram."""
+    return lines.where(F.length("text") >= 3).select(F.explode(trigrams(F.col("text"))).alias("gram"), "path", "line")
+
+
+def indexed_search(lines: DataFrame, index: DataFrame, needle: str) -> DataFrame:
+    """(path, line) of lines that hold ``needle``: the postings of its trigrams are met first, then the text is tested.
+
+    A needle of fewer than three characters has no trigram and is tested directly.
     """
-    low = F.lower("text")
+    holds, keys = F.lower("text").contains(needle.lower()), ["path", "line"]
     wanted = sorted({needle.lower()[i : i + 3] for i in range(len(needle) - 2)})
     if not wanted:
-        return lines.where(low.contains(needle.lower())).select(*keys)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
-    posted = lines.where(F.length(low) >= 3).select(*keys, F.explode(grams).alias("gram"))
-    asked = lines.sparkSession.createDataFrame([(g,) for g in wanted], "gram string")
-    met = posted.join(F.broadcast(asked), "gram").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
-    return lines.join(met, list(keys), "left_semi").where(low.contains(needle.lower())).select(*keys)
+        return lines.where(holds).select(*keys)
+    met = index.where(F.col("gram").isin(wanted)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    return lines.join(met, keys, "left_semi").where(holds).select(*keys)
 
 
 def tagged(lines: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:

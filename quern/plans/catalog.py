@@ -423,11 +423,6 @@ def ag23_trust_summary(spark, d):
     return encode.relations(spark, d).groupBy("trust").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_type, min(p_brand) AS p_brand FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) = 1", graph=False)
-def ag24_unique_type_names(spark, d):
-    return merge.unique_or_nothing(table(spark, d, "part"), "p_type", "p_brand")
-
-
 @query("SELECT count(*)::BIGINT AS edges, count(*) FILTER (status = 'partial')::BIGINT AS partial, count(*) FILTER (trust = 'advisory')::BIGINT AS advisory, count(DISTINCT kind)::BIGINT AS kinds FROM rel")
 def ag25_audit_cardinalities(spark, d):
     r = encode.relations(spark, d)
@@ -502,12 +497,12 @@ def tk9_page(spark, d):
 # -- sets, scalars, text --------------------------------------------------------------
 
 _AB = """WITH a AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS sha FROM documents WHERE doc_id % 17 <> 0),
-b AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 13 = 0 THEN upper(text) ELSE text END) AS sha FROM documents WHERE doc_id % 19 <> 0)"""
+b AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 19 <> 0)"""
 
 
 def _snapshots(spark, d):
     docs = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    edited = F.when(F.col("doc_id") % 13 == 0, F.upper("text")).otherwise(F.col("text"))
+    edited = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     a = docs.where("doc_id % 17 <> 0").select("path", F.sha2("text", 256).alias("sha"))
     return a, docs.where("doc_id % 19 <> 0").select("path", F.sha2(edited, 256).alias("sha"))
 

@@ -174,7 +174,7 @@ def jn13_file_matches(spark, d):
 @query("SELECT path, line FROM line WHERE contains(lower(text), 'ering')")
 def jn15_trigram_join(spark, d):
     """Lines found through postings of their trigrams, then tested."""
-    return text.indexed_search(encode.source_lines(spark, d), "ering")
+    return text.indexed_search(encode.source_lines(spark, d), encode.line_trigrams(spark, d), "ering")
 
 
 # -- scalars --------------------------------------------------------------------------

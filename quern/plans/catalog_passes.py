@@ -573,6 +573,12 @@ def rm35_primary_definitions(spark, d):
     return lineage.primary_definitions(src.writes(spark, d).select("path", "function", source_text.plain_symbol(F.col("lhs")).alias("name"), "line", "rhs"))
 
 
+@sym_query("SELECT name, min(value) AS value FROM macro GROUP BY name HAVING count(DISTINCT value) = 1")
+def ag24_unique_names(spark, d):
+    """Names that stand for exactly one value."""
+    return merge.unique_or_nothing(src.macros(spark, d), "name", "value")
+
+
 @sym_query("SELECT callee, min(path || '#' || function) AS caller FROM call GROUP BY callee HAVING count(DISTINCT path || '#' || function) = 1")
 def rm36_sole_callers(spark, d):
     """Names that a single function calls, with that function."""

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.text import trigram_index
 from quern.sources.snapshot import lookup_table
 
 #: Evidence ranks, weakest first.
@@ -101,6 +102,11 @@ def _source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.btrim("text") != "").select("path", (F.col("at") + 1).cast("int").alias("line"), "text")
 
 
+def line_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text index of the source lines, built once."""
+    return lookup_table(spark, sf_dir, "line_trigrams", lambda: trigram_index(source_lines(spark, sf_dir)), "gram")
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_table(spark, sf_dir, "spans", lambda: _spans(spark, sf_dir), "path")
 
