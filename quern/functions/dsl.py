@@ -63,7 +63,7 @@ def operator_params(text: str) -> list[dict]:
     """Input, Output and Attr declarations with the calls chained to them."""
     heads = list(re.finditer(r'\b(Input|Output|Attr)\("(\w+)"\)', text))
     out = []
-    for m, after in zip(heads, [*heads[1:], None], strict=True):
+    for m, after in zip(heads, [*heads, None][1:], strict=True):
         chain = text[m.end() : after.start() if after else len(text)]
         said = re.search(r"\.(?:ParamType|AttrType)\((\w+)\)", chain)
         types = re.search(r"\.DataType\(\{([^}]*)\}\)", chain)

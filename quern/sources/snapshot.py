@@ -21,14 +21,18 @@ SCHEMA = "quern/2"
 _STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
+def _sorted(frame: DataFrame, key: str | None) -> DataFrame:
+    """Rows dealt by ``key`` and sorted by it in each file; a key that very many rows have is split over files."""
+    return frame.hint("rebalance", F.col(key)).sortWithinPartitions(key) if key else frame
+
+
 def lookup_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], sort: str | None = None) -> DataFrame:
     """The table ``name`` derived from ``source``, built at its first use in the session."""
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _STORED:
         where = f"{shared_root(spark)}/snapshot-{uuid.uuid4().hex}/{name}"
         frame = build()
-        dealt = frame.repartitionByRange(sort).sortWithinPartitions(sort) if sort else frame
-        dealt.write.option("compression", "zstd").parquet(where)
+        _sorted(frame, sort).write.option("compression", "zstd").parquet(where)
         _STORED[key] = (where, frame.schema)
     where, schema = _STORED[key]
     return spark.read.schema(schema).parquet(where)
@@ -49,8 +53,7 @@ def write(root: str, tables: dict[str, DataFrame], meta: dict[str, str], sort: d
     version = uuid.uuid4().hex
     for name, frame in tables.items():
         key = (sort or {}).get(name)
-        dealt = frame.repartitionByRange(key).sortWithinPartitions(key) if key else frame
-        dealt.write.parquet(f"{root}/{version}/{name}")
+        _sorted(frame, key).write.parquet(f"{root}/{version}/{name}")
     write_meta(spark, f"{root}/{version}", {"schema": SCHEMA, "version": version, **meta})
     _point(spark, root, version)
     return version
