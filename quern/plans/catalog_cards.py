@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import names
-from quern.operators import audit, intervals, lineage, merge, postings, text, traverse
+from quern.operators import audit, merge, text, traverse
 from quern.plans import encode
-from quern.plans.catalog import _AB, _snapshots, query, seed
+from quern.plans.catalog import query, seed
 from quern.plans.encode import table
 
 LEAF = "lower(regexp_extract(name, '[^#.:]*$'))"

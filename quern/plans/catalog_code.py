@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import dsl, names, predicates, source_text
-from quern.operators import code, intervals, merge, postings, rank, text, traverse
+from quern.operators import code, intervals, merge, postings, text, traverse
 from quern.plans import encode
 from quern.plans import encode_code as src
 from quern.plans.catalog import query

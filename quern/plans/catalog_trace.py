@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions import names, source_text
-from quern.operators import cards, intervals, rank, text, traverse
+from quern.functions import names
+from quern.operators import cards, rank, text, traverse
 from quern.plans import encode
 from quern.plans import encode_code as src
 from quern.plans.catalog import query, seed
