@@ -17,6 +17,43 @@ def leaf_variants(name: Column) -> Column:
     return F.array_distinct(F.array(F.lower(name), F.lower(leaf(name))))
 
 
+def indexable_leaves(kind: Column, name: Column) -> Column:
+    """What a name is looked up by: itself and its parts after ``::`` and ``.``, in lower case.
+
+    A branch whose name is an expression keeps only a leading identifier; blank names have none.
+    """
+    text = F.btrim(name)
+    low = F.lower(text)
+    variants = F.array(low, *(F.btrim(F.element_at(F.split(low, sep), -1)) for sep in ("::", "\\.")))
+    head = F.array(F.lower(F.regexp_extract(text, "^[A-Za-z_][A-Za-z0-9_]*", 0)))
+    found = F.when((kind == "BRANCH") & text.rlike(r"[()=!<>&|+\-*/%]"), head).otherwise(variants)
+    return F.filter(F.array_distinct(found), lambda x: x != "")
+
+
+#: Spellings of the two truth values, the stored one first.
+TRUTHS = [("1", "true", "True", "TRUE"), ("0", "false", "False", "FALSE")]
+
+
+def truth(value: Column) -> Column:
+    """The stored spelling of a truth value; what is no spelling of true is 0."""
+    return F.when(F.lower(F.btrim(value)).isin("1", "true"), "1").otherwise("0")
+
+
+def truth_aliases(value: str) -> tuple[str, ...]:
+    """All spellings of a truth value; other values stand for themselves."""
+    said = value.strip()
+    return next((t for t in TRUTHS if said in t or said.lower() == t[1]), (said,))
+
+
+def query_classes(text: Column) -> dict[str, Column]:
+    """Whether a request's text looks like a regex, names several identifiers, or is a sentence."""
+    said = F.regexp_replace(text, r"^\s+|\s+$", "")
+    plain = (said != "") & ~said.contains("=")
+    rest = F.regexp_replace(F.regexp_replace(said, "[A-Za-z_][A-Za-z0-9_]*", ""), r"::|\.", "")
+    several = plain & (F.size(identifiers(said)) > 1) & rest.rlike(r"\S")
+    return {"regex": text.rlike(r"\||\.\*"), "several": several, "sentence": several | (plain & said.rlike(r"[\u4e00-\u9fff]|\s"))}
+
+
 def slug(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"))
 

@@ -50,7 +50,8 @@ def _is_float(text: str, suffix: str) -> bool:
 
 
 def enumerator(name: str) -> bool:
-    return name.startswith(tuple(ENUM_PREFIXES))
+    """Whether a name is spelled like an enumerator: by its prefix, or in capitals."""
+    return name.startswith(tuple(ENUM_PREFIXES)) or (len(name) > 1 and name.isupper())
 
 
 class _Reader:

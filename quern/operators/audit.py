@@ -32,8 +32,8 @@ def digest(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def changed(old: DataFrame, new: DataFrame, key: str = "path", hash_: str = "sha") -> DataFrame:
-    """(key, change): added, removed or modified; equal rows are left out."""
-    a, b = old.select(key, F.col(hash_).alias("_a")), new.select(key, F.col(hash_).alias("_b"))
+    """(key, change): added, removed or modified; equal rows are left out. A null hash is a value of its own."""
+    a, b = (frame.select(key, F.struct(hash_).alias(side)) for frame, side in ((old, "_a"), (new, "_b")))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("modified")
     return a.join(b, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key, change.alias("change"))
 

@@ -22,6 +22,18 @@ def derived_trust() -> F.Column:
     return F.coalesce(trust_name(rank), F.lit("advisory"))
 
 
+def minted(source: F.Column) -> F.Column:
+    """(trust, state) of an edge from what made it: syntax is authoritative, declarations derive, scans and guesses are candidates; others mint none."""
+    edge = lambda trust, state: F.struct(F.lit(trust).alias("trust"), F.lit(state).alias("state"))
+    return F.when(source == "ast", edge("authoritative", "resolved")).when(source == "dsl", edge("derived", "resolved")).when(source.isin("lexical", "heuristic"), edge("advisory", "candidate"))
+
+
+def normal_sites(sites: DataFrame) -> DataFrame:
+    """(owner, file, line, rhs) once each, with slashes one way and no blanks around; sites without a line are no sites."""
+    rhs = F.btrim(F.coalesce("rhs", F.lit("")))
+    return sites.where("line > 0").select("owner", F.regexp_replace("file", r"\\", "/").alias("file"), "line", rhs.alias("rhs")).distinct()
+
+
 def merge_entities(facts: DataFrame) -> DataFrame:
     """One row per id: attributes are last-wins, name and status first-wins, spans only widen.
 

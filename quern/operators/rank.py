@@ -19,6 +19,24 @@ def name_tier(name: Column, wanted: str) -> Column:
     return F.when(n == w, 0).when(F.lower(leaf(name)) == w, 1).when(n.startswith(w), 2).when(n.contains(w), 4)
 
 
+def _last(name: Column) -> Column:
+    return F.btrim(F.element_at(F.split(F.replace(name, F.lit("."), F.lit("::")), "::"), -1))
+
+
+def match_tier(name: Column, id_: Column, kind: Column, wanted: str) -> Column:
+    """0 a member of the wanted owner or an exact name, 1 an exact method, 2 a prefix that ends there, 3 one that goes on, 4 a substring, null for no match."""
+    q = wanted.lower()
+    tail = q.replace(".", "::").split("::")[-1].strip()
+    low = F.lower(name)
+    ident, of_id = _last(low), _last(F.replace(id_, F.lit("/"), F.lit("::")))
+    owners, exact = low.startswith(f"{q}::"), (low == q) | ident.isin(q) | of_id.isin(q)
+    if tail:
+        owners, exact = owners | low.startswith(f"{tail}::"), exact | (ident == tail) | (of_id == tail)
+    goes_on = lambda x: x.startswith(q) & F.substring(x, len(q) + 1, 1).rlike(r"[\p{L}\p{N}]")
+    prefix = F.when(goes_on(low) | goes_on(ident), 3).otherwise(2)
+    return F.when(owners, 0).when(exact, F.when(F.upper(kind) == "METHOD", 1).otherwise(0)).when(low.startswith(q) | ident.startswith(q), prefix).when(low.contains(q), 4)
+
+
 def document_frequency(tokens: DataFrame, token: str, doc: str) -> DataFrame:
     return tokens.groupBy(token).agg(F.count_distinct(doc).alias("df"))
 

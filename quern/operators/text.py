@@ -124,13 +124,15 @@ def expand(lines: DataFrame, keys: list[str], macros: DataFrame, rounds: int = 8
 
 
 def nearest_paths(files: DataFrame, glob: str, most: int = 6) -> DataFrame:
-    """(pattern, nearest): none if the glob selects a file, else paths that hold its longest literal of four characters or more."""
-    literals = [x for x in re.split(r"[*?/]+", glob) if len(x) >= 4]
-    core = re.sub("[^a-z0-9]", "", max(literals, key=len).lower()) if literals else ""
-    if not core or not files.where(path_matches(F.col("path"), glob)).isEmpty():
+    """(pattern, nearest): none if the glob selects a file, else paths that hold its longest literal of four characters or more that any path holds."""
+    keys = [re.sub("[^a-z0-9]", "", x.lower()) for x in sorted(re.split(r"[*?/\[\]]+", glob), key=len, reverse=True)]
+    keys = [k for k in keys if len(k) >= 4]
+    if not keys or not files.where(path_matches(F.col("path"), glob)).isEmpty():
         return files.sparkSession.createDataFrame([], "pattern string, nearest array<string>")
-    hit = files.where(squashed(F.col("path")).contains(core)).orderBy("path").limit(most)
-    return hit.groupBy(F.lit(glob).alias("pattern")).agg(F.sort_array(F.collect_list("path")).alias("nearest"))
+    level = F.coalesce(*(F.when(squashed(F.col("path")).contains(k), i) for i, k in enumerate(keys)), F.lit(None))
+    hit = files.select(level.alias("level"), "path").where("level IS NOT NULL").orderBy("level", "path").limit(most)
+    listed = hit.groupBy(F.lit(glob).alias("pattern")).agg(F.min("level").alias("best"), F.array_sort(F.collect_list(F.struct("level", "path"))).alias("x"))
+    return listed.select("pattern", F.filter("x", lambda r: r["level"] == F.col("best"))["path"].alias("nearest"))
 
 
 def source_role(text: Column) -> Column:
