@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import names, predicates
 from quern.operators import audit, cards, intervals, lineage, merge, rank, text, traverse
-from quern.plans import encode
+from quern.plans import encode, service
 from quern.plans import encode_code as src
-from quern.plans.catalog import _snapshots, query
+from quern.plans.catalog import ORACLES, _snapshots, query
 from quern.plans.catalog_code import _PROV, _provenances, code_query
 from quern.plans.catalog_store import _CHANGED
 from quern.plans.catalog_trace import sym_query
@@ -221,3 +221,18 @@ def sv7_section_heads(spark, d):
     s = src.symbol_edges(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("shown"))
     every = s.unionByName(spark.createDataFrame([("NOTES", None, None)], "kind string, n long, shown long"))
     return every.select("kind", cards.section_head(F.col("kind"), F.col("shown"), F.col("n")).alias("head"))
+
+
+_TX1 = ORACLES["tx1_search_page"].removeprefix(f"WITH {src.SYM_SQL}").lstrip().removeprefix(",").lstrip()
+
+
+@sym_query(f"""+hits AS (WITH {_TX1.replace('BETWEEN 21 AND 40', '<= 20')}) SELECT 'search' AS operation, path AS found, line::INT AS line, position::BIGINT AS n FROM hits
+UNION ALL SELECT 'trace', src, first_line, n_sites FROM sedge WHERE kind = 'WRITES' AND dst = 'FIELD:data_.f3' UNION ALL SELECT 'source', path, line, 0 FROM code WHERE path = 'op_host/m0.cpp' AND line BETWEEN 3 AND 9""")
+def sv2_typed_requests(spark, d):
+    """A search, a trace and a source request, each answered by the operator it names; filters that are not known are dropped."""
+    tables = {"lines": src.code_lines(spark, d), "symbols": src.symbols(spark, d), "edges": src.symbol_edges(spark, d)}
+    ask = lambda operation, **filters: service.planned(tables, service.Request(operation, filters))
+    search = ask("search", pattern="total[13]|Pick", file="op_kernel/**", colour="red").select(F.lit("search").alias("operation"), F.col("path").alias("found"), "line", F.col("position").cast("long").alias("n"))
+    trace = ask("trace", symbol="data_.f3", relation="WRITES").select(F.lit("trace").alias("operation"), F.col("id").alias("found"), F.col("first_line").alias("line"), F.col("n_sites").alias("n"))
+    source = ask("source", file="./op_host/m0.cpp", line=3, line_end=9).select(F.lit("source").alias("operation"), F.col("path").alias("found"), "line", F.lit(0).cast("long").alias("n"))
+    return _union([search, trace, source])

@@ -5,11 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quern.operators import rank
+from quern.functions.names import leaf, normal_path
+from quern.operators import rank, text, traverse
 
 #: Public operations and the filters each takes.
-OPERATIONS = {"search": {"pattern", "file", "kind", "limit"}, "trace": {"from", "to", "symbol", "relation"}, "source": {"file", "line", "end"}}
+OPERATIONS = {"search": {"pattern", "file", "kind", "limit"}, "trace": {"symbol", "to_symbol", "relation", "kind"}, "source": {"file", "line", "line_end"}}
+#: Fixed value: how many hops a trace to another symbol takes at most.
+TRACE_DEPTH = 5
 
 
 @dataclass
@@ -32,6 +36,54 @@ class Request:
         return rank.fingerprint({"operation": self.operation, "filters": self.filters, "limit": self.limit})
 
 
+def planned(tables: dict[str, DataFrame], request: Request) -> DataFrame:
+    """The frame that answers a request over ``lines``, ``symbols`` and ``edges``.
+
+    A search is over lines, or over symbols where it names their kind; a trace is over
+    symbols, and a source request over the lines of one file.
+    """
+    asked = request.checked()
+    return {"search": _search, "trace": _trace, "source": _source}[asked.operation](tables, asked.filters, asked.limit)
+
+
+def _need(filters: dict, *keys: str) -> None:
+    missing = [k for k in keys if k not in filters]
+    if missing:
+        raise ValueError(f"INVALID_QUERY: {', '.join(missing)} not given")
+
+
+def _search(tables: dict[str, DataFrame], filters: dict, limit: int) -> DataFrame:
+    _need(filters, "pattern")
+    if "kind" not in filters:
+        return text.search(tables["lines"], filters["pattern"], filters.get("file"), limit)
+    tier = rank.match_tier(F.col("name"), F.col("id"), F.col("kind"), filters["pattern"])
+    return tables["symbols"].where(F.col("kind") == filters["kind"]).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "id").limit(limit)
+
+
+def _named(symbols: DataFrame, name: str, kind: str | None) -> DataFrame:
+    same = (F.col("name") == name) | (leaf(F.col("name")) == name)
+    return symbols.where(same & (F.col("kind") == kind) if kind else same).select("id")
+
+
+def _trace(tables: dict[str, DataFrame], filters: dict, limit: int) -> DataFrame:
+    """Edges of the named symbols with their direction, or the first shortest path from them to each symbol of the other name."""
+    _need(filters, "symbol")
+    edges = tables["edges"].where(F.col("kind") == filters["relation"]) if "relation" in filters else tables["edges"]
+    seeds = _named(tables["symbols"], filters["symbol"], filters.get("kind"))
+    if "to_symbol" in filters:
+        return traverse.shortest_paths(seeds, edges, TRACE_DEPTH).join(_named(tables["symbols"], filters["to_symbol"], None), "id", "left_semi")
+    out = edges.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").withColumns({"id": F.col("dst"), "direction": F.lit("out")})
+    into = edges.join(seeds.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumns({"id": F.col("src"), "direction": F.lit("in")})
+    return out.unionByName(into)
+
+
+def _source(tables: dict[str, DataFrame], filters: dict, limit: int) -> DataFrame:
+    _need(filters, "file", "line")
+    first = int(filters["line"])
+    inside = F.col("line").between(first, int(filters.get("line_end", first)))
+    return tables["lines"].where((F.col("path") == normal_path(F.lit(filters["file"]))) & inside)
+
+
 @dataclass
 class Answer:
     rows: list

@@ -83,3 +83,39 @@ def test_open_flags_on_a_stream(spark, tmp_path):
     q = changes.open_flags(stream, "k", "r", "t").writeStream.format("memory").queryName("flags").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.k, r.paired) for r in spark.table("flags").collect()} == {("u", True), ("v", False)}
+
+
+def test_planned_requests(spark):
+    symbols = spark.createDataFrame([("F:a", "FUNCTION", "Op::a"), ("F:b", "FUNCTION", "Op::b"), ("V:x", "FIELD", "x")], "id string, kind string, name string")
+    edges = spark.createDataFrame([("CALLS", "F:a", "F:b"), ("WRITES", "F:b", "V:x")], "kind string, src string, dst string")
+    lines = spark.createDataFrame([("p", i, t) for i, t in enumerate(["one", "two", "three"], 1)], "path string, line int, text string")
+    tables = {"lines": lines, "symbols": symbols, "edges": edges}
+    ask = lambda operation, **filters: service.planned(tables, service.Request(operation, filters)).collect()
+    assert {(r.id, r.direction) for r in ask("trace", symbol="b")} == {("V:x", "out"), ("F:a", "in")}
+    assert [tuple(r.path) for r in ask("trace", symbol="a", to_symbol="x")] == [("F:a", "F:b", "V:x")]
+    assert [r.text for r in ask("source", file="./p", line=2)] == ["two"]
+    assert [r.id for r in ask("search", pattern="op", kind="FUNCTION")] == ["F:a", "F:b"]
+    for operation, filters in (("source", {"file": "p"}), ("trace", {"relation": "CALLS"}), ("search", {"kind": "FUNCTION"})):
+        with pytest.raises(ValueError, match="INVALID_QUERY"):
+            ask(operation, **filters)
+
+
+def test_enumerators_and_nearest_paths(spark):
+    from quern.functions.predicates import flatten, parse
+    from quern.operators.text import nearest_paths
+
+    got = flatten(parse('mode == FAST_MODE && x == DT_INT8 || strcmp(s, "SLOW") == 0'))
+    assert got["enum_values"] == ["FAST_MODE", "FAST", "MODE", "DT_INT8", "DT", "INT8", "SLOW"]
+    assert got["references"] == ["mode", "x", "s"]
+    files = spark.createDataFrame([("op_host/tiling_data.h",), ("op_host/other.h",)], "path string")
+    pick = lambda g: [r.nearest for r in nearest_paths(files, g).collect()]
+    assert pick("no_such_folder/TilingData*") == [["op_host/tiling_data.h"]]
+    assert pick("*.h") == [] and pick("zzzz*") == [] and pick("?*") == []
+
+
+def test_changed_compares_missing_hashes(spark):
+    from quern.operators.audit import changed
+
+    old = spark.createDataFrame([("a", None), ("b", None), ("c", "1")], "path string, sha string")
+    new = spark.createDataFrame([("a", None), ("b", "2"), ("d", None)], "path string, sha string")
+    assert {tuple(r) for r in changed(old, new).collect()} == {("b", "modified"), ("c", "removed"), ("d", "added")}
