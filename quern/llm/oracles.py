@@ -79,3 +79,50 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n"""
+
+ORACLES["op11_filter_audit"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' ELSE '' END AS fails FROM d),
+q AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN q USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, i, o[i] AS own, o[1:i - 1] AS before FROM (SELECT o, unnest(range(1, 6)) AS i FROM o)),
+r AS (
+  SELECT part, o AS filter_order, i AS step, own, n, good, toxic, fails,
+    contains(fails, own) AS bad, i > 1 AND translate(fails, before, '') <> fails AS earlier FROM c, s),
+g AS (
+  SELECT part, filter_order, step::INT AS step, any_value(own) AS own,
+    coalesce(sum(n) FILTER (NOT bad AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bad AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (bad AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (bad AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (bad AND NOT earlier), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Codebooks by round: b0 the first parts, b1 and so on after each round."""
+    nearest = "(SELECT p.*, min((list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - e[i]) * (part[i] - e[i])))::BIGINT, j)) AS best FROM p JOIN b{0} USING (pos) GROUP BY ALL)"
+    out = ""
+    for k in range(rounds):
+        out += f"""
+a{k} AS {nearest.format(k)},
+m{k} AS (SELECT pos, j, list(v ORDER BY i) AS e FROM (
+  SELECT pos, best[2] AS j, i, floor(sum(part[i])::DOUBLE / count(*))::BIGINT AS v FROM (SELECT pos, best, part, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY pos, j),
+b{k + 1} AS (SELECT b{k}.pos, b{k}.j, coalesce(m{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN m{k} USING (pos, j)),"""
+    return out + f"\na{rounds} AS {nearest.format(rounds)}"
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, pos, x[pos * len(x) // 16 + 1:(pos + 1) * len(x) // 16] AS part FROM (SELECT *, unnest(range(0, 16)) AS pos FROM v)),
+b0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS j, part AS e FROM p QUALIFY j < 64),{_lloyd(2)},
+r AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY pos) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY pos, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h"""

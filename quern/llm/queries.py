@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, langid, linededup, minhash, mixing, quality, rlz, runindex, sharding, tokencount
+from quern.llm import decontam, factormachine, filteraudit, langid, linededup, minhash, mixing, quality, rlz, runindex, sharding, tokencount, veccodes
 
 #: The production vocabulary, a file of the machine; pass another path to use another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +14,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(_docs(spark, sf_dir))
 
@@ -54,10 +58,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return tokencount.count_tokens(_docs(spark, sf_dir), tokencount.load(vocabulary))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factormachine.cross_checked(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_run_index, op3_cube_mix, op4_rlz_substrings, op5_nearest_centroid,
         op6_virtual_slots, op7_line_runs, op8_quality_cascade, op9_decontaminate, op10_token_counts,
+        op11_filter_audit, op12_vector_codes, op13_factorisation_machine,
     )
 }
