@@ -29,7 +29,7 @@ BLOCKS = {
     "N": ["  OP_CHECK(v{a} != CAP{o}, return);", "  auto flag{b} = size{a} && mode{b};", "  Run{p}(flag{b}, false);", '  set_f{a}(v{a});  // write "f{a}"'],
 }
 LAYERS = ["op_host", "op_kernel/arch35", "op_kernel/arch22", "op_host/common"]
-FIELDS = {"a": "l_partkey % 50", "b": "l_suppkey % 10", "o": "l_orderkey", "p": "l_orderkey - 1", "q": "CAST(l_quantity AS INT)", "l": "l_linenumber"}
+FIELDS = {"a": "l_partkey % 50", "b": "l_suppkey % 10", "o": "l_orderkey", "p": "l_orderkey - 1", "s": "l_orderkey + 1", "q": "CAST(l_quantity AS INT)", "l": "l_linenumber"}
 
 
 def _pieces(template: str) -> list[str]:
