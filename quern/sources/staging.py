@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,20 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     where = f"{shared_root(frame.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
     frame.write.parquet(where)
     return frame.sparkSession.read.schema(frame.schema).parquet(where)
+
+
+@contextmanager
+def bucketed(frame: DataFrame, name: str, by: list[str], buckets: int | None = None) -> Iterator[DataFrame]:
+    """A copy of ``frame`` dealt and sorted by ``by``, so that joins on these columns do not deal it anew.
+
+    It is known to the session's catalogue only within the block; what is to stay must be staged there.
+    """
+    spark = frame.sparkSession
+    known = f"{name}_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = frame.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).format("parquet")
+    writer.option("path", f"{shared_root(spark)}/{known}").saveAsTable(known)
+    try:
+        yield spark.table(known)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {known}")
