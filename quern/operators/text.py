@@ -77,24 +77,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
-def trigram_index(lines: DataFrame) -> DataFrame:
-    """(gram, path, line): the distinct trigrams of every line, whatever their case; to be stored sorted by gram."""
-    return lines.where(F.length("text") >= 3).select(F.explode(trigrams(F.col("text"))).alias("gram"), "path", "line")
-
-
-def indexed_search(lines: DataFrame, index: DataFrame, needle: str) -> DataFrame:
-    """(path, line) of lines that hold ``needle``: the postings of its trigrams are met first, then the text is tested.
-
-    A needle of fewer than three characters has no trigram and is tested directly.
-    """
-    holds, keys = F.lower("text").contains(needle.lower()), ["path", "line"]
-    wanted = sorted({needle.lower()[i : i + 3] for i in range(len(needle) - 2)})
-    if not wanted:
-        return lines.where(holds).select(*keys)
-    met = index.where(F.col("gram").isin(wanted)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
-    return lines.join(met, keys, "left_semi").where(holds).select(*keys)
-
-
 def tagged(lines: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
     """Lines with each phrase whose token they hold; the lexicon is a constant list."""
     tags = F.filter(F.array(*(F.when(F.col("text").contains(token), F.lit(phrase)) for phrase, token in lexicon)), lambda x: x.isNotNull())
@@ -153,11 +135,10 @@ def ranked_source(hits: DataFrame, pattern: str) -> DataFrame:
     return hits.select("path", "line", source_role(F.col("text")).alias("role"), F.when(whole, 0).otherwise(1).alias("tightness"), path_layer(F.col("path")).alias("layer"))
 
 
-def search(lines: DataFrame, pattern: str, file: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page of ranked hits with their positions and the exact total."""
-    scope = lines.where(path_matches(F.col("path"), file)) if file else lines
+def search(found: DataFrame, pattern: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page of the ranked hits among ``found``, the lines that match, with their positions and the exact total."""
     literal = pattern if is_literal(pattern) else ""
-    hits = ranked_source(matching(scope, pattern), literal)
+    hits = ranked_source(found, literal)
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     order = ["role", "tightness", "layer", "path", "line"]
     page = hits.orderBy(*order).limit(offset + limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import dsl, names, predicates, source_text
-from quern.operators import code, intervals, merge, postings, text, traverse
+from quern.operators import code, gramindex, intervals, merge, postings, text, traverse
 from quern.plans import encode
 from quern.plans import encode_code as src
 from quern.plans.catalog import query
@@ -174,7 +174,7 @@ def jn13_file_matches(spark, d):
 @query("SELECT path, line FROM line WHERE contains(lower(text), 'ering')")
 def jn15_trigram_join(spark, d):
     """Lines found through postings of their trigrams, then tested."""
-    return text.indexed_search(encode.source_lines(spark, d), encode.line_trigrams(spark, d), "ering")
+    return gramindex.search(encode.source_lines(spark, d), encode.line_trigrams(spark, d), "ering").select("path", "line")
 
 
 # -- scalars --------------------------------------------------------------------------

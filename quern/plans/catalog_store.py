@@ -127,14 +127,17 @@ def snk6_exported_diff(spark, d):
     return audit.changed(*_snapshots(spark, d)).join(nodes, "path")
 
 
-@query("SELECT * FROM (VALUES ('architecture', 'arch35'), ('revision', 'r2'), ('schema', 'quern/2')) t(key, value)", graph=False)
+@query("SELECT n_name AS key, CASE WHEN n_regionkey >= 2 THEN r_name ELSE n_regionkey::VARCHAR END AS value FROM nation JOIN region ON r_regionkey = n_regionkey", graph=False)
 def snk7_upserted_meta(spark, d):
-    """Scalar facts added to a snapshot, the later value of a key staying."""
+    """Scalar facts of a table added to a snapshot's own, the later value of a key staying."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
     root = _root(spark, "meta")
-    snapshot.write(root, {"row": table(spark, d, "region")}, {"architecture": "arch22", "revision": "r1"})
-    snapshot.Snapshot(spark, root).upsert_meta(architecture="arch35", revision="r2")
-    s = snapshot.Snapshot(spark, root)
-    return spark.read.parquet(f"{s.root}/{s.version}/meta").where("key <> 'version'")
+    own = {r.n_name: str(r.n_regionkey) for r in nation.collect()}  # metadata: a fact per nation
+    snapshot.write(root, {"row": region}, own)
+    later = nation.where("n_regionkey >= 2").join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    snapshot.Snapshot(spark, root).upsert_meta(**{r.n_name: r.r_name for r in later.collect()})
+    facts = [(k, v) for k, v in snapshot.Snapshot(spark, root).meta().items() if k not in ("schema", "version")]
+    return spark.createDataFrame(facts, "key string, value string")
 
 
 @query("SELECT p_type AS block_id, dim, list_sort(list(DISTINCT value)) AS values, count(DISTINCT value) = 1 AS fixed FROM (SELECT p_type, unnest(['brand', 'size']) AS dim, unnest([p_brand, (p_size % 8)::VARCHAR]) AS value FROM part) GROUP BY ALL", graph=False)

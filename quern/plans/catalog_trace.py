@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import names
-from quern.operators import cards, rank, text, traverse
+from quern.operators import cards, gramindex, rank, text, traverse
 from quern.plans import encode
 from quern.plans import encode_code as src
 from quern.plans.catalog import query, seed
@@ -273,7 +275,18 @@ WHEN regexp_matches(text, '\w\s*\+?=[^=]') THEN 1 ELSE 3 END) AS role, ({_LAYER.
 SELECT path, line, role::INT AS role, total, position FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY role, CASE WHEN true THEN 1 END, layer, path, line)::INT AS position FROM h) WHERE position BETWEEN 21 AND 40""")
 def tx1_search_page(spark, d):
     """The second page of a regex search in kernel files, with the exact total."""
-    return text.search(src.code_lines(spark, d), "total[13]|Pick", file="op_kernel/**", limit=20, offset=20).select("path", "line", "role", "total", "position")
+    found = gramindex.search(src.code_lines(spark, d), src.code_trigrams(spark, d), "total[13]|Pick", file="op_kernel/**")
+    return text.search(found, "total[13]|Pick", limit=20, offset=20).select("path", "line", "role", "total", "position")
+
+
+_PATTERNS = [r"set_f1\d?\(v", r"buf[2-4]\.Set\((v1|v2)\d", r"CAP\d+ 7$", r"(?i)op_check\(V1 ", r"\bn\d{3}\b", r"x+"]
+
+
+@sym_query("+q AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PATTERNS) + "]) AS pattern) SELECT pattern, path, count(*)::BIGINT AS n, min(line) AS first FROM q JOIN code ON regexp_matches(text, pattern) GROUP BY ALL")
+def tx3_indexed_patterns(spark, d):
+    """Hits by file of several patterns, each met through the grams its syntax proves; the last proves none."""
+    found = [gramindex.search(src.code_lines(spark, d), src.code_trigrams(spark, d), p).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first")).select(F.lit(p).alias("pattern"), "*") for p in _PATTERNS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @sym_query("+lex AS (SELECT * FROM (VALUES ('validation', 'OP_CHECK'), ('buffer write', '.Set('), ('accumulate', '+='), ('setter', 'set_')) t(phrase, token)) SELECT phrase, token, (SELECT count(*) FROM code WHERE contains(text, token))::BIGINT AS n FROM lex WHERE contains('show me the validation and every setter', phrase)")

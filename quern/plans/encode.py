@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.text import trigram_index
+from quern.operators import gramindex
 from quern.sources.snapshot import lookup_table
 
 #: Evidence ranks, weakest first.
@@ -104,7 +104,7 @@ def _source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text index of the source lines, built once."""
-    return lookup_table(spark, sf_dir, "line_trigrams", lambda: trigram_index(source_lines(spark, sf_dir)), "gram")
+    return lookup_table(spark, sf_dir, "line_trigrams", lambda: gramindex.build(source_lines(spark, sf_dir)), "gram", "part")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

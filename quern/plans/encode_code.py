@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.names import identifiers, leaf
 from quern.functions.source_text import plain_symbol
-from quern.operators import code, merge
+from quern.operators import code, gramindex, merge
 from quern.plans.encode import table
 from quern.sources.snapshot import lookup_table
 
@@ -108,6 +108,11 @@ def _code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("o", "j", "k")).alias("line"), "text")
 
 
+def code_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text index of the code lines, built once."""
+    return lookup_table(spark, sf_dir, "code_trigrams", lambda: gramindex.build(code_lines(spark, sf_dir)), "gram", "part")
+
+
 def _stored(name: str, build):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lookup_table(spark, sf_dir, f"code_{name}", lambda: build(spark, sf_dir), "path")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.names import leaf, normal_path
-from quern.operators import rank, text, traverse
+from quern.operators import gramindex, rank, text, traverse
 
 #: Public operations and the filters each takes.
 OPERATIONS = {"search": {"pattern", "file", "kind", "limit"}, "trace": {"symbol", "to_symbol", "relation", "kind"}, "source": {"file", "line", "line_end"}}
@@ -55,7 +55,8 @@ def _need(filters: dict, *keys: str) -> None:
 def _search(tables: dict[str, DataFrame], filters: dict, limit: int) -> DataFrame:
     _need(filters, "pattern")
     if "kind" not in filters:
-        return text.search(tables["lines"], filters["pattern"], filters.get("file"), limit)
+        found = gramindex.search(tables["lines"], tables.get("grams"), filters["pattern"], filters.get("file"))
+        return text.search(found, filters["pattern"], limit)
     tier = rank.match_tier(F.col("name"), F.col("id"), F.col("kind"), filters["pattern"])
     return tables["symbols"].where(F.col("kind") == filters["kind"]).withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "id").limit(limit)
 

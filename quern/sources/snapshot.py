@@ -3,22 +3,24 @@
 A snapshot is a folder with one Parquet table per name and a ``meta`` table of (key,
 value) rows. Tables are dealt and sorted by the column that lookups filter on, so a point
 lookup reads the row groups whose range holds the key. A writer fills a folder of its own
-and then names it in ``CURRENT``, a one-row table next to the versions, so readers see
-the old version or the new one and never a part.
+and then names it under the next number in ``current``; the greatest number is the
+current version, so readers see the old version or the new one and never a part.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.staging import shared_root
 
 SCHEMA = "quern/2"
-_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, object, str]] = {}
 
 
 def _sorted(frame: DataFrame, key: str | None) -> DataFrame:
@@ -26,15 +28,34 @@ def _sorted(frame: DataFrame, key: str | None) -> DataFrame:
     return frame.hint("rebalance", F.col(key)).sortWithinPartitions(key) if key else frame
 
 
-def lookup_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], sort: str | None = None) -> DataFrame:
-    """The table ``name`` derived from ``source``, built at its first use in the session."""
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STORED:
+def source_state(spark: SparkSession, source: str) -> str:
+    """A digest of the names, sizes and times of the files below ``source``, which change with its tables."""
+    fs, target = _fs(spark, source)
+    if not fs.exists(target):
+        return ""
+    found, seen = fs.listFiles(target, True), []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def lookup_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], sort: str | None = None, parts: str | None = None) -> DataFrame:
+    """The table ``name`` derived from ``source``, built at its first use in the session and anew when the source's files change.
+
+    With ``parts`` each value of that column has a folder of its own.
+    """
+    key, state = (spark.sparkContext.applicationId, source, name), source_state(spark, source)
+    if key not in _STORED or _STORED[key][2] != state:
         where = f"{shared_root(spark)}/snapshot-{uuid.uuid4().hex}/{name}"
         frame = build()
-        _sorted(frame, sort).write.option("compression", "zstd").parquet(where)
-        _STORED[key] = (where, frame.schema)
-    where, schema = _STORED[key]
+        if parts:
+            dealt = frame.repartition(parts).sortWithinPartitions(parts, sort)
+            dealt.write.option("compression", "zstd").partitionBy(parts).parquet(where)
+        else:
+            _sorted(frame, sort).write.option("compression", "zstd").parquet(where)
+        _STORED[key] = (where, frame.schema, state)
+    where, schema, _ = _STORED[key]
     return spark.read.schema(schema).parquet(where)
 
 
@@ -73,14 +94,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Swap ``CURRENT`` by renaming a finished folder over it."""
-    new = f"{root}/CURRENT-{version}"
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(new)
-    fs, target = _fs(spark, f"{root}/CURRENT")
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), target)
+def _versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """Versions by number. A number without a name is a writer's that has not ended, or never will."""
+    fs, target = _fs(spark, f"{root}/current")
+    out = {}
+    for f in fs.listStatus(target) if fs.exists(target) else []:
+        if f.getPath().getName().isdigit():
+            opened = fs.open(f.getPath())
+            out[int(f.getPath().getName())] = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").removesuffix("\n")
+            opened.close()
+    return out
+
+
+def _point(spark: SparkSession, root: str, version: str, above: int | None = None) -> int:
+    """Make ``version`` the next one: a file of the next number, which is created only where none is.
+
+    Older numbers stay, so a reader finds the version before or this one at any time. A
+    writer that has read number ``above`` is refused if another has come after it.
+    """
+    fs, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    while True:
+        last = max(_versions(spark, root), default=0)
+        if above is not None and last != above:
+            raise RuntimeError(f"{root}: version {above} is not the current one any more")
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/current/{last + 1}"), False)
+        except Py4JJavaError as e:  # another writer took the number
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            continue
+        out.write(bytearray(f"{version}\n".encode()))
+        out.close()
+        return last + 1
 
 
 class Snapshot:
@@ -89,9 +135,10 @@ class Snapshot:
     def __init__(self, spark: SparkSession, root: str, version: str | None = None):
         self.spark, self.root = spark, root
         if version is None:
-            if not exists(spark, f"{root}/CURRENT"):
+            named = [(n, v) for n, v in _versions(spark, root).items() if v]
+            if not named:
                 raise FileNotFoundError(f"{root} holds no snapshot")
-            version = spark.read.parquet(f"{root}/CURRENT").first().version
+            version = max(named)[1]
         self.version = version
         if self.meta().get("schema") != SCHEMA:
             raise ValueError(f"{root}: schema is not {SCHEMA}")
@@ -102,10 +149,19 @@ class Snapshot:
 
     def meta(self) -> dict[str, str]:
         """The metadata, a few rows by construction."""
-        return {r.key: r.value for r in self.spark.read.parquet(f"{self.root}/{self.version}/meta").collect()}
+        facts = {r.key: r.value for r in self.spark.read.parquet(f"{self.root}/{self.version}/meta").collect()}
+        added = f"{self.root}/{self.version}/meta_added"
+        if exists(self.spark, added):
+            rows = self.spark.read.parquet(added).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+            facts |= {r.key: r.value for r in rows.collect()}
+        return facts
 
     def upsert_meta(self, **facts: str) -> None:
-        write_meta(self.spark, f"{self.root}/{self.version}", self.meta() | facts)
+        """Add facts; of a key the latest stays. What a version was published with is not rewritten."""
+        added = f"{self.root}/{self.version}/meta_added"
+        seq = self.spark.read.parquet(added).agg(F.max("seq").alias("n")).first().n + 1 if exists(self.spark, added) else 1
+        rows = [(k, v, seq) for k, v in sorted(facts.items())]
+        self.spark.createDataFrame(rows, "key string, value string, seq int").coalesce(1).write.mode("append").parquet(added)
 
     def view(self, name: str) -> DataFrame:
         """A stored projection, refused unless it was made from this graph's digest."""
@@ -141,7 +197,7 @@ def shared(spark: SparkSession, root: str) -> Snapshot:
 
 
 def products(spark: SparkSession, project: str) -> list[str]:
-    """Folders below ``project`` that hold a snapshot, found by their CURRENT tables."""
-    fs, target = _fs(spark, f"{project}/*/CURRENT")
+    """Folders below ``project`` that hold a snapshot, found by their current numbers."""
+    fs, target = _fs(spark, f"{project}/*/current")
     found = fs.globStatus(target)
     return sorted(str(s.getPath().getParent().getName()) for s in found)

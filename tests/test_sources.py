@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import dsl, source_text
-from quern.operators import code, text
+from quern.operators import code, gramindex, text
 from quern.sources import snapshot
 
 
@@ -70,8 +72,81 @@ def test_macros_expand_inside_macros(spark):
     assert text.expand(lines, ["path", "line"], macros).first().text == "y = (7 * 2) + 7 * 2 + AB;"
 
 
+WORDS = ["Hello World", "hell", "lo", "", "HELLO", "buf1.Set(v2)", "OP_CHECK(v1 != 3, return);", "aXbXc", "tötal1", "x = total3;", "ab\\cd", "İstanbul hello", "ΑΣ total", "aaa", "abcabc"]
+PATTERNS = [
+    "ello", "lo", "zzz", "hel", "total[13]", "total[13]|Set", "(buf|OP)[_1]", r"v\d+", "hel+o", "(?:abc){2}", "(abc)?a", "h.*ld", "(?i)op_check", r"\bhell\b", "^hell$", "a(X|Y)b(X|Z)c",
+    "(abc|xyz)|def", "tötal", "[a-z]{3}", "x*", "(", "ΑΣ", r"\\cd", "(?=hello)h", "(?P<n>hell)o", "[^a]bc", "hello|", "total[0-9]", "(?:to|ta)(?:tal|lat)",
+]
+
+
 def test_indexed_search_is_the_scan(spark):
-    lines = spark.createDataFrame([("p", i, t) for i, t in enumerate(["Hello World", "hell", "lo", "", "HELLO"])], "path string, line int, text string")
-    for needle in ("ello", "lo", "zzz", "hel"):
-        got = {r.line for r in text.indexed_search(lines, text.trigram_index(lines), needle).collect()}
-        assert got == {r.line for r in lines.where(F.lower("text").contains(needle)).collect()}
+    import re
+
+    rng = random.Random(2)
+    rows = [(f"f{i % 7}", i, rng.choice(WORDS) + rng.choice(["", " ", rng.choice(WORDS)])) for i in range(3000)]
+    lines = spark.createDataFrame(rows, "path string, line int, text string")
+    index = gramindex.build(lines).cache()
+    for pattern in PATTERNS:
+        if pattern == "(":
+            assert gramindex.required(pattern) == gramindex.ANY
+            continue
+        got = {(r.path, r.line) for r in gramindex.search(lines, index, pattern, "f1").collect()}
+        literal = text.is_literal(pattern)
+        holds = (lambda t: pattern.lower() in t.lower()) if literal else (lambda t: re.search(pattern, t))  # noqa: B023
+        assert got == {(p, i) for p, i, t in rows if holds(t) and p == "f1"}, pattern
+    assert gramindex.search(lines.limit(0), index.limit(0), "hello").count() == 0
+
+
+def test_required_grams():
+    for pattern in ("ello", "total[13]", "total[13]|Set", "hel+o", "(?:abc){2}", "(?i)op_check", r"\bhell\b", "^hell$", "a(X|Y)b(X|Z)c", "(abc|xyz)|def", "total[0-9]", "(?:to|ta)(?:tal|lat)", "(?P<n>hell)o"):
+        assert gramindex.required(pattern).op != "any", pattern
+    for pattern in ("lo", r"v\d+", "x*", "(abc)?a", "h.*ld", "ΑΣ", "hello|", "abc|d", "[^a]bc", "("):
+        assert gramindex.required(pattern) == gramindex.ANY, pattern
+    tree = gramindex.required("set_(f1|g2)x|Pick")
+    assert tree.op == "or" and {"set", "et_", "pic", "ick", "_f1", "g2x"} <= tree.grams()
+    assert gramindex.required("ab[cd]e").grams() == {"abc", "bce", "abd", "bde"} and gramindex.required("ab.*cde").grams() == {"cde"}
+
+
+def test_a_search_reads_only_its_grams(spark, tmp_path):
+    lines = spark.createDataFrame([(f"f{i}", i, WORDS[i % len(WORDS)]) for i in range(300)], "path string, line int, text string")
+    gramindex.build(lines).write.partitionBy("part").parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    tree = gramindex.required("total[13]")
+    read = gramindex.postings(index, tree.grams())
+    folders = {f.split("part=")[1].split("/")[0] for f in read.inputFiles()}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "In(gram" in plan.replace(" ", "")
+    files = read._jdf.queryExecution().executedPlan().toString()
+    assert len(folders) > len(tree.grams()) and files  # all folders are listed, the filter leaves those of the grams
+    assert {r.part for r in read.select("part").distinct().collect()} <= {gramindex.zlib.crc32(g.encode()) % gramindex.PARTS for g in tree.grams()}
+
+
+def test_a_version_is_current_or_not_there(spark, tmp_path, monkeypatch):
+    """A writer that dies between any two steps leaves the version before; two can't take one number."""
+    root = f"{tmp_path}/s"
+    snapshot.write(root, graph(spark, 1), {})
+    point = snapshot._point
+    monkeypatch.setattr(snapshot, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError):
+        snapshot.write(root, graph(spark, 2), {})
+    monkeypatch.setattr(snapshot, "_point", point)
+    assert snapshot.Snapshot(spark, root).table("entity").count() == 1
+    (tmp_path / "s" / "current" / "2").touch()  # the number taken, the name not yet written
+    assert snapshot.Snapshot(spark, root).table("entity").count() == 1
+    version = snapshot.write(root, graph(spark, 3), {})
+    assert snapshot._versions(spark, root)[3] == version and snapshot.Snapshot(spark, root).table("entity").count() == 3
+    with pytest.raises(RuntimeError):
+        snapshot._point(spark, root, "late", above=1)
+    old = snapshot.Snapshot(spark, root)
+    old.upsert_meta(a="1", b="1")
+    old.upsert_meta(a="2")
+    assert (old.meta()["a"], old.meta()["b"]) == ("2", "1") and spark.read.parquet(f"{root}/{version}/meta").where("key = 'a'").count() == 0
+
+
+def test_a_changed_source_is_read_anew(spark, tmp_path):
+    source = f"{tmp_path}/src"
+    build = lambda: spark.read.parquet(f"{source}/t.parquet")
+    spark.range(3).write.parquet(f"{source}/t.parquet")
+    assert snapshot.lookup_table(spark, source, "t", build, "id").count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{source}/t.parquet")
+    assert snapshot.lookup_table(spark, source, "t", build, "id").count() == 5
