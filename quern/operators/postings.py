@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.names import TRUTHS, truth_aliases
 from quern.functions.source_text import worth_sharing
-
-#: Spellings of a flag.
-BOOLEAN = {"true": ["true", "1"], "1": ["1", "true"], "false": ["false", "0"], "0": ["0", "false"]}
-
+from quern.sources.staging import stage
 
 def matches(filters: dict[str, str]) -> Column:
+    """Whether a posting meets a filter; a truth value is met in any spelling."""
     out = F.lit(False)
     for dim, value in filters.items():
-        out = out | ((F.col("dim") == dim) & F.col("value").isin(BOOLEAN.get(value.lower(), [value])))
+        out = out | ((F.col("dim") == dim) & F.col("value").isin(*truth_aliases(value)))
     return out
 
 
@@ -24,7 +23,13 @@ def intersection(dims: DataFrame, filters: dict[str, str]) -> DataFrame:
 
 
 def nearby(dims: DataFrame, filters: dict[str, str]) -> DataFrame:
-    """Per filter left out: how many keys meet the others, and the values its dim has there."""
+    """Per filter left out: how many keys meet the others, and the values its dim has there.
+
+    A lone filter leaves no other to meet: its total is 0, its values are all that the dim has.
+    """
+    if len(filters) == 1:
+        (dim,) = filters
+        return dims.where(F.col("dim") == dim).groupBy(F.col("dim").alias("dropped")).agg(F.lit(0).cast("long").alias("total"), F.sort_array(F.collect_set("value")).alias("values"))
     hit = dims.where(matches(filters)).select("key_id", F.col("dim").alias("met")).distinct()
     per_key = hit.groupBy("key_id").agg(F.collect_set("met").alias("met"))
     dropped = per_key.withColumn("dropped", F.explode(F.array(*map(F.lit, filters))))
@@ -54,13 +59,76 @@ def pair_grid(dims: DataFrame, a: str, b: str) -> DataFrame:
     return cells.join(found, ["value_a", "value_b"], "left").select("value_a", "value_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _pinned(values: Column) -> Column:
+    """One spelling for a filtered dim: 0 or 1 if it is there, else the first."""
+    stored = F.filter(values, lambda v: v.isin("0", "1"))
+    return F.slice(F.when(F.size(stored) > 0, stored).otherwise(values), 1, 1)
+
+
 def cover(blocks: DataFrame, filters: dict[str, str]) -> DataFrame:
-    """Values per dim over the blocks (block_id, dim, value) that meet every filter; filtered dims are pinned."""
-    hit = blocks.where(matches(filters)).groupBy("block_id").agg(F.count_distinct("dim").alias("n")).where(F.col("n") == len(filters))
-    pinned = F.lit(True)
+    """Values per dim over the blocks (block_id, dim, value) that meet every filter; a filtered dim has the one it is pinned to."""
+    hit = blocks.where(matches(filters)).groupBy("block_id").agg(F.count_distinct("dim").alias("n")).where(F.col("n") == len(filters)) if filters else blocks
+    own = F.lit(True)
     for dim, value in filters.items():
-        pinned = pinned & ((F.col("dim") != dim) | (F.col("value") == value))
-    return blocks.join(hit, "block_id", "left_semi").where(pinned).groupBy("dim").agg(F.sort_array(F.collect_set("value")).alias("values"))
+        own = own & ((F.col("dim") != dim) | F.col("value").isin(*truth_aliases(value)))
+    found = blocks.join(hit, "block_id", "left_semi").where(own).groupBy("dim").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return found.withColumn("values", F.when(F.col("dim").isin(*filters), _pinned(F.col("values"))).otherwise(F.col("values")) if filters else F.col("values"))
+
+
+#: Blocks whose membership is one number.
+WORD = 64
+
+
+def block_sets(blocks: DataFrame) -> DataFrame:
+    """(dim, value, word, bits): the blocks of each value as bit sets, ``WORD`` blocks to a number."""
+    numbers = stage(blocks.select("block_id").distinct().withColumn("i", F.monotonically_increasing_id()), "numbers")
+    at = F.expr(f"shiftleft(1L, cast(i % {WORD} as int))")
+    return blocks.join(numbers, "block_id").groupBy("dim", "value", F.floor(F.col("i") / WORD).alias("word")).agg(F.bit_or(at).alias("bits"))
+
+
+def covers(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(request, dropped, blocks, dim, values) for all requests (request, dim, value) at once.
+
+    A request whose filters some blocks meet has the values of every dim over these, a
+    filtered dim pinned to one spelling; ``dropped`` is empty. Of another, each filter is
+    left out in turn: how many blocks meet the others, and the values that its dim has
+    there. A request names a dim once; its first value by order counts if it does not.
+    """
+    sets = stage(block_sets(blocks), "sets")
+    filters = asked.groupBy("request", "dim").agg(F.min("value").alias("value"))
+    said = F.trim("value")
+    spelled = F.array(F.col("value"))
+    for t in TRUTHS:
+        spelled = F.when(said.isin(*t) | (F.lower(said) == t[1]), F.array(*map(F.lit, t))).otherwise(spelled)
+    wanted = filters.select("request", "dim", F.explode(F.array_union(spelled, F.array("value"))).alias("value"))
+    size = filters.groupBy("request").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("dim")).alias("dims"))
+    met = wanted.join(sets, ["dim", "value"]).groupBy("request", "dim", "word").agg(F.bit_or("bits").alias("bits"))
+    held = met.groupBy("request", "word").agg(F.collect_list(F.struct("dim", "bits")).alias("held")).join(size, "request")
+    each = held.select("request", "word", "held", "k", F.explode(F.concat(F.array(F.lit("")), "dims")).alias("dropped"))
+    rest = F.filter("held", lambda x: x["dim"] != F.col("dropped"))
+    full = each.withColumn("rest", rest).where((F.size("rest") == F.col("k") - (F.col("dropped") != "").cast("int")) & (F.size("rest") > 0))
+    some = full.select("request", "dropped", "word", F.aggregate("rest", F.lit(-1).cast("long"), lambda a, x: a.bitwiseAND(x["bits"])).alias("own"))
+    subsets = stage(some.where("own <> 0"), "subsets")
+    counts = subsets.groupBy("request", "dropped").agg(F.sum(F.bit_count("own")).alias("blocks"))
+    met_all = counts.where("dropped = ''").select("request")
+    shown = (F.col("dropped") == "") | (F.col("dropped") == F.col("dim"))
+    values = subsets.join(sets, "word").where(shown & (F.col("own").bitwiseAND(F.col("bits")) != 0)).select("request", "dropped", "dim", "value").distinct()
+    # Of a filtered dim only what the filter asks for.
+    own = wanted.select("request", "dim", "value", F.lit(True).alias("own"))
+    pins = filters.select("request", "dim", F.lit(True).alias("pin"))
+    kept = values.join(pins, ["request", "dim"], "left").join(own, ["request", "dim", "value"], "left").where("dropped <> '' OR pin IS NULL OR own")
+    listed = kept.groupBy("request", "dropped", "dim").agg(F.sort_array(F.collect_set("value")).alias("values"), F.max(F.coalesce("pin", F.lit(False))).alias("pin"))
+    pinned = listed.withColumn("values", F.when(F.col("pin") & (F.col("dropped") == ""), _pinned(F.col("values"))).otherwise(F.col("values")))
+    whole = counts.where("dropped = ''").join(pinned, ["request", "dropped"]).select("request", "dropped", "blocks", "dim", "values")
+    none = F.array().cast("array<string>")
+    near = counts.where("dropped <> ''").join(met_all, "request", "left_anti").join(pinned.drop("pin"), ["request", "dropped"], "left")
+    near = near.select("request", "dropped", "blocks", F.col("dropped").alias("dim"), F.coalesce("values", none).alias("values"))
+    # A lone filter left out leaves all blocks.
+    total = sets.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.sum(F.bit_count("bits")).alias("blocks")).where("blocks > 0")
+    of_dim = sets.groupBy("dim").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    lone = size.where("k = 1").join(met_all, "request", "left_anti").select("request", F.col("dims")[0].alias("dropped")).join(F.broadcast(total))
+    lone = lone.join(of_dim, F.col("dropped") == F.col("dim"), "left").select("request", "dropped", "blocks", F.col("dropped").alias("dim"), F.coalesce("values", none).alias("values"))
+    return whole.unionByName(near).unionByName(lone)
 
 
 def pack(fields: list[tuple[Column, int]]) -> Column:

@@ -152,12 +152,15 @@ def family_paths(seeds: DataFrame, wanted: DataFrame, edges: DataFrame, families
 
     ``families`` lists (name, kinds, depth, node budget) in order of preference. A seed
     does not count as reached. Without a path the status is SEARCH_BUDGET if some walk
-    spent its nodes, else NO_PATH.
+    spent its nodes or left edges of its last hop unwalked, else NO_PATH. ``traces`` tells
+    this apart for each request.
     """
     found, spent = None, False
     for order, (family, kinds, depth, budget) in enumerate(families):
-        walk = bounded_walk(seeds, edges.where(F.col("kind").isin(kinds)).select("kind", "src", "dst"), depth, fanout, budget)
-        spent = spent or walk.count() >= budget
+        own = edges.where(F.col("kind").isin(kinds)).select("kind", "src", "dst")
+        walk = bounded_walk(seeds, own, depth, fanout, budget)
+        last = walk.where(F.col("distance") == depth).select(F.col("id").alias("src"))
+        spent = spent or walk.count() >= budget or not own.join(last, "src", "left_semi").isEmpty()
         rows = walk.where("distance > 0").select("id", F.lit(order).alias("ord"), F.lit(family).alias("family"), F.col("distance").alias("hops"), "path")
         found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("id").agg(F.min(F.struct("ord", "family", "hops", "path")).alias("b"), F.count(F.lit(1)).alias("families"))

@@ -353,6 +353,36 @@ def ag7_block_cover(spark, d):
     return postings.cover(blocks, {"size": "3"})
 
 
+#: Types of parts as template blocks; a flag is stored in three spellings.
+_BLOCKS = """blk AS MATERIALIZED (SELECT DISTINCT p_type AS block_id, unnest(['brand', 'size', 'flag']) AS dim, unnest([p_brand, (p_size % 40)::VARCHAR, CASE p_size % 4 WHEN 0 THEN '1' WHEN 1 THEN 'true' WHEN 2 THEN '0' ELSE 'high' END]) AS value FROM part),
+ask AS (SELECT s_suppkey AS request, 'size' AS dim, (s_suppkey % 45)::VARCHAR AS value FROM supplier UNION ALL SELECT s_suppkey, 'brand', 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 6) FROM supplier WHERE s_suppkey % 3 > 0
+  UNION ALL SELECT s_suppkey, 'flag', CASE s_suppkey % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN '1' WHEN 2 THEN 'false' ELSE 'high' END FROM supplier WHERE s_suppkey % 3 = 2)"""
+_COVERS = _BLOCKS + """, sp AS (SELECT DISTINCT request, dim, value AS asked, unnest(CASE WHEN lower(trim(value)) IN ('1', 'true') THEN ['1', 'true', 'True', 'TRUE'] WHEN lower(trim(value)) IN ('0', 'false') THEN ['0', 'false', 'False', 'FALSE'] ELSE [value] END) AS value FROM ask),
+k AS (SELECT request, count(*) AS k FROM ask GROUP BY request), met AS MATERIALIZED (SELECT DISTINCT request, dim, block_id FROM sp JOIN blk USING (dim, value)),
+sub AS (SELECT request, '' AS dropped, k FROM k UNION ALL SELECT request, dim, k - 1 FROM ask JOIN k USING (request)),
+hit AS MATERIALIZED (SELECT request, dropped, block_id FROM sub JOIN met USING (request) WHERE dim <> dropped GROUP BY request, dropped, block_id, k HAVING count(*) = k
+  UNION ALL SELECT request, dropped, block_id FROM sub, (SELECT DISTINCT block_id FROM blk) WHERE k = 0),
+n AS (SELECT request, dropped, count(*)::BIGINT AS blocks FROM hit GROUP BY ALL),
+v AS (SELECT DISTINCT hit.request, dropped, blk.dim, blk.value, sp.value IS NOT NULL AS own, ask.dim IS NOT NULL AS pin FROM hit JOIN blk USING (block_id) LEFT JOIN ask ON ask.request = hit.request AND ask.dim = blk.dim LEFT JOIN sp ON sp.request = hit.request AND sp.dim = blk.dim AND sp.value = blk.value),
+w AS (SELECT request, '' AS dropped, dim, CASE WHEN pin THEN [coalesce(min(value) FILTER (value IN ('0', '1')), min(value))] ELSE list_sort(list(value)) END AS values FROM v WHERE dropped = '' AND (NOT pin OR own) GROUP BY request, dim, pin),
+x AS (SELECT request, dropped, list_sort(list(value)) AS values FROM v WHERE dropped = dim GROUP BY ALL)"""
+
+
+@query("+" + _COVERS + """ SELECT request, dropped, blocks, dim, values FROM n JOIN w USING (request, dropped)
+UNION ALL SELECT request, dropped, blocks, dropped, coalesce(values, []) FROM n LEFT JOIN x USING (request, dropped) WHERE dropped <> '' AND request NOT IN (SELECT request FROM n WHERE dropped = '')""")
+def ag7_template_covers(spark, d):
+    """For each supplier's request: the values its matching blocks cover, or what leaving each filter out would give."""
+    size, k = F.col("p_size"), F.col("s_suppkey")
+    flag = F.when(size % 4 == 0, "1").when(size % 4 == 1, "true").when(size % 4 == 2, "0").otherwise("high")
+    dims = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), v.alias("value")) for n, v in (("brand", F.col("p_brand")), ("size", (size % 40).cast("string")), ("flag", flag))]))
+    blocks = table(spark, d, "part").select(F.col("p_type").alias("block_id"), dims.alias("x")).select("block_id", "x.*").distinct()
+    brand = F.when(k % 3 > 0, F.concat(F.lit("Brand#"), (1 + k % 5).cast("string"), (1 + k % 6).cast("string")))
+    said = F.when(k % 3 == 2, F.when(k % 5 == 0, "TRUE").when(k % 5 == 1, "1").when(k % 5 == 2, "false").otherwise("high"))
+    filters = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), v.alias("value")) for n, v in (("size", (k % 45).cast("string")), ("brand", brand), ("flag", said))]))
+    asked = table(spark, d, "supplier").select(k.alias("request"), filters.alias("x")).select("request", "x.*").where("value IS NOT NULL")
+    return postings.covers(blocks, asked)
+
+
 @query("SELECT dim, count(DISTINCT value)::BIGINT AS n, count(DISTINCT value) = 1 AS fixed FROM dim GROUP BY dim")
 def ag9_dim_coverage(spark, d):
     return encode.key_dims(spark, d).groupBy("dim").agg(F.count_distinct("value").alias("n")).withColumn("fixed", F.col("n") == 1)

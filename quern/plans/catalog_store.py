@@ -194,6 +194,38 @@ def upd10_applied_update(spark, d):
     return snapshot.Snapshot(spark, root).table("file")
 
 
+@query(_AB + r""", t AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 19 <> 0)
+SELECT b.path, b.sha NOT IN (SELECT sha FROM a WHERE sha IS NOT NULL) AS scanned, len(regexp_extract_all(t.text, '[A-Za-z_][A-Za-z0-9_]*'))::BIGINT AS n_names FROM b JOIN t USING (path)""", graph=False)
+def upd9_cached_scan(spark, d):
+    """Facts of the new state's files from a stored cache, of which only contents that the old state had not were scanned."""
+    from quern.sources.versions import ScanCache
+
+    docs = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    edited = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    state = lambda rows, text: rows.select("path", F.sha2(text, 256).alias("sha"), text.alias("text"))
+    old, new = state(docs.where("doc_id % 17 <> 0"), F.col("text")), state(docs.where("doc_id % 19 <> 0"), edited)
+    scanner = lambda rows: rows.select("sha", F.size(names.identifiers(F.col("text"))).cast("long").alias("facts"))
+    root = _root(spark, "scans")
+    ScanCache(spark, root, "names/1").scan(old, scanner)
+    cache = ScanCache(spark, root, "names/1")
+    facts, _ = cache.scan(new, scanner)
+    before = old.select("sha", F.lit(True).alias("known")).distinct()
+    return facts.join(before, "sha", "left").select("path", F.col("known").isNull().alias("scanned"), F.col("facts").alias("n_names"))
+
+
+@query(_CHANGED + " SELECT path, sha FROM b UNION ALL SELECT a.path, a.sha FROM a WHERE a.path NOT IN (SELECT path FROM b) AND a.path NOT IN (SELECT path FROM ch)", graph=False)
+def upd10_shared_versions(spark, d):
+    """The next version of a stored state, whose unchanged buckets are the files of the version before."""
+    from quern.sources.versions import Versions
+
+    old, new = _snapshots(spark, d)
+    stored = Versions(spark, _root(spark, "versions"), "path")
+    stored.apply(old)
+    changes = audit.changed(stored.read(), new)
+    stored.apply(new.join(changes.where("change <> 'removed'"), "path", "left_semi"), changes.where("change = 'removed'").select("path"))
+    return stored.read()
+
+
 # -- whole-table scalars --------------------------------------------------------------
 
 

@@ -64,7 +64,7 @@ def _family_sql(start: str) -> str:
             body = body.replace(f"{name} AS (", f"{name}{i} AS (").replace(f" {name} ", f" {name}{i} ").replace(f"{name}.", f"{name}{i}.")
         parts.append((i, family, body))
     found = " UNION ALL ".join(f"SELECT id, distance, path, {i} AS ord, '{f}' AS family FROM walk{i} WHERE distance > 0" for i, f, _ in parts)
-    spent = " OR ".join(f"(SELECT count(*) FROM walk{i}) >= {TRACE_FAMILIES[i][3]}" for i, _, _ in parts)
+    spent = " OR ".join(f"(SELECT count(*) FROM walk{i}) >= {TRACE_FAMILIES[i][3]} OR EXISTS (SELECT 1 FROM walk{i} JOIN fan{i} ON fan{i}.src = walk{i}.id WHERE distance = {TRACE_FAMILIES[i][2]})" for i, _, _ in parts)
     return ", ".join(b for _, _, b in parts) + f""", found AS ({found}), top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS r, count(*) OVER (PARTITION BY id) AS families FROM found)
 SELECT ent.id, CASE WHEN top.id IS NOT NULL THEN 'COMPLETE' WHEN {spent} THEN 'SEARCH_BUDGET' ELSE 'NO_PATH' END AS status, top.family, top.distance AS hops, top.path, coalesce(families, 0)::BIGINT AS families
 FROM ent LEFT JOIN top ON top.id = ent.id AND top.r = 1 WHERE ent.kind IN ('ORDER', 'PART', 'SUPPLIER', 'NATION')"""

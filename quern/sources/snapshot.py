@@ -13,10 +13,11 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import numbered
+from quern.sources.numbered import hadoop
 from quern.sources.staging import shared_root
 
 SCHEMA = "quern/2"
@@ -30,7 +31,7 @@ def _sorted(frame: DataFrame, key: str | None) -> DataFrame:
 
 def source_state(spark: SparkSession, source: str) -> str:
     """A digest of the names, sizes and times of the files below ``source``, which change with its tables."""
-    fs, target = _fs(spark, source)
+    fs, target = hadoop(spark, source)
     if not fs.exists(target):
         return ""
     found, seen = fs.listFiles(target, True), []
@@ -76,7 +77,7 @@ def write(root: str, tables: dict[str, DataFrame], meta: dict[str, str], sort: d
         key = (sort or {}).get(name)
         _sorted(frame, key).write.parquet(f"{root}/{version}/{name}")
     write_meta(spark, f"{root}/{version}", {"schema": SCHEMA, "version": version, **meta})
-    _point(spark, root, version)
+    numbered.append(spark, f"{root}/current", version)
     return version
 
 
@@ -84,61 +85,21 @@ def write_meta(spark: SparkSession, folder: str, meta: dict[str, str]) -> None:
     spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
 
 
-def _fs(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs(spark, path)
+    fs, target = hadoop(spark, path)
     return fs.exists(target)
 
 
-def _versions(spark: SparkSession, root: str) -> dict[int, str]:
-    """Versions by number. A number without a name is a writer's that has not ended, or never will."""
-    fs, target = _fs(spark, f"{root}/current")
-    out = {}
-    for f in fs.listStatus(target) if fs.exists(target) else []:
-        if f.getPath().getName().isdigit():
-            opened = fs.open(f.getPath())
-            out[int(f.getPath().getName())] = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").removesuffix("\n")
-            opened.close()
-    return out
-
-
-def _point(spark: SparkSession, root: str, version: str, above: int | None = None) -> int:
-    """Make ``version`` the next one: a file of the next number, which is created only where none is.
-
-    Older numbers stay, so a reader finds the version before or this one at any time. A
-    writer that has read number ``above`` is refused if another has come after it.
-    """
-    fs, _ = _fs(spark, root)
-    jvm = spark.sparkContext._jvm
-    while True:
-        last = max(_versions(spark, root), default=0)
-        if above is not None and last != above:
-            raise RuntimeError(f"{root}: version {above} is not the current one any more")
-        try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/current/{last + 1}"), False)
-        except Py4JJavaError as e:  # another writer took the number
-            if "AlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            continue
-        out.write(bytearray(f"{version}\n".encode()))
-        out.close()
-        return last + 1
-
-
 class Snapshot:
     """An open version; it stays readable and unchanged while newer ones are written."""
 
     def __init__(self, spark: SparkSession, root: str, version: str | None = None):
         self.spark, self.root = spark, root
         if version is None:
-            named = [(n, v) for n, v in _versions(spark, root).items() if v]
-            if not named:
+            found = numbered.last(spark, f"{root}/current")
+            if found is None:
                 raise FileNotFoundError(f"{root} holds no snapshot")
-            version = max(named)[1]
+            version = found[1]
         self.version = version
         if self.meta().get("schema") != SCHEMA:
             raise ValueError(f"{root}: schema is not {SCHEMA}")
@@ -198,6 +159,6 @@ def shared(spark: SparkSession, root: str) -> Snapshot:
 
 def products(spark: SparkSession, project: str) -> list[str]:
     """Folders below ``project`` that hold a snapshot, found by their current numbers."""
-    fs, target = _fs(spark, f"{project}/*/current")
+    fs, target = hadoop(spark, f"{project}/*/current")
     found = fs.globStatus(target)
     return sorted(str(s.getPath().getParent().getName()) for s in found)

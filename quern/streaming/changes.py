@@ -1,7 +1,7 @@
 """Structured Streaming forms of the update operators (extensions of the batch ones).
 
 ``merge_changes`` keeps the latest content hash of each path by merging micro-batches
-into a versioned Parquet table; ``open_flags`` pairs set and wait events per key with
+into a table whose versions share what did not change; ``open_flags`` pairs set and wait events per key with
 event-time windows and a watermark; ``distinct_sites`` drops repeated observations.
 """
 
@@ -11,29 +11,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quern.sources.staging import stage
+from quern.sources.versions import Versions
+
 
 def merge_changes(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Fold (path, sha, seq) rows into ``root``; each batch writes the next version whole.
+    """Fold (path, sha, seq) rows into the versions under ``root``; a batch rewrites the buckets of its paths.
 
-    A batch that is run again after a failure overwrites its own version, so the result
-    does not depend on how often it ran.
+    The version remembers the last batch of a checkpoint, so a batch that is run again
+    changes nothing. A fresh checkpoint goes on from the current version, and a fresh root
+    starts empty, whatever the checkpoint's next batch.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        table = Versions(spark, root, "path")
         rows = batch.select("path", "sha", "seq")
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{root}/version={batch_id - 1}"))
-        latest = rows.groupBy("path").agg(F.max_by("sha", "seq").alias("sha"), F.max("seq").alias("seq"))
-        latest.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        if table.manifest()[0]:
+            rows = rows.unionByName(table.read().join(rows.select("path").distinct(), "path", "left_semi"))
+        newest = stage(rows.groupBy("path").agg(F.max_by("sha", "seq").alias("sha"), F.max("seq").alias("seq")), "newest")
+        table.apply(newest, batch=(checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.option("basePath", root).parquet(f"{root}/version=*")
-    newest = rows.agg(F.max("version").alias("v")).first().v
-    return spark.read.parquet(f"{root}/version={newest}")
+    return Versions(spark, root, "path").read()
 
 
 def distinct_sites(stream: DataFrame, keys: list[str], time: str, lateness: str = "10 minutes") -> DataFrame:

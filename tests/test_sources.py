@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import dsl, source_text
 from quern.operators import code, gramindex, text
-from quern.sources import snapshot
+from quern.sources import numbered, snapshot
+from quern.sources.versions import ScanCache, Versions
 
 
 def graph(spark, n):
@@ -125,18 +126,18 @@ def test_a_version_is_current_or_not_there(spark, tmp_path, monkeypatch):
     """A writer that dies between any two steps leaves the version before; two can't take one number."""
     root = f"{tmp_path}/s"
     snapshot.write(root, graph(spark, 1), {})
-    point = snapshot._point
-    monkeypatch.setattr(snapshot, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+    append = numbered.append
+    monkeypatch.setattr(numbered, "append", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
     with pytest.raises(RuntimeError):
         snapshot.write(root, graph(spark, 2), {})
-    monkeypatch.setattr(snapshot, "_point", point)
+    monkeypatch.setattr(numbered, "append", append)
     assert snapshot.Snapshot(spark, root).table("entity").count() == 1
     (tmp_path / "s" / "current" / "2").touch()  # the number taken, the name not yet written
     assert snapshot.Snapshot(spark, root).table("entity").count() == 1
     version = snapshot.write(root, graph(spark, 3), {})
-    assert snapshot._versions(spark, root)[3] == version and snapshot.Snapshot(spark, root).table("entity").count() == 3
-    with pytest.raises(RuntimeError):
-        snapshot._point(spark, root, "late", above=1)
+    assert numbered.last(spark, f"{root}/current") == (3, version) and snapshot.Snapshot(spark, root).table("entity").count() == 3
+    with pytest.raises(numbered.Overtaken):
+        numbered.append(spark, f"{root}/current", "late", above=1)
     old = snapshot.Snapshot(spark, root)
     old.upsert_meta(a="1", b="1")
     old.upsert_meta(a="2")
@@ -150,3 +151,59 @@ def test_a_changed_source_is_read_anew(spark, tmp_path):
     assert snapshot.lookup_table(spark, source, "t", build, "id").count() == 3
     spark.range(5).write.mode("overwrite").parquet(f"{source}/t.parquet")
     assert snapshot.lookup_table(spark, source, "t", build, "id").count() == 5
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path, monkeypatch):
+    table = Versions(spark, f"{tmp_path}/v", "path", 16)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    frame = lambda rows: spark.createDataFrame(rows, "path string, sha string")
+    first = [(f"p{i}", "a") for i in range(200)]
+    assert table.apply(frame(first)) == list(range(16))
+    before = table.manifest()[1]["buckets"]
+    touched = table.apply(frame([("p3", "b"), ("new", "c")]), frame([("p5", "")]).select("path"))
+    after = table.manifest()[1]["buckets"]
+    assert 1 <= len(touched) <= 3 and {int(b) for b in after if after[b] != before.get(b)} == set(touched)
+    expected = {p: s for p, s in first if p != "p5"} | {"p3": "b", "new": "c"}
+    assert {r.path: r.sha for r in table.read().collect()} == expected and table.read().count() == len(expected)
+    assert table.read(1).count() == 200
+    # A writer that dies before its manifest leaves the version before.
+    append = numbered.append
+    monkeypatch.setattr(numbered, "append", lambda *a, **k: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        table.apply(frame([("p1", "z")]))
+    # One that is overtaken keeps what overtook it.
+    def overtaken(spark_, folder, text, above=None):
+        monkeypatch.setattr(numbered, "append", append)
+        Versions(spark, f"{tmp_path}/v", "path", 16).apply(frame([("p2", "other"), ("p1", "other")]))
+        return append(spark_, folder, text, above)
+    monkeypatch.setattr(numbered, "append", overtaken)
+    table.apply(frame([("p1", "late")]))
+    assert {r.path: r.sha for r in table.read().collect()} == expected | {"p2": "other", "p1": "late"}
+    assert table.apply(frame([("p1", "x")]), batch=("s", 4)) and table.apply(frame([("p1", "y")]), batch=("s", 4)) == []
+    everything = table.read().select("path")
+    table.apply(frame([]), everything)
+    assert table.read().count() == 0
+
+
+def test_only_missing_contents_are_scanned(spark, tmp_path):
+    calls = []
+
+    def scanner(rows):
+        calls.append(rows.count())
+        return rows.select("sha", F.length("text").alias("facts")).where("facts > 2")
+
+    files = lambda rows: spark.createDataFrame(rows, "path string, sha string, text string")
+    old = [(f"p{i}", f"s{i % 6}", "x" * (i % 6)) for i in range(10)] + [("null", None, "abc")]
+    cache = ScanCache(spark, f"{tmp_path}/c", "v1")
+    got, scanned = cache.scan(files(old), scanner)
+    assert scanned == 6 and {r.path: r.facts for r in got.collect()} == {p: len(t) if s and len(t) > 2 else None for p, s, t in old}
+    again = ScanCache(spark, f"{tmp_path}/c", "v1")
+    assert again.scan(files(old), scanner)[1] == 0
+    new = old[:5] + [("p5", "n1", "12345"), ("p6", "n2", "1234567")]
+    got, scanned = again.scan(files(new), scanner)
+    assert scanned == 2 and {r.path: r.facts for r in got.collect()}["p6"] == 7
+    assert ScanCache(spark, f"{tmp_path}/c", "v2").scan(files(old), scanner)[1] == 6
+    again.keep(files(new))
+    assert again.scan(files(new), scanner)[1] == 0 and again.scan(files(old), scanner)[1] == 1
+    assert cache.scan(files([]), scanner)[1] == 0
