@@ -46,11 +46,13 @@ def assignments(edges: DataFrame, kinds: list[str], skip_prefixes: list[str]) ->
 
 def override_families(members: DataFrame, leaf: str, owner: str, base) -> DataFrame:
     """Leaves with a base and an override by another owner, and how many of each."""
-    flagged = members.withColumn("is_base", base)
-    bases = flagged.where("is_base").select(leaf, F.col(owner).alias("base_owner")).distinct()
-    over = flagged.where("NOT is_base").select(leaf, owner).distinct()
-    pairs = bases.join(over, leaf).where(F.col("base_owner") != F.col(owner))
-    return pairs.groupBy(leaf).agg(F.count_distinct("base_owner").alias("bases"), F.count_distinct(owner).alias("overrides"))
+    owners = members.groupBy(leaf, owner).agg(F.max(base).alias("b"), F.max(~base).alias("o"))
+    per = owners.groupBy(leaf).agg(F.count_if("b").alias("nb"), F.count_if("o").alias("no"), F.max(F.when(F.col("b"), F.col(owner))).alias("base"), F.max(F.when(F.col("o"), F.col(owner))).alias("over"))
+    rows = owners.join(per, leaf)
+    # An owner counts unless it is itself all that stands opposite.
+    alone = lambda n, only: (F.col(n) == 0) | ((F.col(n) == 1) & (F.col(only) == F.col(owner)))
+    counted = rows.groupBy(leaf).agg(F.count_if(F.col("b") & ~alone("no", "over")).alias("bases"), F.count_if(F.col("o") & ~alone("nb", "base")).alias("overrides"))
+    return counted.where("bases > 0")
 
 
 def def_use(writes: DataFrame) -> DataFrame:
