@@ -362,12 +362,13 @@ def nm7_resource_layout(spark, d):
 
 
 @sym_query("""+x AS (SELECT f.name, count(*) FILTER (e.kind = 'WRITES') AS producers, count(*) FILTER (e.kind = 'READS') AS consumers, count(*) FILTER (e.kind = 'READS' AND e.src LIKE '%@op_kernel/%') AS sinks, count(*) FILTER (e.kind = 'WRITES' AND e.src LIKE '%@op_host/%') AS hosted FROM sym f LEFT JOIN sedge e ON e.dst = f.id WHERE f.kind = 'FIELD' GROUP BY f.name),
-c AS (SELECT name, producers > 0 AS c1, producers > 0 AS c2, hosted > 0 AS c3, consumers + sinks > 0 AS c6, sinks > 0 AS c7 FROM x)
+c AS (SELECT name, producers > 0 AS c1, true AS c2, hosted > 0 AS c3, consumers + sinks > 0 AS c6, sinks > 0 AS c7 FROM x)
 SELECT name, CASE WHEN c1 AND c2 AND c3 AND c6 AND (NOT c6 OR c7) THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS state, list_filter([CASE WHEN NOT c1 THEN 'NO_PRODUCER' END, CASE WHEN NOT c2 THEN 'PRODUCER_NOT_LOCATED' END, CASE WHEN NOT c3 THEN 'NO_TRANSPORT' END, CASE WHEN NOT c6 THEN 'NO_SINK' END, CASE WHEN c6 AND NOT c7 THEN 'CONSUMER_NOT_LOCATED' END], lambda r: r IS NOT NULL) AS reasons FROM c""")
 def nm8_contract_cards(spark, d):
     """Whether each field's contract is complete: produced, located, carried from the host, and consumed by a located reader."""
     f = src.symbols(spark, d).where("kind = 'FIELD'").select(F.col("id").alias("dst"), "name")
-    return cards.contracts(f, src.symbol_edges(spark, d))
+    located = src.symbols(spark, d).where("file <> '' AND line_start > 0").select("id")
+    return cards.contracts(f, src.symbol_edges(spark, d), located)
 
 
 @sym_query(r"""SELECT s.id FROM sym s JOIN guard g ON false UNION ALL SELECT s.id FROM sym s WHERE s.kind = 'FUNCTION' AND s.file LIKE 'op_kernel/%' AND s.name LIKE 'Op3::%' AND EXISTS (SELECT 1 FROM call c WHERE 'FUNCTION:' || c.function || '@' || c.path = s.id AND lower(c.callee) = 'op_check')
@@ -412,3 +413,22 @@ def nm13_dim_catalog(spark, d):
     keys = dims.where("dim = 'size' AND value = '3'").select("key_id")
     hit = dims.join(keys, "key_id", "left_semi").where("dim <> 'size' OR value = '3'")
     return hit.groupBy(F.lit("size").alias("asked"), "dim").agg(F.sort_array(F.collect_set("value")).alias("values"), F.count_distinct("key_id").alias("keys"))
+
+
+_ITEMS = r"""it AS (SELECT path, function, 'signature' AS section, 0 AS cls, line AS rank, text FROM scan WHERE function IS NOT NULL AND regexp_matches(text, '^void ')
+  UNION ALL SELECT path, function, 'writes', 1, line, lhs || ' = ' || rhs FROM wr UNION ALL SELECT path, function, 'calls', 2, line, callee FROM call UNION ALL SELECT path, function, 'context', 3, line, text FROM clean),
+up AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY path, function ORDER BY cls, rank, section, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, length(text) + 1 AS size FROM it),
+fit AS (SELECT *, CASE WHEN upto <= 400 THEN 'kept' WHEN cls = 0 AND 400 - (upto - size) > 2 THEN 'clipped' ELSE 'shed' END AS fate FROM up)"""
+
+
+@sym_query("+" + _ITEMS + """ SELECT path, function, section, count(*) FILTER (fate = 'kept')::BIGINT AS kept, count(*) FILTER (fate = 'clipped')::BIGINT AS clipped, count(*) FILTER (fate = 'shed')::BIGINT AS shed,
+coalesce(sum(CASE fate WHEN 'kept' THEN size WHEN 'clipped' THEN 400 - (upto - size) END), 0)::BIGINT AS chars FROM fit GROUP BY path, function, section""")
+def tk12_payload_ladder(spark, d):
+    """Cards of functions cut to 400 characters: signature, writes, calls, context, in this order of worth, and what was trimmed."""
+    item = lambda rows, section, cls, text: rows.select("path", "function", F.lit(section).alias("section"), F.lit(cls).alias("cls"), F.col("line").alias("rank"), text.alias("text"))
+    head = src.scanned(spark, d).where("function IS NOT NULL").where(F.col("text").rlike("^void "))
+    parts = [
+        item(head, "signature", 0, F.col("text")), item(src.writes(spark, d), "writes", 1, F.concat_ws(" = ", "lhs", "rhs")),
+        item(src.calls(spark, d), "calls", 2, F.col("callee")), item(src.bodies(spark, d), "context", 3, F.col("text")),
+    ]
+    return cards.trimmed(cards.shed(reduce(DataFrame.unionByName, parts), ["path", "function"], 400), ["path", "function"])
