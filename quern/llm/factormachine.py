@@ -17,8 +17,8 @@ Defined cases: a null text is scored as an empty one, which has no words; a null
 or negative number of characters is counted from the text. Null ids and null labels are
 not learned from; of several labels of an id the largest counts, of several rows of an id
 the text with the least hash. Where nothing, or one label only, is learned from, every
-score is the share of label 1 with one imagined label of each kind added. Repeated rows score alike. Extra columns are
-ignored; ids may be of any type; texts are read whole.
+score is the share of label 1 with one imagined label of each kind added. Repeated rows
+score alike. Extra columns are ignored; ids may be of any type; texts are read whole.
 """
 
 from __future__ import annotations

@@ -16,10 +16,10 @@ Defined cases: vectors that are null, empty or hold a null or non-finite compone
 dropped, as are vectors whose length is not the table's commonest (ties to the longer).
 Where the length is no multiple of the number of parts, part p holds the components from
 p * length // parts on. Components are held within 2**25 after scaling, so that sums stay
-exact. Rows that share an id count each by itself; a codebook starts from distinct ids, with the
-least of an id's vectors, null ids last. With fewer ids than entries the codebook has an
-entry per id. Null labels are one label. An empty table gives no row. Extra columns are
-ignored.
+exact. Rows that share an id count each by itself; a codebook starts from distinct ids,
+with the least of an id's vectors, null ids last. With fewer ids than entries the codebook
+has an entry per id. Null labels are one label. An empty table gives no row. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
