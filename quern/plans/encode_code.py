@@ -32,7 +32,7 @@ LAYERS = ["op_host", "op_kernel/arch35", "op_kernel/arch22", "op_host/common"]
 FIELDS = {"a": "l_partkey % 50", "b": "l_suppkey % 10", "o": "l_orderkey", "p": "l_orderkey - 1", "s": "l_orderkey + 1", "q": "CAST(l_quantity AS INT)", "l": "l_linenumber"}
 
 
-def _pieces(template: str) -> list[str]:
+def _pieces(template: str, fields: dict[str, str] = FIELDS) -> list[str]:
     """A template as SQL operands: quoted text and field expressions by turns."""
     out, rest = [], template.replace("{{", "\0").replace("}}", "\1")
     while rest:
@@ -41,7 +41,7 @@ def _pieces(template: str) -> list[str]:
             out.append("'" + text.replace("\0", "{").replace("\1", "}") + "'")
         if rest:
             field, _, rest = rest.partition("}")
-            out.append(f"CAST({FIELDS[field]} AS STRING)")
+            out.append(f"CAST({fields[field]} AS STRING)")
     return out
 
 
