@@ -8,10 +8,13 @@ map kept in a folder is read there by the next run, which edits it for what it m
 and stores the result as the next version, so only the slots that must move do.
 
 Defined cases: a null text counts no bytes (size 1) and has the CRC of no bytes, 0. A
-null ``doc_id`` is hashed by its text. Rows that share an id share a slot; equal texts
-under different ids are records of their own and are not kept together, as one group of
-them may be larger than a shard. Within a slot, rows are numbered by id, CRC and size;
-rows equal in all three are alike. An empty table gives an empty result. Columns of the
+null ``doc_id`` is hashed by its text. ``place`` keeps equal texts in one slot, and so in
+one shard, unless their group holds more than half of what a shard should (at most twice
+as many groups as shards can); such a group is hashed by id, as no shards of near equal
+size could hold it whole. ``assign`` hashes by id alone: the rows that it gets are what
+deduplication left, and the repeats that mixing made are to be spread. Within a slot,
+rows are numbered part by part (a hash of the id), then by id, CRC and size; rows equal
+in all of these are alike. An empty table gives an empty result. Columns of the
 input other than the ones named here are ignored by ``place``; ``assign`` keeps them all
 and adds its own under the names given, with underscores added if the input has them.
 Ids may be of any type that has an order.
@@ -21,12 +24,14 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import Scratch, free_names
 
 N_SLOTS = 4096
+#: Rows of a slot are numbered in so many parts, so that a slot with a large group is not one task.
+PARTS = 16
 
 
 def slot_of(key: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
@@ -131,38 +136,51 @@ def measured(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("vslot").agg(F.sum("size").alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def large_groups(sized: DataFrame, n_shards: int) -> list[int]:
+    """Text hashes whose rows weigh more than half a shard: at most ``2 * n_shards`` values."""
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    groups = sized.groupBy("text_hash").agg(F.sum("size").alias("n_bytes"))
+    return [r.text_hash for r in groups.where(F.col("n_bytes") * (2 * n_shards) > total).collect()]
+
+
 def place(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, maps: str | None = None) -> DataFrame:
-    """One row per document with its shard and its place in that shard.
+    """One row per document with its shard and its place in that shard; equal texts together (see above).
 
     ``maps`` is the folder of the slot map's versions, a fresh one if not given.
 
-    The text is read once, for its size and CRC; only those and the key are stored and
-    shuffled. Row numbers come from a window within a virtual slot plus the slot's
-    first row in its shard, so no task holds a whole shard.
+    The text is read once, for its size, CRC and hash; only those and the key are stored
+    and shuffled. Row numbers come from a window within a part of a virtual slot plus the
+    part's first row in its shard, so no task holds a whole shard or slot.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = scratch.table(
-        docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(F.col("doc_id"), F.col("text"), n_slots).alias("vslot")),
-        "sized",
-    )
-    slot_map = SlotMap(docs.sparkSession, maps or scratch.path("slot-maps"), n_shards, n_slots).rebalanced(measured(keyed))
-    within = F.row_number().over(_in_slot())
+    sized = scratch.table(docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash")), "sized")
+    spread = F.col("text_hash").isin(large_groups(sized, n_shards)) & F.col("doc_id").isNotNull()
+    by_text, by_id = (F.pmod(h, F.lit(n_slots)).cast("int") for h in (F.col("text_hash"), F.xxhash64("doc_id")))
+    keyed = sized.withColumn("vslot", F.when(spread, by_id).otherwise(by_text)).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+    parts = scratch.table(keyed.groupBy("vslot", "part").agg(F.sum("size").alias("n_bytes"), F.count(F.lit(1)).alias("n_rows")), "parts")
+    per_slot = parts.groupBy("vslot").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"))
+    slot_map = SlotMap(docs.sparkSession, maps or scratch.path("slot-maps"), n_shards, n_slots).rebalanced(per_slot)
+    before = F.sum("n_rows").over(_in_slot("part")) - F.col("n_rows")
+    # At most n_slots * PARTS rows, whatever the table's size.
+    firsts = parts.withColumn("before", before).join(F.broadcast(slot_map), "vslot").select("vslot", "part", "shard", "version", (F.col("first_slot_row") + F.col("before")).alias("first"))
     return (
-        keyed.withColumn("row", within)
-        .join(F.broadcast(slot_map), "vslot")
+        keyed.withColumn("row", F.row_number().over(_in_part()))
+        .join(F.broadcast(firsts), ["vslot", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("first_slot_row") + F.col("row") - 1).cast("long").alias("slot"),
+            (F.col("first") + F.col("row") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"),
         )
     )
 
 
-def _in_slot():
-    from pyspark.sql import Window
+def _in_slot(*order: str):
+    return Window.partitionBy("vslot").orderBy(*order)
+
 
-    return Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+def _in_part():
+    return Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
 
 
 def assign(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, shard: str = "shard", vslot: str = "vslot", maps: str | None = None) -> DataFrame:

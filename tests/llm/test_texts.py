@@ -216,6 +216,25 @@ def test_shards_are_near_equal_and_maps_are_edited(spark, tmp_path):
         sharding.place(docs, n_shards=3, maps=f"{tmp_path}/maps")
 
 
+def test_equal_texts_stay_together_unless_they_outweigh_half_a_shard(spark):
+    small = [(i, f"text {i % 700} " + "x" * (i % 700)) for i in range(3000)]
+    docs = spark.createDataFrame(small, "doc_id long, text string")
+    rows = sharding.place(docs).collect()
+    shards, size = defaultdict(set), defaultdict(int)
+    for r in rows:
+        shards[r.text_crc32].add(r.shard)
+        size[r.shard] += r.size
+    assert len(shards) == 700 and all(len(s) == 1 for s in shards.values()) and max(size.values()) - min(size.values()) < 0.01 * sum(size.values())
+    hot = docs.unionByName(spark.createDataFrame([(i + 10**6, "hot " * 50) for i in range(4000)], "doc_id long, text string"))
+    rows, slots, size, shards = sharding.place(hot).collect(), defaultdict(list), defaultdict(int), defaultdict(set)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r.size
+        shards[r.text_crc32].add(r.shard)
+    assert sorted(map(len, shards.values()))[-2:] == [1, 8] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(rows) == 7000 and max(size.values()) - min(size.values()) < 0.01 * sum(size.values())
+
+
 def test_rebalance_comes_close_and_moves_little():
     rng = random.Random(3)
     weight = [rng.randrange(1000, 3000) for _ in range(512)]
