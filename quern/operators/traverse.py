@@ -46,6 +46,37 @@ def within_hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return _hops(seeds, edges, depth)
 
 
+def slices(seeds: DataFrame, edges: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(request, id, distance, truncated) for every request of ``seeds`` (request, id), in one walk.
+
+    A request has at most ``budget`` nodes with its seeds, admitted by distance, then id;
+    ``truncated`` if nodes within ``depth`` hops were left out. A request without budget
+    left walks no further. A hop's new nodes are cut to the budget before they are dealt
+    by request, so a hub's neighbours never meet in one task.
+    """
+    order = Window.partitionBy("request").orderBy("id")
+    steps = edges.select("src", "dst").distinct()
+
+    def admitted(new: DataFrame, spent: Column, distance: int) -> DataFrame:
+        first = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget + 1).withColumn("left", F.lit(budget) - spent)
+        # The node after the last admitted one stays, as the mark that something was left out.
+        return stage(first.where(F.col("rank") <= F.col("left") + 1).select("request", "id", F.lit(distance).alias("distance"), (F.col("rank") > F.col("left")).alias("out")), "slice_hop")
+
+    seen = admitted(seeds.select("request", "id").distinct(), F.lit(0), 0)
+    frontier = seen
+    for hop in range(1, depth + 1):
+        full = seen.where("out").select("request").distinct()
+        ahead = frontier.join(full, "request", "left_anti").select("request", F.col("id").alias("src"))
+        new = ahead.join(steps, "src").select("request", F.col("dst").alias("id")).distinct().join(seen.select("request", "id"), ["request", "id"], "left_anti")
+        spent = seen.groupBy("request").agg(F.count(F.lit(1)).cast("int").alias("spent"))
+        frontier = admitted(new.join(spent, "request"), F.col("spent"), hop)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    cut = seen.groupBy("request").agg(F.max("out").alias("truncated"))
+    return seen.where("NOT out").select("request", "id", "distance").join(cut, "request")
+
+
 def slice_edges(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Edges leaving nodes nearer than ``depth``."""
     return edges.join(nodes.where(F.col("distance") < depth), edges["src"] == nodes["id"], "left_semi")
