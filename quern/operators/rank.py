@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.names import leaf
+from quern.sources.staging import stage
 
 
 def name_tier(name: Column, wanted: str) -> Column:
@@ -178,3 +179,22 @@ def meant(known: DataFrame, asked: list[str], edits: int, most: int) -> DataFram
     near = known.select("name", F.explode(F.filter(tries, lambda x: x["away"] <= edits)).alias("x")).select("x.asked", "x.away", F.col("name").alias("meant"))
     w = Window.partitionBy("asked").orderBy("away", "meant")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("away")
+
+
+def positions(frame: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """The place of each row in the ``order`` of its group, from 1, without a task that holds a group.
+
+    Rows are dealt by ranges of (group, order) and stored with their range; a row's place is
+    the one in its range, after the rows that the group has in the ranges before. ``order``
+    must be total within a group, or equal rows are numbered as they come.
+    """
+    dealt = frame.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    kept = stage(dealt, "ranges")
+    counts = kept.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    offsets = counts.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_range").alias("_at"), before.alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    placed = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)))
+    return placed.join(offsets, same).select(*frame.columns, (F.col("_row") + F.col("_before")).cast("int").alias(name))

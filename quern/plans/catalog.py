@@ -178,9 +178,9 @@ def gr2_neighbors_2hop(spark, d):
     return encode.entities(spark, d).select("id", "kind").join(near, "id")
 
 
-@query("SELECT src AS id, kind, count(*)::BIGINT AS n FROM rel WHERE src LIKE 'PART:%' GROUP BY ALL")
+@query("SELECT src AS id, kind, count(*)::BIGINT AS n FROM rel GROUP BY ALL")
 def gr1_neighbor_counts(spark, d):
-    return encode.relations(spark, d).where(F.col("src").startswith("PART:")).groupBy(F.col("src").alias("id"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return encode.relations(spark, d).groupBy(F.col("src").alias("id"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT src, kind, dst, rank FROM (SELECT src, kind, dst, row_number() OVER (PARTITION BY src ORDER BY kind, dst)::INT AS rank FROM rel) WHERE rank <= 3")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import names, predicates, source_text
-from quern.operators import audit, code, intervals, lineage, merge, postings, traverse
+from quern.operators import audit, code, intervals, lineage, merge, postings, rank, traverse
 from quern.plans import encode
 from quern.plans import encode_code as src
 from quern.plans.catalog import query
@@ -374,7 +374,7 @@ def rm11_allocation_index(spark, d):
     """Buffer calls by the leaf of their first argument; the size is the last argument where there are several."""
     args = src.bodies(spark, d).where(F.col("text").contains(".Set(")).select("path", "line", source_text.arguments("text", F.lit("Set")).alias("a"))
     got = args.select(names.leaf(F.get("a", F.lit(0))).alias("target"), "path", "line", F.when(F.size("a") > 1, F.element_at("a", -1)).alias("size"))
-    return got.withColumn("position", F.row_number().over(Window.partitionBy("target").orderBy("path", "line")))
+    return rank.positions(got, ["target"], ["path", "line"])
 
 
 @sym_query(r"""SELECT f.path, f.function, CASE WHEN starts_with(c.text, 'template') THEN list_transform(string_split(regexp_extract(c.text, '<(.*)>', 1), ', '), lambda p: regexp_extract(p, '\w+$')) END AS params FROM fn f JOIN code c ON c.path = f.path AND c.line = f.line_start - 1""")
@@ -533,7 +533,6 @@ def rm30_blocks_by_domain(spark, d):
 @query("+k AS (SELECT DISTINCT name FROM ent WHERE kind = 'NATION'), q AS (SELECT * FROM (VALUES ('NATON_6'), ('NATION_1X'), ('XQZXQZ')) t(asked)) SELECT asked, name AS meant, rank FROM (SELECT asked, name, (row_number() OVER (PARTITION BY asked ORDER BY levenshtein(asked, name), name))::INT AS rank FROM q, k WHERE levenshtein(asked, name) <= 2) WHERE rank <= 3")
 def rm31_did_you_mean(spark, d):
     """Up to three legal names within two edits of each rejected one."""
-    from quern.operators import rank
 
     known = encode.entities(spark, d).where("kind = 'NATION'").select("name").distinct()
     return rank.meant(known, ["NATON_6", "NATION_1X", "XQZXQZ"], 2, 3)

@@ -176,12 +176,12 @@ def ag28_field_impact_card(spark, d):
 # -- windows and ranks ----------------------------------------------------------------
 
 
-@query("SELECT id, kind, other, name, rank FROM (SELECT r.src AS id, r.kind, e.id AS other, e.name, row_number() OVER (PARTITION BY r.src, r.kind ORDER BY CASE r.trust WHEN 'authoritative' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, e.kind, e.name, e.id)::INT AS rank FROM rel r JOIN ent e ON e.id = r.dst WHERE r.src LIKE 'NATION:%') WHERE rank <= 64")
+@query("SELECT id, kind, other, name, rank FROM (SELECT r.src AS id, r.kind, e.id AS other, e.name, row_number() OVER (PARTITION BY r.src, r.kind ORDER BY CASE r.trust WHEN 'authoritative' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END, e.kind, e.name, e.id)::INT AS rank FROM rel r JOIN ent e ON e.id = r.dst) WHERE rank <= 64")
 def wn1_top_relations(spark, d):
     """Up to 64 neighbours per relation kind, best evidence first."""
     e = encode.entities(spark, d).select(F.col("id").alias("dst"), F.col("kind").alias("other_kind"), "name")
     order = F.when(F.col("trust") == "authoritative", 0).when(F.col("trust") == "derived", 1).otherwise(2)
-    r = encode.relations(spark, d).where(F.col("src").startswith("NATION:")).join(e, "dst")
+    r = encode.relations(spark, d).join(e, "dst")
     return traverse.top_per(r, ["src", "kind"], [order, "other_kind", "name", "dst"], 64).select(F.col("src").alias("id"), "kind", F.col("dst").alias("other"), "name", "rank")
 
 
@@ -202,8 +202,8 @@ SELECT id, level, row_number() OVER (PARTITION BY level, kind ORDER BY line_star
 def wn8_lifetime_order(spark, d):
     """Entities in the order of their topological level, and by line and name within it, per kind."""
     levels = traverse.topo_levels(encode.relations(spark, d).where("kind IN ('CONTAINS', 'CALLS')"))
-    w = Window.partitionBy("level", "kind").orderBy("line_start", "name", "id")
-    return levels.join(encode.entities(spark, d), "id").select("id", "level", F.row_number().over(w).alias("position"))
+    placed = rank.positions(levels.join(encode.entities(spark, d).select("id", "kind", "line_start", "name"), "id"), ["level", "kind"], ["line_start", "name", "id"])
+    return placed.select("id", "level", "position")
 
 
 _LAYER = "CASE WHEN file LIKE '%/common/%' THEN 2 WHEN file LIKE 'op_host/%' THEN 0 WHEN file LIKE 'op_kernel/%' THEN 1 ELSE 3 END"
@@ -358,7 +358,7 @@ def nm6_symbol_bundle(spark, d):
 def nm7_resource_layout(spark, d):
     """Each buffer's uses in source order."""
     b = src.bodies(spark, d).where(F.col("text").rlike(r"\bbuf\d+\.")).select("path", "line", F.regexp_extract("text", r"\b(buf\d+)\.", 1).alias("buffer"))
-    return b.select("buffer", "path", "line", F.row_number().over(Window.partitionBy("buffer").orderBy("path", "line")).alias("position"))
+    return rank.positions(b, ["buffer"], ["path", "line"])
 
 
 @sym_query("""+x AS (SELECT f.name, count(*) FILTER (e.kind = 'WRITES') AS producers, count(*) FILTER (e.kind = 'READS') AS consumers, count(*) FILTER (e.kind = 'READS' AND e.src LIKE '%@op_kernel/%') AS sinks, count(*) FILTER (e.kind = 'WRITES' AND e.src LIKE '%@op_host/%') AS hosted FROM sym f LEFT JOIN sedge e ON e.dst = f.id WHERE f.kind = 'FIELD' GROUP BY f.name),
