@@ -296,8 +296,7 @@ def ps32_type_bindings(spark, d):
 SELECT path, line, callee, CASE min(prio) WHEN 0 THEN 'walk' ELSE 'lexical' END AS source FROM l WHERE callee NOT IN ('if', 'for', 'while', 'switch', 'return') GROUP BY path, line, callee""")
 def ps33_merged_call_sites(spark, d):
     """Call sites of two scanners without repeats; where both have one, the walk's stays."""
-    raw = src.scanned(spark, d).join(src.functions(spark, d), ["path", "function"]).where("line > line_start AND line < line_end").select("path", "line", "function", "text")
-    lexical = code.calls(raw).select("path", "line", "callee", F.lit(1).alias("prio"))
+    lexical = code.calls(src.inside(spark, d)).select("path", "line", "callee", F.lit(1).alias("prio"))
     walk = src.calls(spark, d).select("path", "line", "callee", F.lit(0).alias("prio"))
     best = walk.unionByName(lexical).groupBy("path", "line", "callee").agg(F.min("prio").alias("p"))
     return best.select("path", "line", "callee", F.when(F.col("p") == 0, "walk").otherwise("lexical").alias("source"))
