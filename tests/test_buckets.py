@@ -42,3 +42,22 @@ def test_units_without_lines_keep_their_heads(spark):
     got = encode_code.numbered(items, ["at"], F.array(F.concat(F.lit("head"), F.col("o").cast("string"))), lines)
     found = sorted(tuple(r) for r in got.collect())
     assert found == [("p", 1, "head1"), ("p", 2, "a"), ("p", 3, "a"), ("p", 4, "}"), ("p", 5, "head2"), ("p", 6, "}"), ("q", 1, "head3"), ("q", 2, "b"), ("q", 3, "b"), ("q", 4, "}")]
+
+
+def test_flow_tables_are_built_from_one_shuffle_of_items(spark):
+    from quern.plans import encode_flow, encode_kernels
+
+    assert exchanges(encode_flow._functions(spark, DATA)) == 1
+    assert exchanges(code.enclosing_function(encode_kernels._kernel_lines(spark, DATA))) == 1
+
+
+def test_equal_items_take_turns(spark):
+    items = spark.createDataFrame([("p", 1, 1, "a"), ("p", 1, 1, "a")], "path string, o int, j int, text string")
+    got = encode_code.interleaved(items, F.array(F.lit("head")), F.array("text", F.lit("b"))).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.line)] == ["head", "a", "a", "b", "b", "}"]
+
+
+def test_fitted_cards_send_no_table_to_all_tasks(spark):
+    from quern.plans.registered import QUERIES
+
+    assert "Broadcast" not in QUERIES["tk12_fitted_cards"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
