@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.staging import stage
+from quern.sources.staging import bucketed, stage
 
 FOLD = 16
 
@@ -51,30 +51,45 @@ def slices(seeds: DataFrame, edges: DataFrame, depth: int, budget: int) -> DataF
 
     A request has at most ``budget`` nodes with its seeds, admitted by distance, then id;
     ``truncated`` if nodes within ``depth`` hops were left out. A request without budget
-    left walks no further. A hop's new nodes are cut to the budget before they are dealt
-    by request, so a hub's neighbours never meet in one task.
-    """
-    order = Window.partitionBy("request").orderBy("id")
-    steps = edges.select("src", "dst").distinct()
+    left walks no further.
 
-    def admitted(new: DataFrame, spent: Column, distance: int) -> DataFrame:
-        first = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget + 1).withColumn("left", F.lit(budget) - spent)
-        # The node after the last admitted one stays, as the mark that something was left out.
-        return stage(first.where(F.col("rank") <= F.col("left") + 1).select("request", "id", F.lit(distance).alias("distance"), (F.col("rank") > F.col("left")).alias("out")), "slice_hop")
-
-    seen = admitted(seeds.select("request", "id").distinct(), F.lit(0), 0)
-    frontier = seen
-    for hop in range(1, depth + 1):
-        full = seen.where("out").select("request").distinct()
-        ahead = frontier.join(full, "request", "left_anti").select("request", F.col("id").alias("src"))
-        new = ahead.join(steps, "src").select("request", F.col("dst").alias("id")).distinct().join(seen.select("request", "id"), ["request", "id"], "left_anti")
-        spent = seen.groupBy("request").agg(F.count(F.lit(1)).cast("int").alias("spent"))
-        frontier = admitted(new.join(spent, "request"), F.col("spent"), hop)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    cut = seen.groupBy("request").agg(F.max("out").alias("truncated"))
-    return seen.where("NOT out").select("request", "id", "distance").join(cut, "request")
+    Of a node's neighbours the first ``budget`` + 1 by id are kept: one further back has more
+    before it than a request can have seen or admit. A hop asks for the first few of each
+    frontier node; the last of these that may still be admitted bounds what the others are
+    asked for, so the neighbours of hubs are neither dealt nor sorted per request.
+    """
+    none, ids = F.array().cast("array<string>"), F.transform("nodes", lambda x: x["id"])
+    left = F.lit(budget) - F.size("nodes")
+
+    def admitted(rows: DataFrame, hop: int) -> DataFrame:
+        """``new`` is in order, and holds one node more than fits if something is left out."""
+        taken = F.slice("new", F.lit(1), left)
+        nodes = F.concat("nodes", F.transform(taken, lambda x: F.struct(x.alias("id"), F.lit(hop).alias("distance"))))
+        return stage(rows.select("request", nodes.alias("nodes"), taken.alias("ahead"), (F.col("out") | (F.size("new") > left)).alias("out")), "slice_hop")
+
+    within = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.dense_rank().over(Window.partitionBy("src").orderBy("dst")).alias("n")).where(F.col("n") <= budget + 1)
+    lists = within.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("near"))
+    first = top_per(seeds.select("request", "id").distinct(), ["request"], ["id"], budget + 1).groupBy("request").agg(F.array_sort(F.collect_list("id")).alias("new"))
+    state = admitted(first.select("request", F.array().cast("array<struct<id:string,distance:int>>").alias("nodes"), "new", F.lit(False).alias("out")), 0)
+    with bucketed(lists, "slice_edges", ["src"], deal=False) as steps:
+        for hop in range(1, depth + 1):
+            few = F.greatest(F.lit(2), F.ceil((left + 1) * 2 / F.size("ahead")).cast("int"))
+            going = state.where("NOT out AND size(ahead) > 0").select("request", F.explode("ahead").alias("src"), few.alias("few"))
+            if going.isEmpty():
+                break
+            more = F.when(F.size("near") > F.col("few"), F.struct("src", F.element_at("near", F.col("few")).alias("last"), "few"))
+            met = going.join(steps, "src").select("request", F.slice("near", F.lit(1), F.col("few")).alias("head"), more.alias("more"))
+            met = met.groupBy("request").agg(F.array_distinct(F.flatten(F.collect_list("head"))).alias("head"), F.collect_list("more").alias("more"))
+            new = F.array_sort(F.array_except(F.coalesce("head", none), ids))
+            found = state.join(met, "request", "left").select("request", "nodes", "out", new.alias("new"), "more").withColumn("top", F.when(F.size("new") > left, F.get("new", left)))
+            open_ = F.filter("more", lambda m: F.col("top").isNull() | (m["last"] < F.col("top")))
+            found = stage(found.withColumn("more", open_), "slice_found")
+            rest = found.select("request", "top", F.inline("more")).join(steps, "src")
+            later = F.filter(F.slice("near", F.col("few") + 1, F.lit(budget + 1)), lambda x: F.col("top").isNull() | (x < F.col("top")))
+            later = top_per(rest.select("request", F.explode(later).alias("id")).distinct(), ["request"], ["id"], budget + 1).groupBy("request").agg(F.collect_list("id").alias("later"))
+            both = F.array_sort(F.array_union("new", F.array_except(F.coalesce("later", none), ids)))
+            state = admitted(found.join(later, "request", "left").select("request", "nodes", "out", both.alias("new")), hop)
+    return state.select("request", F.inline("nodes"), F.col("out").alias("truncated"))
 
 
 def slice_edges(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

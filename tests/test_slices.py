@@ -30,3 +30,21 @@ def test_slices_equal_a_search_per_request(spark):
         assert got == {r: (nodes, {more}) for r, (nodes, more) in want.items()} and len(rows) == sum(len(n) for n, _ in want.values())
         cut |= {more for _, more in want.values()}
     assert cut == {True, False}
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have shuffled."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_slices_do_not_deal_the_neighbours_of_hubs_per_request(spark):
+    edges = [(f"s{i:03}", f"h{i % 2}") for i in range(200)] + [(f"h{i % 2}", f"t{i:04}") for i in range(4000)]
+    seeds = spark.createDataFrame([(f"s{i:03}", f"s{i:03}") for i in range(200)], "request string, id string")
+    before = shuffled_rows(spark)
+    rows = traverse.slices(seeds, spark.createDataFrame(edges, "src string, dst string"), 2, 8).collect()
+    # Each request could be sent all of its hub's neighbours: 400,000 rows.
+    assert shuffled_rows(spark) - before < 40_000
+    assert sorted((x.id, x.distance, x.truncated) for x in rows if x.request == "s003") == [("h1", 1, True), ("s003", 0, True), *((f"t{i:04}", 2, True) for i in (1, 3, 5, 7, 9, 11))]
+    assert len(rows) == 200 * 8
