@@ -14,17 +14,22 @@ import re
 import re._constants as sre
 import re._parser as parser
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.names import path_matches
-from quern.operators.text import matching, trigrams
+from quern.operators.text import matching
 
 PARTS = 64
 BLOCK = 1024
+#: Characters whose grams are sorted at once in a task.
+CHARS = 1 << 20
 #: Strings that a part of a pattern is followed as, at most; beyond, it is taken for unknown.
 STRINGS = 24
 #: Grams met for a conjunction, the rarest; the others can only confirm them.
@@ -38,13 +43,47 @@ def part_of(gram: Column) -> Column:
 
 
 def build(lines: DataFrame) -> DataFrame:
-    """(gram, path, block, lines, n, part) of (path, line, text), whatever the case; to be stored by ``part``, sorted by gram."""
-    rows = lines.where(F.length("text") >= 3).select("path", "line", F.explode(trigrams(F.col("text"))).alias("gram"))
-    block = F.floor(F.col("line") / BLOCK).cast("int")
-    posted = rows.groupBy("gram", "path", block.alias("block")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    """(gram, path, block, lines, n, part) of (path, line, text), whatever the case; to be stored by ``part``.
+
+    Lines are met where they lie and no row is dealt: a block whose lines come in several
+    batches has several postings of a gram. Postings are in the order of their grams per batch.
+    """
+    rows = lines.where("path IS NOT NULL").select("path", F.col("line").cast("int").alias("line"), F.lower("text").alias("text")).where(F.length("text") >= 3)
+    posted = rows.mapInArrow(_posted, "gram string, path string, block int, lines array<int>")
     return posted.select("gram", "path", "block", "lines", F.size("lines").alias("n"), part_of(F.col("gram")).alias("part"))
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each batch of (path, line, text), in runs of about ``CHARS`` characters."""
+    for batch in batches:
+        named = batch.column("path").dictionary_encode()
+        file, line = named.indices.to_numpy(), batch.column("line").to_numpy()
+        order = np.lexsort((line, file))
+        file, line, texts = file[order], line[order], batch.column("text").take(pa.array(order)).to_pylist()
+        long = np.fromiter(map(len, texts), np.int64, len(texts))
+        cuts = np.flatnonzero(np.diff(np.cumsum(long) // CHARS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            if a < b:
+                yield _run(texts[a:b], long[a:b], file[a:b], line[a:b], named.dictionary)
+
+
+def _run(texts: list[str], long: np.ndarray, file: np.ndarray, line: np.ndarray, paths: pa.Array) -> pa.RecordBatch:
+    """The postings of some lines in the order of their files and numbers, by gram."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), long)
+    whole = owner[2:] == owner[:-2]
+    key = (code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:])[whole]
+    keys, gram = np.unique(key, return_inverse=True)
+    gram, at = np.divmod(np.unique(gram * len(texts) + owner[2:][whole]), len(texts))
+    block = line[at] // BLOCK
+    starts = np.flatnonzero(np.r_[True, (np.diff(gram) != 0) | (np.diff(file[at]) != 0) | (np.diff(block) != 0)])
+    grams = pa.array([chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in keys.tolist()], pa.string())
+    held = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)], pa.int32()), pa.array(line[at], pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [grams.take(pa.array(gram[starts])), paths.take(pa.array(file[at][starts])), pa.array(block[starts], pa.int32()), held], ["gram", "path", "block", "lines"]
+    )
+
+
 # -- patterns -------------------------------------------------------------------------
 
 
@@ -182,19 +221,20 @@ def postings(index: DataFrame, grams: set[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, tree: Tree) -> DataFrame:
-    """(path, line) of the lines that satisfy ``tree``."""
+    """(path, found): by block, the lines of each file that satisfy ``tree``."""
     n = {r.gram: r.n for r in postings(index, tree.grams()).groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row per gram of the pattern
     tree = _rarest(tree, n)
     grams = sorted(tree.grams())
-    held = [F.coalesce(F.max(F.when(F.col("gram") == g, F.col("lines"))), F.array().cast("array<int>")).alias(f"g{i}") for i, g in enumerate(grams)]
-    blocks = postings(index, set(grams)).groupBy("path", "block").agg(*held)
+    held = [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("gram") == g, F.col("lines"))))).alias(f"g{i}") for i, g in enumerate(grams)]
+    blocks = postings(index, set(grams)).repartition("path").groupBy("path", "block").agg(*held)
 
     def lines(t: Tree) -> Column:
         if t.op == "gram":
             return F.col(f"g{grams.index(t.gram)}")
         return reduce(F.array_intersect if t.op == "and" else F.array_union, (lines(a) for a in t.args))
 
-    return blocks.select("path", F.explode(lines(tree)).alias("line"))
+    hit = blocks.select("path", "block", lines(tree).alias("lines")).where(F.size("lines") > 0)
+    return hit.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("block", "lines"))).alias("found"))
 
 
 def search(lines: DataFrame, index: DataFrame | None, pattern: str, file: str | None = None) -> DataFrame:
@@ -213,4 +253,6 @@ def search(lines: DataFrame, index: DataFrame | None, pattern: str, file: str |
     paths = [r.path for r in found.select("path").distinct().limit(FILES + 1).collect()]
     if len(paths) <= FILES:  # else too many to name
         scope = scope.where(F.col("path").isin(paths))
-    return matching(scope.join(found, ["path", "line"], "left_semi"), pattern)
+    # By file alone: lines in buckets by file stay where they are.
+    block = F.floor(F.col("line") / BLOCK).cast("int")
+    return matching(scope.join(found, "path").where(F.array_contains(F.element_at("found", block), F.col("line"))).select(*scope.columns), pattern)

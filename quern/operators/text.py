@@ -72,11 +72,6 @@ def suggestions(lines: DataFrame, tokens: list[str]) -> DataFrame:
     return counted.select(F.explode(pairs).alias("x")).select("x.token", "x.n")
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters, whatever their case; a look-ahead finds overlapping ones in one scan."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
-
-
 def tagged(lines: DataFrame, lexicon: list[tuple[str, str]]) -> DataFrame:
     """Lines with each phrase whose token they hold; the lexicon is a constant list."""
     tags = F.filter(F.array(*(F.when(F.col("text").contains(token), F.lit(phrase)) for phrase, token in lexicon)), lambda x: x.isNotNull())

@@ -122,6 +122,21 @@ def test_a_search_reads_only_its_grams(spark, tmp_path):
     assert {r.part for r in read.select("part").distinct().collect()} <= {gramindex.zlib.crc32(g.encode()) % gramindex.PARTS for g in tree.grams()}
 
 
+def test_the_index_is_built_where_the_lines_lie(spark, tmp_path):
+    import re
+
+    lines = spark.createDataFrame([(f"f{i % 3}", i, WORDS[i % len(WORDS)]) for i in range(4000)], "path string, line int, text string")
+    assert "Exchange" not in gramindex.build(lines)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        index = snapshot.lookup_table(spark, str(tmp_path), "grams", lambda: gramindex.build(lines), "gram", "part", deal=False)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.groupBy("gram", "path", "block").count().where("count > 1").count() > 0  # blocks in several batches
+    got = {(r.path, r.line) for r in gramindex.search(lines, index, "total[13]").collect()}
+    assert got == {(r.path, r.line) for r in lines.collect() if re.search("total[13]", r.text)} and got
+
+
 def test_a_version_is_current_or_not_there(spark, tmp_path, monkeypatch):
     """A writer that dies between any two steps leaves the version before; two can't take one number."""
     root = f"{tmp_path}/s"
