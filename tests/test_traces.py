@@ -105,3 +105,22 @@ def test_a_hop_does_not_deal_the_edges_anew(spark):
             assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 4000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_walks_that_meet_in_a_symbol_share_its_list(spark, monkeypatch):
+    """A hop holds a row per walk, not one per symbol, and reads a symbol's targets once for all walks."""
+    staged = {}
+
+    def counted(frame, name, keep=traces.stage):
+        out = keep(frame, name)
+        staged.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(traces, "stage", counted)
+    names = [(f"r{i}", f"r{i}") for i in range(60)] + [("hub", "hub")] + [(f"t{i:02d}", f"t{i:02d}") for i in range(9)] + [(f"b{i}", f"x > {i}") for i in range(60)]
+    edges = [("C", f"r{i}", "hub") for i in range(60)] + [("C", "hub", f"t{i:02d}") for i in range(9)] + [("C", f"b{i}", f"r{i}") for i in range(60)]
+    requests = spark.createDataFrame([(i, f"r{i}", "t08") for i in range(60)], "request long, from_name string, to_name string")
+    found = traces.walks(requests, spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(edges, "kind string, src string, dst string"), [Family("call", "", ("C",), 3, 80)]).collect()
+    assert {(r.explored, r.hops, tuple(r.path), r.bound) for r in found} == {(11, 2, (f"r{i}", "hub", "t08"), False) for i in range(60)}
+    assert staged["hop"] == [60, 60]
+    assert staged["lists"][0] == 1
