@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.names import leaf, normal_path
 from quern.operators import gramindex, rank, text, traverse
+from quern.sources.staging import stage
 
 #: Public operations and the filters each takes.
 OPERATIONS = {"search": {"pattern", "file", "kind", "limit"}, "trace": {"symbol", "to_symbol", "relation", "kind"}, "source": {"file", "line", "line_end"}}
@@ -70,7 +71,8 @@ def _trace(tables: dict[str, DataFrame], filters: dict, limit: int) -> DataFrame
     """Edges of the named symbols with their direction, or the first shortest path from them to each symbol of the other name."""
     _need(filters, "symbol")
     edges = tables["edges"].where(F.col("kind") == filters["relation"]) if "relation" in filters else tables["edges"]
-    seeds = _named(tables["symbols"], filters["symbol"], filters.get("kind"))
+    # Staged, so that the few symbols of a name meet the edges where these lie.
+    seeds = stage(_named(tables["symbols"], filters["symbol"], filters.get("kind")), "seeds")
     if "to_symbol" in filters:
         return traverse.shortest_paths(seeds, edges, TRACE_DEPTH).join(_named(tables["symbols"], filters["to_symbol"], None), "id", "left_semi")
     out = edges.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").withColumns({"id": F.col("dst"), "direction": F.lit("out")})
