@@ -25,7 +25,9 @@ def _functions(spark, d):
 
 
 def _fields(spark, d):
-    return src.symbols(spark, d).where("kind = 'FIELD'")
+    """The symbols of fields, from the table that holds them alone: its size shows whether it can be sent to every task."""
+    line = F.col("line")
+    return src.fields(spark, d).select(F.concat(F.lit("FIELD:"), "symbol").alias("id"), F.lit("FIELD").alias("kind"), F.col("symbol").alias("name"), F.col("path").alias("file"), line.alias("line_start"), line.alias("line_end"))
 
 
 # -- passes ---------------------------------------------------------------------------

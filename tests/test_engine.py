@@ -140,3 +140,14 @@ def test_edges_of_a_named_symbol_are_found_where_they_lie(spark, tmp_path):
         assert sorted((r.id, r.direction) for r in found.collect()) == [("f6", "in"), ("f8", "out")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_fields_come_from_their_own_table(spark):
+    """What joins with the few fields is not dealt because the table of all symbols is large."""
+    from quern.plans import catalog_passes, encode_code
+
+    d = "/root/testdata/sf0.001"
+    own = encode_code.symbols(spark, d).where("kind = 'FIELD'")
+    fields = catalog_passes._fields(spark, d)
+    assert fields.schema.simpleString() == own.schema.simpleString() and fields.exceptAll(own).isEmpty() and own.exceptAll(fields).isEmpty()
+    assert not any("code_symbols" in f for f in fields.inputFiles())
