@@ -6,6 +6,8 @@ own, so the join is on (path, bin) with the exact comparison after it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def containing(lines: DataFrame, spans: DataFrame, one_line: bool = False) -> Da
     return lines.withColumn("_bin", F.floor(F.col("line") / BIN)).join(_binned(wide), ["path", "_bin"]).where(F.col("line").between(F.col("line_start"), F.col("line_end"))).drop("_bin")
 
 
+def counts_within(spans: DataFrame, keys: list[str], facts: dict[str, DataFrame], parts: int) -> DataFrame:
+    """Spans (path, ``keys``, line_start, line_end) with the number of each kind of fact (path, line) on their lines.
+
+    Facts are summed along the file, and a span has the difference of the sums at its two
+    ends: no pair of fact and span is a row. Both are dealt by path to ``parts`` partitions once.
+    """
+    own = [*(F.col(k) for k in keys)]
+    none = [F.lit(None).cast(spans.schema[k].dataType).alias(k) for k in keys]
+    at = lambda frame, line, turn, kind, cols: frame.select("path", F.col(line).alias("line"), F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), *cols)
+    events = [at(spans, "line_start", 0, None, own), at(spans, "line_end", 2, None, own)] + [at(frame, "line", 1, name, none) for name, frame in facts.items()]
+    upto = Window.partitionBy("path").orderBy("line", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    summed = reduce(DataFrame.unionByName, events).repartition(parts, "path").withColumns({name: F.count_if(F.col("kind").eqNullSafe(name)).over(upto) for name in facts})
+    ends = F.when(F.col("turn") == 2, 1).otherwise(-1)
+    return summed.where("turn <> 1").groupBy("path", *keys).agg(*(F.sum(F.col(name) * ends).alias(name) for name in facts))
+
+
 def enclosing_unit(lines: DataFrame, spans: DataFrame, keys: list[str], one_line: bool = False) -> DataFrame:
     """The smallest span around each line, by width and then id."""
     w = Window.partitionBy(*keys).orderBy(F.col("line_end") - F.col("line_start"), "entity_id")

@@ -378,17 +378,9 @@ def lc7_template_header(spark, d):
 (SELECT count(*) FROM call WHERE call.path = f.path AND call.line BETWEEN f.line_start AND f.line_end)::BIGINT AS operations,
 (SELECT count(*) FROM clean WHERE clean.path = f.path AND clean.line BETWEEN f.line_start AND f.line_end AND contains(text, 'buf'))::BIGINT AS resources FROM fn f""")
 def lc8_facts_in_span(spark, d):
-    spans = src.functions(spark, d).withColumn("entity_id", F.concat_ws("#", "path", "function"))
-    keys = ["path", "function"]
-
-    def within(facts, name):
-        hit = intervals.containing(facts.select("path", "line"), spans)
-        return hit.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-    out = spans.select(*keys)
-    for facts, name in ((src.writes(spark, d), "changes"), (src.calls(spark, d), "operations"), (src.bodies(spark, d).where(F.col("text").contains("buf")), "resources")):
-        out = out.join(within(facts, name), keys, "left")
-    return out.select(*keys, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("changes", "operations", "resources")))
+    """How many writes, calls and lines with a buffer each function's lines hold."""
+    facts = {"changes": src.writes(spark, d), "operations": src.calls(spark, d), "resources": src.bodies(spark, d).where(F.col("text").contains("buf"))}
+    return intervals.counts_within(src.functions(spark, d), ["function"], facts, src.text_buckets(spark, d))
 
 
 @code_query("""+s AS (SELECT w.path, w.line, w.function, w.lhs FROM wr w), g AS (SELECT s.path, s.line, list(cond ORDER BY b.line_end - b.line_start, b.line_start DESC) AS conds FROM s JOIN guard b ON b.path = s.path AND s.line BETWEEN b.line_start AND b.line_end GROUP BY ALL)

@@ -61,3 +61,44 @@ def test_fitted_cards_send_no_table_to_all_tasks(spark):
     from quern.plans.registered import QUERIES
 
     assert "Broadcast" not in QUERIES["tk12_fitted_cards"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_within_functions_are_neither_moved_nor_sorted(spark):
+    plan = encode_code.bodies(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange " not in plan and "Sort " not in plan and "SortMergeJoin" not in plan
+
+
+def test_buckets_follow_the_rows_of_their_table(spark, monkeypatch):
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(snapshot, "BUCKET_ROWS", rows // 9)
+    assert snapshot.buckets(spark, DATA, "lineitem") in (9, 10)
+    monkeypatch.setattr(snapshot, "BUCKET_ROWS", rows)
+    assert snapshot.buckets(spark, DATA, "lineitem") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_facts_are_counted_in_nested_and_touching_spans(spark):
+    from quern.operators import intervals
+
+    spans = [("p", "a", 1, 9), ("p", "b", 3, 5), ("p", "c", 5, 5), ("q", "a", 2, 4)]
+    facts = {"x": [("p", 1), ("p", 5), ("p", 5), ("p", 10), ("q", 1)], "y": [("p", 3), ("q", 4), ("r", 1)]}
+    frames = {k: spark.createDataFrame(v, "path string, line int") for k, v in facts.items()}
+    got = intervals.counts_within(spark.createDataFrame(spans, "path string, function string, line_start int, line_end int"), ["function"], frames, 4).collect()
+    count = lambda k, s: sum(p == s[0] and s[2] <= n <= s[3] for p, n in facts[k])
+    assert sorted(tuple(r) for r in got) == sorted((s[0], s[1], count("x", s), count("y", s)) for s in spans)
+
+
+def test_functions_spans_come_with_one_shuffle(spark):
+    from quern.plans.registered import QUERIES
+
+    assert exchanges(QUERIES["lc8_facts_in_span"](spark, DATA)) == 1
+
+
+@pytest.mark.parametrize("name, apart", [("nm9_find", "call_edges"), ("rm40_field_classes", "call_edges"), ("ps1_reachable_calls", "write_edges"), ("ps22_root_trace", "write_edges")])
+def test_queries_build_only_the_tables_they_read(spark, name, apart):
+    from quern.plans.registered import QUERIES
+
+    snapshot.forget(spark)
+    QUERIES[name](spark, DATA)
+    built = {key[2] for key in snapshot._STORED if key[0] == spark.sparkContext.applicationId}
+    assert "code_calls" in built or "code_writes" in built
+    assert built.isdisjoint({"code_symbols", "code_symbol_edges", f"code_{apart}"})
