@@ -624,7 +624,7 @@ def rm40_field_classes(spark, d):
     """Fields as derived, boundary, control or payload, and those that nobody reads."""
     from quern.operators import cards
 
-    impact = cards.field_impact(_fields(spark, d).select(F.col("id").alias("dst"), "name"), src.symbol_edges(spark, d))
+    impact = cards.field_impact(_fields(spark, d).select(F.col("id").alias("dst"), "name"), src.data_edges(spark, d))
     in_guard = src.guards(spark, d).select(F.explode(names.identifiers(F.col("cond"))).alias("name")).distinct().withColumn("guard", F.lit(True))
     derived = src.writes(spark, d).where(F.col("rhs").rlike(r"&&|\|\|")).select(source_text.plain_symbol(F.col("lhs")).alias("name")).distinct().withColumn("derived", F.lit(True))
     label = F.when(F.col("derived"), "derived").when(F.col("guard") & F.col("name").rlike("size|total"), "boundary").when(F.col("guard"), "control").otherwise("payload")
