@@ -148,8 +148,8 @@ def lc10_guards_of_calls(spark, d):
 SELECT src, dst FROM c WHERE src IN (SELECT id FROM w)""", recursive=True)
 def ps1_reachable_calls(spark, d):
     """Calls whose two ends the roots reach, to the fixpoint."""
-    roots = src.symbols(spark, d).where("kind = 'FUNCTION' AND name LIKE 'Op0::%' AND file LIKE 'op_host/%'").select("id")
-    calls = src.symbol_edges(spark, d).where("kind = 'CALLS'").select("src", "dst")
+    roots = src.functions(spark, d).where("function LIKE 'Op0::%' AND path LIKE 'op_host/%'").select(src.function_id().alias("id"))
+    calls = src.call_edges(spark, d).select("src", "dst")
     live = traverse.reach(roots, calls).select(F.col("id").alias("src"))
     return calls.join(live, "src", "left_semi")
 
