@@ -210,10 +210,10 @@ def ps21_host_checks(spark, d):
 def ps22_root_trace(spark, d):
     """Functions by whether a call chain leads to a kernel buffer write, and how long it is."""
     root = src.bodies(spark, d).where(F.col("text").contains(".Set(") & F.col("path").startswith("op_kernel/")).select(src.function_id().alias("id"))
-    back = src.symbol_edges(spark, d).where("kind = 'CALLS'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = src.call_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     hops = traverse.reach(root, back).withColumnRenamed("distance", "hops")
     status = F.when(F.col("hops") == 0, "ROOT").when(F.col("hops") > 0, "REACHED").otherwise("UNREACHED")
-    return _functions(spark, d).select("id").join(hops, "id", "left").select("id", status.alias("root_status"), "hops")
+    return src.functions(spark, d).select(src.function_id().alias("id")).join(hops, "id", "left").select("id", status.alias("root_status"), "hops")
 
 
 @sym_query(r"""+x AS (SELECT c.path, c.line, c.function, c.callee, unnest(string_split(g.cond, ' && ')) AS cond, generate_subscripts(string_split(g.cond, ' && '), 1) AS i FROM call c JOIN guard g ON g.path = c.path AND c.line > g.line_start AND c.line <= g.line_end)
