@@ -102,3 +102,15 @@ def test_queries_build_only_the_tables_they_read(spark, name, apart):
     built = {key[2] for key in snapshot._STORED if key[0] == spark.sparkContext.applicationId}
     assert "code_calls" in built or "code_writes" in built
     assert built.isdisjoint({"code_symbols", "code_symbol_edges", f"code_{apart}"})
+
+
+def test_tables_are_built_a_bucket_a_task(spark, tmp_path):
+    """Small buckets are not packed into one task, which would be slow and uneven for what is read by Python."""
+    from quern.sources.staging import stage
+
+    source = str(tmp_path)
+    base = lambda: snapshot.bucket_table(spark, source, "few", lambda: spark.range(400).select(F.col("id").cast("string").alias("path")).repartition(8, "path"), "path", n=8)
+    built = snapshot.bucket_table(spark, source, "more", lambda: base().withColumn("task", F.spark_partition_id()), "path", n=8)
+    assert built.select("task").distinct().count() == 8
+    assert stage(base().withColumn("task", F.spark_partition_id()), "tasks").select("task").distinct().count() == 8
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
