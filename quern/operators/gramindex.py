@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +60,49 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = batch.column("path").dictionary_encode()
         file, line = named.indices.to_numpy(), batch.column("line").to_numpy()
         order = np.lexsort((line, file))
-        file, line, texts = file[order], line[order], batch.column("text").take(pa.array(order)).to_pylist()
-        long = np.fromiter(map(len, texts), np.int64, len(texts))
+        file, line, texts = file[order], line[order], batch.column("text").take(pa.array(order))
+        long = pc.utf8_length(texts).to_numpy().astype(np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(long) // CHARS)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
             if a < b:
-                yield _run(texts[a:b], long[a:b], file[a:b], line[a:b], named.dictionary)
+                # Taken again, so that the run's characters are a buffer of their own.
+                yield _run(texts.take(pa.array(np.arange(a, b))), long[a:b], file[a:b], line[a:b], named.dictionary)
 
 
-def _run(texts: list[str], long: np.ndarray, file: np.ndarray, line: np.ndarray, paths: pa.Array) -> pa.RecordBatch:
-    """The postings of some lines in the order of their files and numbers, by gram."""
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), long)
+def _run(texts: pa.Array, long: np.ndarray, file: np.ndarray, line: np.ndarray, paths: pa.Array) -> pa.RecordBatch:
+    """The postings of some lines in the order of their files and numbers, by gram.
+
+    A gram and its line are one number of the ranks of its characters among those of the
+    run and of the line, so that one sort puts both in order.
+    """
+    data = texts.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(texts)).as_py()]
+    code = np.frombuffer(data, np.uint8) if len(data) == long.sum() else np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    there = np.zeros(int(code.max()) + 1, bool)
+    there[code] = True
+    letters, rank = np.flatnonzero(there), (np.cumsum(there) - 1).astype(np.uint64)[code]
+    of_letter, of_line = len(letters).bit_length(), len(texts).bit_length()
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), long)
     whole = owner[2:] == owner[:-2]
-    key = (code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:])[whole]
-    keys, gram = np.unique(key, return_inverse=True)
-    gram, at = np.divmod(np.unique(gram * len(texts) + owner[2:][whole]), len(texts))
+    bits = np.uint64(of_letter)
+    key = ((rank[:-2] << bits | rank[1:-1]) << bits | rank[2:])[whole]
+    known = None
+    if 3 * of_letter + of_line > 64:  # very many different characters: grams are ranked first
+        known, key = np.unique(key, return_inverse=True)
+        key = key.astype(np.uint64)
+    both = key << np.uint64(of_line) | owner[2:][whole]
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    gram, at = both >> np.uint64(of_line), (both & np.uint64((1 << of_line) - 1)).astype(np.int64)
     block = line[at] // BLOCK
-    starts = np.flatnonzero(np.r_[True, (np.diff(gram) != 0) | (np.diff(file[at]) != 0) | (np.diff(block) != 0)])
-    grams = pa.array([chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in keys.tolist()], pa.string())
+    opens = np.r_[True, gram[1:] != gram[:-1]]
+    starts = np.flatnonzero(opens | np.r_[True, (np.diff(file[at]) != 0) | (np.diff(block) != 0)])
+    keys = gram[opens] if known is None else known[gram[opens].astype(np.int64)]
+    mask = np.uint64((1 << of_letter) - 1)
+    chars = [letters[(keys >> (bits * np.uint64(i)) & mask).astype(np.int64)].tolist() for i in (2, 1, 0)]
+    grams = pa.array([chr(x) + chr(y) + chr(z) for x, y, z in zip(*chars, strict=True)], pa.string())
     held = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)], pa.int32()), pa.array(line[at], pa.int32()))
     return pa.RecordBatch.from_arrays(
-        [grams.take(pa.array(gram[starts])), paths.take(pa.array(file[at][starts])), pa.array(block[starts], pa.int32()), held], ["gram", "path", "block", "lines"]
+        [grams.take(pa.array(np.cumsum(opens)[starts] - 1)), paths.take(pa.array(file[at][starts])), pa.array(block[starts], pa.int32()), held], ["gram", "path", "block", "lines"]
     )
 
 

@@ -65,3 +65,28 @@ def test_a_lone_filter_is_near_all_values_of_its_dim(spark):
     dims = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "b", "z")], "key_id long, dim string, value string")
     assert [tuple(r) for r in postings.nearby(dims, {"a": "q"}).collect()] == [("a", 0, ["x", "y"])]
     assert {tuple(r)[:2] for r in postings.nearby(dims, {"a": "q", "b": "z"}).collect()} == {("a", 1)}
+
+
+def test_text_postings_hold_every_gram_of_any_alphabet():
+    """Also where characters and lines are too many for one number, and where lines come in several batches."""
+    import random
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from quern.operators import gramindex
+
+    rng = random.Random(5)
+    wide = ["".join(chr(rng.randrange(0x3400, 0xD000)) for _ in range(3)) for _ in range(66_000)]
+    plain = ["".join(rng.choice("abé😀 ") for _ in range(rng.randrange(3, 9))) for _ in range(3_000)]
+    for texts in (wide, plain):
+        place = [(f"f{i % 3}", i * 7 % len(texts)) for i in range(len(texts))]
+        batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in place]), pa.array([n for _, n in place], pa.int32()), pa.array(texts)], ["path", "line", "text"])
+        want, got = defaultdict(set), defaultdict(list)
+        for (path, line), text in zip(place, texts, strict=True):
+            for i in range(len(text) - 2):
+                want[text[i : i + 3], path, line // gramindex.BLOCK].add(line)
+        for out in gramindex._posted(iter([batch.slice(0, 5), batch.slice(5)])):
+            for r in out.to_pylist():
+                got[r["gram"], r["path"], r["block"]] += r["lines"]
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
